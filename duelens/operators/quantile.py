@@ -7,7 +7,7 @@ parallel, and only the range totals (at most ``RANGES``) are added up in one pla
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
@@ -26,18 +26,20 @@ def counted_values(rows: DataFrame, value: str, by: list[str] | None = None) ->
     )
 
 
+def _range_number(counted: DataFrame) -> Column:
+    """Range of each value; the limits (fewer than ``RANGES`` numbers) are read at once."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    limits = counted.agg(F.percentile_approx("value", shares, F.lit(10_000))).first()[0]
+    if not limits:
+        return F.lit(0)
+    found = F.array(*[F.lit(limit) for limit in sorted(set(limits))])
+    return F.size(F.filter(found, lambda limit: limit < F.col("value")))
+
+
 def running_counts(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., value, n, upto, total): how many observations are at or below each value."""
     by = by or []
-    cuts = counted.agg(
-        F.percentile_approx(
-            "value", [i / RANGES for i in range(1, RANGES)], F.lit(10_000)
-        ).alias("cuts")
-    )
-    in_range = counted.withColumn(
-        "range",
-        F.size(F.filter(F.array_distinct(cuts.scalar()), lambda c: c < F.col("value"))),
-    )
+    in_range = counted.withColumn("range", _range_number(counted))
     inside = Window.partitionBy(*by, "range").orderBy("value")
     within = in_range.withColumn("in_range", F.sum("n").over(inside))
     totals = in_range.groupBy(*by, "range").agg(F.sum("n").alias("range_n"))
@@ -84,7 +86,9 @@ def quantile_bin(rows: DataFrame, value: str, bins: int, name: str) -> DataFrame
     """Bin 1..``bins`` by cutpoints; equal values share a bin, missing values have none."""
     percents = [100 * k / bins for k in range(1, bins)]
     cuts = cutpoints(rows, value, percents).scalar()
-    below = F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    below = F.lit(0)
+    for k in range(bins - 1):
+        below = below + F.when(F.get(cuts, F.lit(k)) < F.col(value), 1).otherwise(0)
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), below + 1).cast("int"))
 
 

@@ -17,13 +17,20 @@ def write_json(rows: DataFrame, path: str, order: list[str] | None = None) -> No
     ).json(path)
 
 
+def _csv_writer(rows: DataFrame, mode: str):
+    """Header, doubled quotes, text kept with its outer blanks."""
+    return rows.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header in the given column order.
 
     The commit protocol puts the files in place only when all of them are written.
     """
     chosen = rows.select(*columns) if columns else rows
-    chosen.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _csv_writer(chosen, "overwrite").csv(path)
 
 
 def stamped_name(name: str, now: datetime | None = None) -> str:
@@ -42,7 +49,7 @@ def dump_table(rows: DataFrame, folder: str, name: str, now: datetime | None = N
         else F.col(f.name)
         for f in rows.schema
     ]
-    rows.select(*flat).write.mode("error").option("header", True).option("escape", '"').csv(path)
+    _csv_writer(rows.select(*flat), "error").csv(path)
     return path
 
 
