@@ -14,34 +14,6 @@ RARE_BLANK = "Information not present in EudraCT"
 OUTSIDE_AREA_MARK = "-3rd"
 
 
-def true_flag(value: Column) -> Column:
-    """1 if true; 0 if false or missing."""
-    return F.coalesce(value, F.lit(False)).cast("int")
-
-
-def false_flag(value: Column) -> Column:
-    """1 only if explicitly false; 0 if true or missing."""
-    return F.coalesce(~value, F.lit(False)).cast("int")
-
-
-def equals_flag(value: Column, text: str) -> Column:
-    """1 if equal to ``text``; 0 otherwise, missing included."""
-    return value.eqNullSafe(text).cast("int")
-
-
-def present_flag(value: Column) -> Column:
-    return value.isNotNull().cast("int")
-
-
-def outside_area_flag(record_key: Column) -> Column:
-    return F.coalesce(record_key.contains(OUTSIDE_AREA_MARK), F.lit(False)).cast("int")
-
-
-def as_flag(condition: Column) -> Column:
-    """A condition as 0/1, an unknown condition counting as 0."""
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
 def exact_or_pattern_flag(text: Column, exact: str, pattern: str) -> Column:
     """0, 1 for the exact text, 2 if the pattern is found (the pattern wins)."""
     return F.coalesce(F.when(text.rlike(pattern), 2).when(text == exact, 1), F.lit(0))

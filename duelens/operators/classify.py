@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelens.functions import labels
 
 
-def overall_status() -> Column:
-    """The status shown for a study; the first rule that holds decides."""
-    results = F.col("has_results") == 1
-    status = F.col("trial_status")
-    return (
-        F.when(F.col("only_non_eu") == 1, "outside-eu")
-        .when(F.col("contains_non_eu") == 1, "partly-outside-eu")
-        .when((F.col("exempt") == 1) & results, "exempt-with-results")
-        .when(F.col("exempt") == 1, "exempt")
-        .when(
-            status.isin(0, 2),
-            F.when(F.col("comp_date_while_ongoing") == 1, "error-ongoing-has-comp-date")
-            .when(results, "ongoing-reported-early")
-            .otherwise("ongoing"),
-        )
-        .when(
-            status == 1,
-            F.when(F.col("all_completed_no_comp_date") == 1, "error-completed-no-comp-date")
-            .when((F.col("results_expected") == 0) & results, "completed-reported-early")
-            .when(F.col("results_expected") == 0, "completed-not-due")
-            .when(results, "reported")
-            .otherwise("completed-due"),
-        )
-        .when(status == 3, "other")
-        .when(status == 4, "no-trial-status")
-    )
+# The status shown for a study; the first rule that holds decides.
+OVERALL_STATUS = """
+CASE
+  WHEN only_non_eu = 1 THEN 'outside-eu'
+  WHEN contains_non_eu = 1 THEN 'partly-outside-eu'
+  WHEN exempt = 1 AND has_results = 1 THEN 'exempt-with-results'
+  WHEN exempt = 1 THEN 'exempt'
+  WHEN trial_status IN (0, 2) THEN
+    CASE WHEN comp_date_while_ongoing = 1 THEN 'error-ongoing-has-comp-date'
+         WHEN has_results = 1 THEN 'ongoing-reported-early'
+         ELSE 'ongoing' END
+  WHEN trial_status = 1 THEN
+    CASE WHEN all_completed_no_comp_date = 1 THEN 'error-completed-no-comp-date'
+         WHEN results_expected = 0 AND has_results = 1 THEN 'completed-reported-early'
+         WHEN results_expected = 0 THEN 'completed-not-due'
+         WHEN has_results = 1 THEN 'reported'
+         ELSE 'completed-due' END
+  WHEN trial_status = 3 THEN 'other'
+  WHEN trial_status = 4 THEN 'no-trial-status'
+END"""
 
 
 def with_overall_status(studies: DataFrame) -> DataFrame:
-    return studies.withColumn("overall_status", overall_status())
+    return studies.withColumn("overall_status", F.expr(OVERALL_STATUS))
 
 
 def with_labels(studies: DataFrame) -> DataFrame:

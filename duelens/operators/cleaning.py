@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from duelens.functions import flags
+from duelens.schema import RECORD_KEY
 
 # Source column -> flag of the same name.
 TRUE_FLAGS = [
@@ -36,14 +36,16 @@ RENAMED = {
 
 def clean_records(records: DataFrame) -> DataFrame:
     """Turn the register's three-valued fields into 0/1 flags and their opposites."""
-    columns = {name: flags.true_flag(F.col(name)) for name in TRUE_FLAGS}
-    columns |= {name: flags.false_flag(F.col(source)) for name, source in FALSE_FLAGS.items()}
-    columns[RARE_COLUMN] = flags.equals_flag(F.col(RARE_COLUMN), flags.RARE_YES)
-    columns["not_rare_disease"] = flags.equals_flag(F.col(RARE_COLUMN), flags.RARE_NO)
-    columns["rare_disease_blank"] = flags.equals_flag(F.col(RARE_COLUMN), flags.RARE_BLANK)
-    columns["trial_results"] = flags.present_flag(F.col("trial_results"))
-    columns["date_of_the_global_end_of_the_trial"] = F.to_date(
-        "date_of_the_global_end_of_the_trial"
-    )
-    columns["non_eu"] = flags.outside_area_flag(F.col("eudract_number_with_country"))
-    return records.withColumns(columns).withColumnsRenamed(RENAMED)
+    date, rare, key = "date_of_the_global_end_of_the_trial", RARE_COLUMN, RECORD_KEY
+    changed = {name: f"cast(coalesce({name}, false) AS int)" for name in TRUE_FLAGS}
+    changed[rare] = f"cast({rare} <=> '{flags.RARE_YES}' AS int)"
+    changed["trial_results"] = "cast(trial_results IS NOT NULL AS int)"
+    changed[date] = f"to_date({date})"
+    added = {
+        name: f"cast(coalesce(NOT {source}, false) AS int)" for name, source in FALSE_FLAGS.items()
+    }
+    added["not_rare_disease"] = f"cast({rare} <=> '{flags.RARE_NO}' AS int)"
+    added["rare_disease_blank"] = f"cast({rare} <=> '{flags.RARE_BLANK}' AS int)"
+    added["non_eu"] = f"cast(coalesce(contains({key}, '{flags.OUTSIDE_AREA_MARK}'), false) AS int)"
+    kept = [f"{changed.get(c, c)} AS {RENAMED.get(c, c)}" for c in records.columns]
+    return records.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in added.items()])

@@ -33,23 +33,18 @@ def paper_sponsors(records: DataFrame) -> DataFrame:
 
     Unlike the study table, an empty status counts as blank.
     """
-    status = F.col("status_of_the_sponsor")
     counts = (
         unnest_sponsors(records, keep_empty=False)
         .groupBy(F.col("eudract_number").alias("trial_id"))
         .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(status == "Non-Commercial").alias("non_commercial"),
-            F.count_if(status == "Commercial").alias("commercial"),
-            F.count_if(F.coalesce(status, F.lit("")) == "").alias("blank"),
-            F.max("name_of_sponsor").alias("name_of_sponsor"),
+            F.expr("count(*) AS total"),
+            F.expr("count_if(status_of_the_sponsor = 'Non-Commercial') AS non_commercial"),
+            F.expr("count_if(status_of_the_sponsor = 'Commercial') AS commercial"),
+            F.expr("count_if(coalesce(status_of_the_sponsor, '') = '') AS blank"),
+            F.expr("max(name_of_sponsor) AS name_of_sponsor"),
         )
     )
-    code = unanimity(
-        F.col("total"),
-        [(F.col("non_commercial"), 0), (F.col("commercial"), 1), (F.col("blank"), 3)],
-        2,
-    )
+    code = F.expr(unanimity("total", [("non_commercial", 0), ("commercial", 1), ("blank", 3)], 2))
     return counts.select("trial_id", code.alias("sponsor_status"), "name_of_sponsor")
 
 
@@ -59,59 +54,49 @@ def paper_extract(records: DataFrame) -> DataFrame:
     Results of any country count, and the codes test for "no" before "yes".
     """
 
-    def yes(name: str):
-        return F.count_if(F.col(name))
-
-    def no(name: str):
-        return F.count_if(~F.col(name))
-
-    status = F.col("end_of_trial_status")
-    rare = F.col("trial_condition_being_studied_is_a_rare_disease")
-    end = F.col("date_of_the_global_end_of_the_trial")
+    end = "date_of_the_global_end_of_the_trial"
+    rare = "trial_condition_being_studied_is_a_rare_disease"
+    counted = {
+        "number_of_countries": "count(eudract_number_with_country)",
+        "min_end_date": f"min({end})",
+        "max_end_date": f"max({end})",
+        "comp_date": f"count({end})",
+        "results": "count(trial_results)",
+        "completed": "count_if(end_of_trial_status = 'Completed')",
+        "ongoing": "count_if(end_of_trial_status IN ('Ongoing', 'Restarted'))",
+        "terminated": "count_if(end_of_trial_status = 'Prematurely Ended')",
+        "blank": "count_if(end_of_trial_status IS NULL)",
+        "pip": "count_if(trial_is_part_of_a_paediatric_investigation_plan)",
+        "rare_no": f"count_if({rare} = 'No')",
+        "rare_yes": f"count_if({rare} = 'Yes')",
+        "rare_blank": f"count_if({rare} = 'Information not present in EudraCT')",
+        "phase_1": "count_if(trial_human_pharmacology_phase_i)",
+        "phase_2": "count_if(trial_therapeutic_exploratory_phase_ii)",
+        "phase_3": "count_if(trial_therapeutic_confirmatory_phase_iii)",
+        "phase_4": "count_if(trial_therapeutic_use_phase_iv)",
+        "be_no": "count_if(NOT trial_bioequivalence_study)",
+        "be_yes": "count_if(trial_bioequivalence_study)",
+        "hv_no": "count_if(NOT subject_healthy_volunteers)",
+        "hv_yes": "count_if(subject_healthy_volunteers)",
+    }
+    total, done = "number_of_countries", "(completed + terminated)"
+    codes = {
+        "has_results": "if(results > 0, 1, 0)",
+        "includes_pip": "if(pip > 0, 1, 0)",
+        "rare_disease": unanimity(total, [("rare_no", 0), ("rare_yes", 1), ("rare_blank", 3)], 2),
+        "phase": unanimity(total, [(f"phase_{p}", p) for p in (1, 2, 3, 4)], 0),
+        "bioequivalence_study": unanimity(total, [("be_no", 0), ("be_yes", 1)], 2),
+        "health_volunteers": unanimity(total, [("hv_no", 0), ("hv_yes", 1)], 2),
+        "trial_status": trial_status_code(total, "ongoing", done, "blank"),
+        "any_terminated": "if(terminated > 0, 1, 0)",
+        "all_terminated": f"if(terminated = {total}, 1, 0)",
+    }
     counts = records.groupBy(F.col("eudract_number").alias("trial_id")).agg(
-        F.count("eudract_number_with_country").alias("number_of_countries"),
-        F.min(end).alias("min_end_date"),
-        F.max(end).alias("max_end_date"),
-        F.count(end).alias("comp_date"),
-        F.count("trial_results").alias("results"),
-        F.count_if(status == "Completed").alias("completed"),
-        F.count_if(status.isin("Ongoing", "Restarted")).alias("ongoing"),
-        F.count_if(status == "Prematurely Ended").alias("terminated"),
-        F.count_if(status.isNull()).alias("blank"),
-        yes("trial_is_part_of_a_paediatric_investigation_plan").alias("pip"),
-        F.count_if(rare == "No").alias("rare_no"),
-        F.count_if(rare == "Yes").alias("rare_yes"),
-        F.count_if(rare == "Information not present in EudraCT").alias("rare_blank"),
-        yes("trial_human_pharmacology_phase_i").alias("phase_1"),
-        yes("trial_therapeutic_exploratory_phase_ii").alias("phase_2"),
-        yes("trial_therapeutic_confirmatory_phase_iii").alias("phase_3"),
-        yes("trial_therapeutic_use_phase_iv").alias("phase_4"),
-        no("trial_bioequivalence_study").alias("be_no"),
-        yes("trial_bioequivalence_study").alias("be_yes"),
-        no("subject_healthy_volunteers").alias("hv_no"),
-        yes("subject_healthy_volunteers").alias("hv_yes"),
+        *[F.expr(f"{sql} AS {name}") for name, sql in counted.items()]
     )
-    total = F.col("number_of_countries")
-    done = F.col("completed") + F.col("terminated")
-    studies = counts.withColumns(
-        {
-            "has_results": (F.col("results") > 0).cast("int"),
-            "includes_pip": (F.col("pip") > 0).cast("int"),
-            "rare_disease": unanimity(
-                total,
-                [(F.col("rare_no"), 0), (F.col("rare_yes"), 1), (F.col("rare_blank"), 3)],
-                2,
-            ),
-            "phase": unanimity(total, [(F.col(f"phase_{p}"), p) for p in (1, 2, 3, 4)], 0),
-            "bioequivalence_study": unanimity(
-                total, [(F.col("be_no"), 0), (F.col("be_yes"), 1)], 2
-            ),
-            "health_volunteers": unanimity(
-                total, [(F.col("hv_no"), 0), (F.col("hv_yes"), 1)], 2
-            ),
-            "trial_status": trial_status_code(total, F.col("ongoing"), done, F.col("blank")),
-            "any_terminated": (F.col("terminated") > 0).cast("int"),
-            "all_terminated": (F.col("terminated") == total).cast("int"),
-        }
+    studies = counts.selectExpr(
+        "trial_id",
+        *["number_of_countries", "min_end_date", "max_end_date", "comp_date"],
+        *[f"{sql} AS {name}" for name, sql in codes.items()],
     )
     return studies.join(paper_sponsors(records), "trial_id", "left").select(*PAPER_COLUMNS)

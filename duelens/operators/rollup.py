@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelens.functions import text
-from duelens.functions.flags import as_flag
 from duelens.operators.cleaning import RARE_COLUMN
 
 # Status texts counted together. 'Withdrawn' belongs to no group.
@@ -82,34 +81,34 @@ def latest_by_key(records: DataFrame, keys: list[str], order: list[str]) -> Data
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
-def sponsor_counts(sponsors: Column) -> dict[str, Column]:
-    """Per record: rows its sponsor list unnests to, and how many have each status.
+# Per record: the rows its sponsor list unnests to, and how many have each status.  A
+# record without sponsors counts as one row with a blank status.
+SPONSOR_COUNTS = {
+    "sponsor_rows": "greatest(coalesce(size(sponsors), 0), 1)",
+    "commercial": """coalesce(size(filter(sponsors,
+        s -> s.status_of_the_sponsor = 'Commercial')), 0)""",
+    "non_commercial": """coalesce(size(filter(sponsors,
+        s -> s.status_of_the_sponsor = 'Non-Commercial')), 0)""",
+    "blank_status": """CASE WHEN coalesce(size(sponsors), 0) <= 0 THEN 1 ELSE size(filter(sponsors,
+        s -> s.status_of_the_sponsor IS NULL)) END""",
+}
 
-    A record without sponsors counts as one row with a blank status.
-    """
-    listed = F.coalesce(F.size(sponsors), F.lit(0))
-    listed = F.greatest(listed, F.lit(0))
-
-    def having(status: str) -> Column:
-        match = F.filter(sponsors, lambda s: s["status_of_the_sponsor"] == status)
-        return F.greatest(F.coalesce(F.size(match), F.lit(0)), F.lit(0))
-
-    blank = F.filter(sponsors, lambda s: s["status_of_the_sponsor"].isNull())
-    return {
-        "sponsor_rows": F.greatest(listed, F.lit(1)),
-        "commercial": having("Commercial"),
-        "non_commercial": having("Non-Commercial"),
-        "blank_status": F.when(listed == 0, 1).otherwise(F.size(blank)),
-    }
+
+def unanimity(total: str, counts: list[tuple[str, int]], default: int) -> str:
+    """SQL for the code of the first count that equals the total, else ``default``."""
+    cases = " ".join(f"WHEN {count} = {total} THEN {code}" for count, code in counts)
+    return f"CASE {cases} ELSE {default} END"
+
+
+def trial_status_code(total: str, ongoing: str, done: str, blank: str) -> str:
+    """SQL: 0 all ongoing, 1 all done, 2 some done, 4 all blank, 3 anything else."""
+    return f"""CASE WHEN {ongoing} = {total} THEN 0 WHEN {done} = {total} THEN 1
+        WHEN {done} > 0 AND {done} < {total} THEN 2 WHEN {blank} = {total} THEN 4 ELSE 3 END"""
 
 
-def unanimity(total: Column, counts: list[tuple[Column, int]], default: int) -> Column:
-    """Code of the first count that equals the total, else ``default``."""
-    chain = None
-    for count, code in counts:
-        hit = count == total
-        chain = F.when(hit, code) if chain is None else chain.when(hit, code)
-    return chain.otherwise(default)
+def flag(condition: str) -> str:
+    """SQL for a condition as 0/1, an unknown condition counting as 0."""
+    return f"cast(coalesce({condition}, false) AS int)"
 
 
 def roll_up(cleaned: DataFrame) -> DataFrame:
@@ -117,37 +116,28 @@ def roll_up(cleaned: DataFrame) -> DataFrame:
 
     The counts of sponsor statuses ride along, so sponsors need no second pass.
     """
-    end = F.col("date_of_the_global_end_of_the_trial")
-    status = F.col("end_of_trial_status")
-    aggregates = [
-        F.count("eudract_number_with_country").alias("number_of_countries"),
-        F.min(end).alias("min_end_date"),
-        F.max(end).alias("max_end_date"),
-        F.count(end).alias("comp_date"),
-        *[F.sum(source).alias(name) for name, source in SUMMED_FLAGS.items()],
-        *[F.count_if(status.isin(texts)).alias(name) for name, texts in STATUS_GROUPS.items()],
-        F.count_if(status.isNull()).alias("no_status"),
-    ]
+    end, status = "date_of_the_global_end_of_the_trial", "end_of_trial_status"
+    aggregates = {
+        "number_of_countries": "count(eudract_number_with_country)",
+        "min_end_date": f"min({end})",
+        "max_end_date": f"max({end})",
+        "comp_date": f"count({end})",
+        **{name: f"sum({source})" for name, source in SUMMED_FLAGS.items()},
+        **{
+            name: f"count_if({status} IN ({', '.join(repr(t) for t in texts)}))"
+            for name, texts in STATUS_GROUPS.items()
+        },
+        "no_status": f"count_if({status} IS NULL)",
+    }
     if "full_title" in cleaned.columns:
-        aggregates += [
-            F.min("full_title").alias("full_title"),
-            F.max("abbreviated_title").alias("abbreviated_title"),
-        ]
+        aggregates |= {
+            "full_title": "min(full_title)",
+            "abbreviated_title": "max(abbreviated_title)",
+        }
     if "sponsors" in cleaned.columns:
-        aggregates += [
-            F.sum(c).alias(name) for name, c in sponsor_counts(F.col("sponsors")).items()
-        ]
-    return cleaned.groupBy("eudract_number").agg(*aggregates)
-
-
-def trial_status_code(total: Column, ongoing: Column, done: Column, blank: Column) -> Column:
-    """0 all ongoing, 1 all done, 2 some done, 4 all blank, 3 anything else."""
-    return (
-        F.when(ongoing == total, 0)
-        .when(done == total, 1)
-        .when((done > 0) & (done < total), 2)
-        .when(blank == total, 4)
-        .otherwise(3)
+        aggregates |= {name: f"sum({sql})" for name, sql in SPONSOR_COUNTS.items()}
+    return cleaned.groupBy("eudract_number").agg(
+        *[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()]
     )
 
 
@@ -156,60 +146,49 @@ def study_codes(rolled: DataFrame, cutoff: Column, results_rule: str = "all") ->
 
     ``results_rule`` says whether all countries or any country must have results.
     """
-    total = F.col("number_of_countries")
-    done = F.col("completed") + F.col("terminated")
-    some_done = (done > 0) & (done < total)
-    all_done = done == total
-    exempt = (F.col("includes_pip") == 0) & (F.col("phase_1") == total)
-    results = F.col("has_results") == total if results_rule == "all" else F.col("has_results") > 0
-    columns = {
-        "has_results": as_flag(results),
-        "includes_pip": as_flag(F.col("includes_pip") > 0),
-        "exempt": as_flag(exempt),
-        "single_blind": unanimity(
-            total, [(F.col("single_blind"), 1), (F.col("not_single_blind"), 0)], 2
-        ),
+    total, done = "number_of_countries", "(completed + terminated)"
+    exempt = f"(includes_pip = 0 AND phase_1 = {total})"
+    results = {"all": f"has_results = {total}", "any": "has_results > 0"}[results_rule]
+    codes = {
+        "has_results": flag(results),
+        "includes_pip": flag("includes_pip > 0"),
+        "exempt": flag(exempt),
+        "single_blind": unanimity(total, [("single_blind", 1), ("not_single_blind", 0)], 2),
         "rare_disease": unanimity(
-            total,
-            [
-                (F.col("rare_disease"), 1),
-                (F.col("not_rare_disease"), 0),
-                (F.col("rare_disease_blank"), 3),
-            ],
-            2,
+            total, [("rare_disease", 1), ("not_rare_disease", 0), ("rare_disease_blank", 3)], 2
         ),
-        "phase": unanimity(total, [(F.col(f"phase_{p}"), p) for p in (1, 2, 3, 4)], 0),
+        "phase": unanimity(total, [(f"phase_{p}", p) for p in (1, 2, 3, 4)], 0),
         "bioequivalence_study": unanimity(
-            total, [(F.col("bioequivalence"), 1), (F.col("not_bioequivalence"), 0)], 2
+            total, [("bioequivalence", 1), ("not_bioequivalence", 0)], 2
         ),
         "health_volunteers": unanimity(
-            total, [(F.col("healthy_volunteers"), 1), (F.col("not_healthy_volunteers"), 0)], 2
+            total, [("healthy_volunteers", 1), ("not_healthy_volunteers", 0)], 2
         ),
-        "trial_status": trial_status_code(total, F.col("ongoing"), done, F.col("no_status")),
-        "any_terminated": as_flag(F.col("terminated") > 0),
-        "all_terminated": as_flag(F.col("terminated") == total),
-        "results_expected": as_flag(
-            all_done & (F.col("comp_date") > 0) & (F.col("max_end_date") < cutoff) & ~exempt
+        "trial_status": trial_status_code(total, "ongoing", done, "no_status"),
+        "any_terminated": flag("terminated > 0"),
+        "all_terminated": flag(f"terminated = {total}"),
+        "results_expected": flag(
+            f"{done} = {total} AND comp_date > 0 AND max_end_date < __cutoff AND NOT {exempt}"
         ),
-        "all_completed_no_comp_date": as_flag(all_done & (F.col("comp_date") == 0)),
-        "comp_date_while_ongoing": as_flag((F.col("comp_date") > 0) & some_done),
-        "contains_non_eu": as_flag(F.col("non_eu") > 0),
-        "only_non_eu": as_flag(F.col("non_eu") == total),
+        "all_completed_no_comp_date": flag(f"{done} = {total} AND comp_date = 0"),
+        "comp_date_while_ongoing": flag(f"comp_date > 0 AND {done} > 0 AND {done} < {total}"),
+        "contains_non_eu": flag("non_eu > 0"),
+        "only_non_eu": flag(f"non_eu = {total}"),
+        "trial_url": f"concat('{STUDY_URL}', eudract_number)",
     }
-    if "full_title" in rolled.columns:
-        full = text.without_line_breaks(text.null_if_nan_text(F.col("full_title")))
-        short = text.null_if_nan_text(F.col("abbreviated_title"))
-        columns["trial_title"] = text.display_title(full, short)
     if "sponsor_rows" in rolled.columns:
-        columns["sponsor_status"] = unanimity(
-            F.col("sponsor_rows"),
-            [(F.col("non_commercial"), 0), (F.col("commercial"), 1), (F.col("blank_status"), 3)],
-            2,
+        codes["sponsor_status"] = unanimity(
+            "sponsor_rows", [("non_commercial", 0), ("commercial", 1), ("blank_status", 3)], 2
         )
-    columns["trial_url"] = text.prefixed_url(STUDY_URL, F.col("eudract_number"))
-    return rolled.withColumns(columns).withColumnRenamed("eudract_number", "trial_id")
-
-
+    kept = [c for c in rolled.columns if c not in codes and c != "eudract_number"]
+    coded = rolled.withColumn("__cutoff", cutoff).selectExpr(
+        "eudract_number AS trial_id", *kept, *[f"{sql} AS {name}" for name, sql in codes.items()]
+    )
+    if "full_title" not in kept:
+        return coded
+    full = text.without_line_breaks(text.null_if_nan_text(F.col("full_title")))
+    short = text.null_if_nan_text(F.col("abbreviated_title"))
+    return coded.withColumn("trial_title", text.display_title(full, short))
 
 
 def unnest_sponsors(records: DataFrame, keep_empty: bool = True) -> DataFrame:

@@ -18,12 +18,25 @@ from duelens.schema import SPONSOR_KEYS
 PAGE_HOST = "https://www.clinicaltrialsregister.eu"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Columns of the test tables, so that no file is opened to find them.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
 
 
-def _percent_units(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("int")
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,108 +59,86 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return latest_by_key(raw_lines(spark, folder), ["l_orderkey", "l_linenumber"], order)
 
 
-def _status() -> Column:
-    m, flag, line = F.col("l_orderkey") % 12, F.col("l_returnflag"), F.col("l_linestatus")
-    return (
-        F.when((m <= 3) & (flag == "R") & (F.col("q") > 40), "Prematurely Ended")
-        .when(m <= 3, "Completed")
-        .when(m == 4, "Prematurely Ended")
-        .when(m == 5, F.when(flag == "R", "Restarted").otherwise("Ongoing"))
-        .when(m == 6, F.when(flag == "A", "Completed").otherwise("Ongoing"))
-        .when(m == 8, F.when(line == "O", "Temporarily Halted").otherwise("Suspended by CA"))
-        .when(m == 9, F.when(line == "O", "Not Authorised").otherwise("Prohibited by CA"))
-        .when(m == 10, "Withdrawn")
-        .when((m == 11) & (flag == "A"), "Completed")
-        .when((m == 11) & (flag == "R"), "Withdrawn")
-    )
-
-
-def _record_columns() -> dict[str, Column]:
-    o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    q, d, t = F.col("q"), F.col("d"), F.col("t")
-    flag = F.col("l_returnflag")
-    yes, no = F.lit(True), F.lit(False)
-    country = F.when((n == 7) & (t >= 4), "3rd").otherwise(n.cast("string"))
-    no_date = ((o % 5) == 0) | (((o % 5) == 1) & (F.col("l_linestatus") == "O"))
-    return {
-        "eudract_number": o.cast("string"),
-        "eudract_number_with_country": F.concat_ws("-", o.cast("string"), country),
-        "date_of_the_global_end_of_the_trial": F.when(
-            ~no_date & ((o % 12) != 7), F.to_date("l_shipdate")
-        ),
-        "trial_is_part_of_a_paediatric_investigation_plan": F.when((o % 7) == 0, q > 25).when(
-            (o % 7) != 1, no
-        ),
-        "end_of_trial_status": _status(),
-        "trial_status": _status(),
-        "trial_human_pharmacology_phase_i": F.when((o % 9) == 0, yes)
-        .when((o % 9) == 1, q > 10)
-        .when(q < 50, no),
-        "trial_therapeutic_exploratory_phase_ii": (o % 9).isin(2, 3),
-        "trial_therapeutic_confirmatory_phase_iii": (o % 9).isin(4, 5, 6),
-        "trial_therapeutic_use_phase_iv": ((o % 9) == 7) & (q > 5),
-        "trial_bioequivalence_study": F.when((o % 11) == 0, yes)
-        .when((o % 11) <= 6, no)
-        .when((o % 11) > 7, d >= 5),
-        "subject_healthy_volunteers": F.when((o % 6) == 0, yes)
-        .when((o % 6) < 4, no)
-        .when((o % 6) > 4, d >= 5),
-        "trial_condition_being_studied_is_a_rare_disease": F.when((o % 8) == 0, "Yes")
-        .when((o % 8) <= 3, "No")
-        .when((o % 8) == 4, "Information not present in EudraCT")
-        .when(
-            (o % 8) > 5,
-            F.when(flag == "A", "Yes")
-            .when(flag == "N", "No")
-            .otherwise("Information not present in EudraCT"),
-        ),
-        "trial_single_blind": F.when((o % 13) < 2, yes)
-        .when((o % 13) < 8, no)
-        .when((o % 13) > 8, t >= 4),
-        "full_title_of_the_trial": F.when(
-            d > 0,
-            F.concat(
-                F.lit("Study "),
-                o.cast("string"),
-                F.lit("\r\n of "),
-                F.repeat(F.lit("long-term follow-up "), F.floor(q / 4).cast("int")),
-            ),
-        ),
-        "name_or_abbreviated_title_of_the_trial_where_available": F.when(
-            t > 0, F.concat(F.lit("S-"), o.cast("string"), F.lit("/"), n.cast("string"))
-        ),
-        "trial_results": F.when(
-            ((o % 3) == 0) | (((o % 3) == 1) & (q > 20)), "View results"
-        ),
-    }
-
-
-def _entry(name: Column, status: Column) -> Column:
+# The columns of a record, from order key o, line number n, quantity q, discount d and
+# tax t in percent.
+STATUS = """
+CASE
+  WHEN o % 12 <= 3 AND l_returnflag = 'R' AND q > 40 THEN 'Prematurely Ended'
+  WHEN o % 12 <= 3 THEN 'Completed'
+  WHEN o % 12 = 4 THEN 'Prematurely Ended'
+  WHEN o % 12 = 5 THEN if(l_returnflag = 'R', 'Restarted', 'Ongoing')
+  WHEN o % 12 = 6 THEN if(l_returnflag = 'A', 'Completed', 'Ongoing')
+  WHEN o % 12 = 8 THEN if(l_linestatus = 'O', 'Temporarily Halted', 'Suspended by CA')
+  WHEN o % 12 = 9 THEN if(l_linestatus = 'O', 'Not Authorised', 'Prohibited by CA')
+  WHEN o % 12 = 10 THEN 'Withdrawn'
+  WHEN o % 12 = 11 AND l_returnflag = 'A' THEN 'Completed'
+  WHEN o % 12 = 11 AND l_returnflag = 'R' THEN 'Withdrawn'
+END"""
+
+RECORD_COLUMNS = {
+    "eudract_number": "cast(o AS string)",
+    "eudract_number_with_country": (
+        "concat_ws('-', o, if(n = 7 AND t >= 4, '3rd', cast(n AS string)))"
+    ),
+    "date_of_the_global_end_of_the_trial": """
+        CASE WHEN o % 5 <> 0 AND NOT (o % 5 = 1 AND l_linestatus = 'O') AND o % 12 <> 7
+             THEN to_date(l_shipdate) END""",
+    "trial_is_part_of_a_paediatric_investigation_plan": (
+        "CASE WHEN o % 7 = 0 THEN q > 25 WHEN o % 7 <> 1 THEN false END"
+    ),
+    "end_of_trial_status": STATUS,
+    "trial_status": STATUS,
+    "trial_human_pharmacology_phase_i": (
+        "CASE WHEN o % 9 = 0 THEN true WHEN o % 9 = 1 THEN q > 10 WHEN q < 50 THEN false END"
+    ),
+    "trial_therapeutic_exploratory_phase_ii": "o % 9 IN (2, 3)",
+    "trial_therapeutic_confirmatory_phase_iii": "o % 9 IN (4, 5, 6)",
+    "trial_therapeutic_use_phase_iv": "o % 9 = 7 AND q > 5",
+    "trial_bioequivalence_study": """
+        CASE WHEN o % 11 = 0 THEN true WHEN o % 11 <= 6 THEN false
+             WHEN o % 11 > 7 THEN d >= 5 END""",
+    "subject_healthy_volunteers": """
+        CASE WHEN o % 6 = 0 THEN true WHEN o % 6 < 4 THEN false WHEN o % 6 > 4 THEN d >= 5 END""",
+    "trial_condition_being_studied_is_a_rare_disease": """
+        CASE WHEN o % 8 = 0 THEN 'Yes' WHEN o % 8 <= 3 THEN 'No'
+             WHEN o % 8 = 4 THEN 'Information not present in EudraCT'
+             WHEN o % 8 > 5 THEN CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No'
+                  ELSE 'Information not present in EudraCT' END END""",
+    "trial_single_blind": """
+        CASE WHEN o % 13 < 2 THEN true WHEN o % 13 < 8 THEN false
+             WHEN o % 13 > 8 THEN t >= 4 END""",
+    "full_title_of_the_trial": """
+        CASE WHEN d > 0 THEN concat('Study ', o, '\\r\\n of ',
+             repeat('long-term follow-up ', q div 4)) END""",
+    "name_or_abbreviated_title_of_the_trial_where_available": (
+        "CASE WHEN t > 0 THEN concat('S-', o, '/', n) END"
+    ),
+    "trial_results": (
+        "CASE WHEN o % 3 = 0 OR (o % 3 = 1 AND q > 20) THEN 'View results' END"
+    ),
+}
+
+SPONSOR_SPELLING = """
+CASE n % 3 WHEN 0 THEN upper(s_name) WHEN 1 THEN replace(s_name, 'u', 'ü') ELSE s_name END"""
+
+SPONSOR_STATUS = """
+CASE WHEN s_acctbal >= 4500 THEN 'Non-Commercial' WHEN s_acctbal >= 0 THEN 'Commercial' END"""
+
+
+def _entry(name: str, status: str) -> str:
+    """A sponsor entry of which only name and status are known."""
     known = {"name_of_sponsor": name, "status_of_the_sponsor": status}
-    return F.struct(
-        *[known.get(k, F.lit(None).cast("string")).alias(k) for k in SPONSOR_KEYS]
-    )
+    fields = [f"'{k}', {known.get(k, 'cast(NULL AS string)')}" for k in SPONSOR_KEYS]
+    return f"named_struct({', '.join(fields)})"
 
 
-def _sponsors() -> Column:
-    d, t, n, name = F.col("d"), F.col("t"), F.col("l_linenumber"), F.col("s_name")
-    spelling = (
-        F.when(n % 3 == 0, F.upper(name))
-        .when(n % 3 == 1, F.replace(name, F.lit("u"), F.lit("ü")))
-        .otherwise(name)
-    )
-    status = F.when(F.col("s_acctbal") >= 4500, "Non-Commercial").when(
-        F.col("s_acctbal") >= 0, "Commercial"
-    )
-    first = _entry(spelling, status)
-    second = _entry(F.concat(name, F.lit(" Ltd.")), F.lit(None).cast("string"))
-    empty = F.slice(F.array(first), F.lit(1), F.lit(0))
-    return (
-        F.when(d == 10, empty)
-        .when((d == 0) & (t == 0), F.lit(None))
-        .when((n == 1) & (d >= 5), F.array(first, second))
-        .otherwise(F.array(first))
-    )
+_FIRST = _entry(SPONSOR_SPELLING, SPONSOR_STATUS)
+_SECOND = _entry("concat(s_name, ' Ltd.')", "cast(NULL AS string)")
+SPONSORS = f"""
+CASE WHEN d = 10 THEN slice(array({_FIRST}), 1, 0)
+     WHEN d = 0 AND t = 0 THEN NULL
+     WHEN n = 1 AND d >= 5 THEN array({_FIRST}, {_SECOND})
+     ELSE array({_FIRST}) END"""
 
 
 def protocol_records(
@@ -158,28 +149,31 @@ def protocol_records(
     ``sponsors`` adds the nested sponsor list (a join with suppliers), ``scrapes`` the
     month of the order as time of the last scrape (a join with orders).
     """
-    rows = lines(spark, folder).withColumns(
-        {
-            "q": F.col("l_quantity").cast("int"),
-            "d": _percent_units("l_discount"),
-            "t": _percent_units("l_tax"),
-        }
+    rows = lines(spark, folder).selectExpr(
+        "l_orderkey AS o",
+        "l_linenumber AS n",
+        "cast(l_quantity AS int) AS q",
+        "cast(round(l_discount * 100) AS int) AS d",
+        "cast(round(l_tax * 100) AS int) AS t",
+        "l_suppkey",
+        "l_returnflag",
+        "l_linestatus",
+        "l_shipdate",
     )
-    columns = _record_columns()
+    columns = dict(RECORD_COLUMNS)
     if sponsors:
-        supplier = table(spark, folder, "supplier").select(
-            F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_acctbal"
+        supplier = table(spark, folder, "supplier").selectExpr(
+            "s_suppkey AS l_suppkey", "s_name", "s_acctbal"
         )
-        rows = lookup_join(rows, supplier, ["l_suppkey"], ["l_orderkey", "l_linenumber"])
-        columns["sponsors"] = _sponsors()
+        rows = lookup_join(rows, supplier, ["l_suppkey"], ["o", "n"])
+        columns["sponsors"] = SPONSORS
     if scrapes:
-        months = table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("l_orderkey"),
-            F.date_trunc("month", "o_orderdate").cast("timestamp").alias("meta_updated"),
+        months = table(spark, folder, "orders").selectExpr(
+            "o_orderkey AS o", "cast(date_trunc('month', o_orderdate) AS timestamp) AS seen"
         )
-        rows = rows.join(months, "l_orderkey")
-        columns["meta_updated"] = F.col("meta_updated")
-    return rows.select(*[c.alias(name) for name, c in columns.items()])
+        rows = rows.join(months, "o")
+        columns["meta_updated"] = "seen"
+    return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def last_scrape(spark: SparkSession, folder: str) -> Column:
@@ -198,45 +192,37 @@ def sponsor_sheet(spark: SparkSession, folder: str, complete: bool = True) -> Da
     Without ``complete`` some of the names have not been reviewed yet.
     """
     nation = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+        table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey")
     )
-    k, name = F.col("s_suppkey"), F.col("s_name")
-    own = F.concat(F.col("n_name"), F.lit(" Unit "))
-    normalized = (
-        F.when(k % 50 == 7, F.concat(F.lit("Unclear Sponsor Name Given - "), name))
-        .when(k % 50 == 8, "Unknown Sponsor")
-        .otherwise(F.concat(own, (k % 3).cast("string")))
-    )
-    parent = (
-        F.when(k % 50 == 7, "Unclear Sponsor Name Given")
-        .when(k % 50 == 8, "Unknown Sponsor")
-        .when(k % 3 < 2, F.concat(own, F.lit("0")))
-        .when(F.col("s_acctbal") >= 5000, F.concat(F.col("r_name"), F.lit(" Holdings")))
-        .otherwise("Independent Holdings")
-    )
-    proof = F.concat(F.lit("https://proof.example/"), k.cast("string"))
     suppliers = (
         table(spark, folder, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.explode(F.array(name, F.concat(name, F.lit(" Ltd.")))).alias("name_of_sponsor"),
-            normalized.alias("normalized_name"),
-            parent.alias("normalized_parent_name"),
-            F.when(k % 5 == 0, proof).otherwise("").alias("Proof"),
-            F.when(k % 5 == 1, "merged").otherwise("").alias("Description"),
-            F.lit("").alias("Notes"),
-            k.alias("k"),
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .selectExpr(
+            "explode(array(s_name, concat(s_name, ' Ltd.'))) AS name_of_sponsor",
+            """CASE WHEN s_suppkey % 50 = 7 THEN concat('Unclear Sponsor Name Given - ', s_name)
+                    WHEN s_suppkey % 50 = 8 THEN 'Unknown Sponsor'
+                    ELSE concat(n_name, ' Unit ', s_suppkey % 3) END AS normalized_name""",
+            """CASE WHEN s_suppkey % 50 = 7 THEN 'Unclear Sponsor Name Given'
+                    WHEN s_suppkey % 50 = 8 THEN 'Unknown Sponsor'
+                    WHEN s_suppkey % 3 < 2 THEN concat(n_name, ' Unit 0')
+                    WHEN s_acctbal >= 5000 THEN concat(r_name, ' Holdings')
+                    ELSE 'Independent Holdings' END AS normalized_parent_name""",
+            """if(s_suppkey % 5 = 0, concat('https://proof.example/', s_suppkey), '')
+               AS Proof""",
+            "if(s_suppkey % 5 = 1, 'merged', '') AS Description",
+            "'' AS Notes",
+            "s_suppkey AS k",
         )
     )
     if not complete:
-        suppliers = suppliers.where(
-            ~((F.col("k") % 10 == 9) & F.col("name_of_sponsor").endswith(" Ltd."))
-        )
-    no_name = spark.range(1).select(
-        F.lit("").alias("name_of_sponsor"),
-        F.lit("No Sponsor Name Given").alias("normalized_name"),
-        F.lit("No Sponsor Name Given").alias("normalized_parent_name"),
-        *[F.lit("").alias(c) for c in ("Proof", "Description", "Notes")],
+        suppliers = suppliers.where("NOT (k % 10 = 9 AND name_of_sponsor LIKE '% Ltd.')")
+    no_name = spark.range(1).selectExpr(
+        "'' AS name_of_sponsor",
+        "'No Sponsor Name Given' AS normalized_name",
+        "'No Sponsor Name Given' AS normalized_parent_name",
+        "'' AS Proof",
+        "'' AS Description",
+        "'' AS Notes",
     )
     return suppliers.drop("k").unionByName(no_name)
 
