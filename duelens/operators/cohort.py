@@ -131,16 +131,29 @@ def cohort(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return rows
 
 
-def attrition(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    """Rows left after each step, counted in one pass: (step, label, n)."""
-    passed, columns = F.lit(True), [F.count(F.lit(1)).alias("0")]
-    for number, (_, condition) in enumerate(steps, 1):
-        passed = passed & F.coalesce(condition, F.lit(False))
-        columns.append(F.count_if(passed).alias(str(number)))
-    names = {0: "all", **{i: text for i, (text, _) in enumerate(steps, 1)}}
-    counted = rows.agg(*columns).unpivot([], [str(i) for i in names], "step", "n")
-    step = F.col("step").cast("int")
-    return counted.select(step.alias("step"), label(step, names).alias("label"), "n")
+def attrition(rows: DataFrame, series: dict[str, list[tuple[str, Column]]]) -> DataFrame:
+    """Rows left after each step of each series: (series, step, label, n).
+
+    All steps of all series are counted in one pass.
+    """
+    columns, names = [], []
+    for title, steps in series.items():
+        passed = F.lit(True)
+        for number, (text, condition) in enumerate([("all", F.lit(True)), *steps]):
+            passed = passed & F.coalesce(condition, F.lit(False))
+            columns.append(F.count_if(passed).alias(f"c{len(names)}"))
+            names.append((title, number, text))
+    counted = rows.agg(*columns)
+    entries = [
+        F.struct(
+            F.lit(title).alias("series"),
+            F.lit(number).alias("step"),
+            F.lit(text).alias("label"),
+            F.col(f"c{i}").alias("n"),
+        )
+        for i, (title, number, text) in enumerate(names)
+    ]
+    return counted.select(F.inline(F.array(*entries)))
 
 
 def _long_counts(rows: DataFrame, variables: list[str], extra: list[str]) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelens.operators.staging import staged
+
 
 @dataclass(frozen=True)
 class Factor:
@@ -52,11 +56,56 @@ def covariate_patterns(rows: DataFrame, terms: list[str | Factor], outcome: str)
     )
 
 
-def _levels(patterns: DataFrame, factors: list[Factor]) -> dict[str, list[int]]:
+def _without_perfect_levels(
+    patterns: DataFrame, factors: list[Factor], outcome: str
+) -> tuple[DataFrame, dict[str, list[int]]]:
+    """Leave out non-base levels all of whose rows have the same outcome, with their rows.
+
+    Such a level has no finite odds ratio.  Only (factor, level, outcome) counts are read.
+    """
     if not factors:
-        return {}
-    row = patterns.agg(*[F.collect_set(f.name).alias(f.name) for f in factors]).first()
-    return {f.name: sorted(row[f.name]) for f in factors}
+        return patterns, {}
+    entries = F.array(
+        *[F.struct(F.lit(f.name).alias("name"), F.col(f.name).cast("int").alias("level"))
+          for f in factors]
+    )
+    seen = (
+        patterns.select(F.explode(entries).alias("e"), outcome)
+        .groupBy("e.name", "e.level")
+        .agg(F.min(outcome).alias("low"), F.max(outcome).alias("high"))
+        .collect()
+    )
+    kept: dict[str, list[int]] = {}
+    for factor in factors:
+        rows = sorted((r["level"], r["low"] != r["high"]) for r in seen if r["name"] == factor.name)
+        present = [level for level, _ in rows]
+        base = base_level(factor, present)
+        kept[factor.name] = [level for level, mixed in rows if mixed or level == base]
+        if len(kept[factor.name]) < len(present):
+            patterns = patterns.where(F.col(factor.name).isin(kept[factor.name]))
+    return patterns, kept
+
+
+def base_level(factor: Factor, present: list[int]) -> int:
+    return factor.base if factor.base in present else present[0]
+
+
+def _independent(assembled: DataFrame, count: int) -> list[int]:
+    """Positions of the features that are not constant and not combinations of earlier ones."""
+    if count < 2:
+        return list(range(count))
+    matrix = Correlation.corr(assembled, "features").first()[0].toArray()
+    kept: list[int] = []
+    for i in range(count):
+        if np.isnan(matrix[i]).sum() >= count - 1:
+            continue
+        unexplained = 1.0
+        if kept:
+            inner, cross = matrix[np.ix_(kept, kept)], matrix[np.ix_(kept, [i])]
+            unexplained -= (cross.T @ np.linalg.lstsq(inner, cross, rcond=None)[0]).item()
+        if unexplained > 1e-8:
+            kept.append(i)
+    return kept
 
 
 def odds_ratios(
@@ -64,33 +113,38 @@ def odds_ratios(
 ) -> DataFrame:
     """Fit ``outcome`` on ``terms`` and return one row per term.
 
-    Dummies are built one by one, so that each factor's base
-    level is the one asked for.  Only levels and coefficients reach the driver.
+    Dummies are built one by one, so that each factor's base level is the one asked for.
+    Levels that predict the outcome perfectly and terms that follow from earlier ones
+    are left out.  Only levels, a matrix of terms and the coefficients reach the driver.
     """
-    patterns = covariate_patterns(rows, terms, outcome)
-    levels = _levels(patterns, [t for t in terms if isinstance(t, Factor)])
+    patterns = staged(covariate_patterns(rows, terms, outcome))
+    factors = [t for t in terms if isinstance(t, Factor)]
+    patterns, levels = _without_perfect_levels(patterns, factors, outcome)
     columns: list[tuple[str, Column]] = []
     for term in terms:
         if isinstance(term, str):
             columns.append((term, F.col(term).cast("double")))
             continue
-        present = levels[term.name]
-        base = term.base if term.base in present else present[0]
+        base = base_level(term, levels[term.name])
         columns += [
             (f"{term.name}={level}", (F.col(term.name) == level).cast("double"))
-            for level in present
+            for level in levels[term.name]
             if level != base
         ]
-    features = [f"x{i}" for i in range(len(columns))]
-    design = patterns.select(
-        F.col(outcome).cast("double").alias("label"),
-        "weight",
-        *[column.alias(x) for x, (_, column) in zip(features, columns)],
-    )
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(design)
+
+    def assembled(chosen: list[tuple[str, Column]]) -> DataFrame:
+        features = [f"x{i}" for i in range(len(chosen))]
+        design = patterns.select(
+            F.col(outcome).cast("double").alias("label"),
+            "weight",
+            *[column.alias(x) for x, (_, column) in zip(features, chosen)],
+        )
+        return VectorAssembler(inputCols=features, outputCol="features").transform(design)
+
+    columns = [columns[i] for i in _independent(assembled(columns), len(columns))]
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-10
-    ).fit(assembled)
+    ).fit(assembled(columns))
     summary = model.summary
     names = [name for name, _ in columns] + ["(intercept)"]
     coefficients = [*model.coefficients, model.intercept]

@@ -9,6 +9,7 @@ from duelens.functions.labels import DUE_STATUSES, INCONSISTENT_STATUSES
 from duelens.functions.numbers import percent
 from duelens.functions.text import web_slug
 from duelens.operators.lookup import BROADCAST_ROWS, lookup_join, salted_join
+from duelens.operators.staging import staged
 
 # Columns taken from the reviewed sheet of sponsor names.
 SHEET_COLUMNS = [
@@ -175,7 +176,11 @@ def with_family(measures: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sponsor_table(trials: DataFrame, threshold: int = MAJOR_THRESHOLD) -> DataFrame:
-    """The published sponsor table from classified study rows."""
-    counts = sponsor_parent_counts(trials)
+    """The published sponsor table from classified study rows.
+
+    The counts are written once: totals, parents and both lists are made of them, and
+    each would otherwise go over the study rows again.
+    """
+    counts = staged(sponsor_parent_counts(trials))
     measures = with_measures(sponsor_totals(counts), threshold)
     return with_family(measures, sponsor_edges(counts))

@@ -97,7 +97,7 @@ def sponsor_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def sponsor_table(spark: SparkSession, folder: str) -> DataFrame:
     """Published sponsors without their families."""
-    counts = sponsors.sponsor_parent_counts(sponsor_rows(spark, folder))
+    counts = staged(sponsors.sponsor_parent_counts(sponsor_rows(spark, folder)))
     return sponsors.with_measures(sponsors.sponsor_totals(counts))
 
 
@@ -603,8 +603,21 @@ def parents_without_studies(spark: SparkSession, folder: str) -> DataFrame:
 # --- headline ------------------------------------------------------------------------------
 
 
+# The columns the headline and its sponsor counts are made of.
+HEADLINE_COLUMNS = [
+    "trial_id",
+    "slug",
+    "parent_slug",
+    "normalized_name",
+    "normalized_parent_name",
+    "results_expected",
+    "has_results",
+    "overall_status",
+]
+
+
 def _headline(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sponsor_rows(spark, folder)
+    rows = staged(sponsor_rows(spark, folder).select(*HEADLINE_COLUMNS))
     counts = sponsors.sponsor_parent_counts(rows)
     table = sponsors.with_measures(sponsors.sponsor_totals(counts))
     return headline.headline(
@@ -946,7 +959,8 @@ def cohort_proportions(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 4, 'not an early-phase study of adults', count(*) FROM due_cohort""",
 )
 def cohort_attrition(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.attrition(cohort_rows(spark, folder), cohort.due_steps(LAST_DAY))
+    series = {"due": cohort.due_steps(LAST_DAY)}
+    return cohort.attrition(cohort_rows(spark, folder), series).drop("series")
 
 
 _DONE, _LATE = "trial_status = 1", "NOT (phase = 1 AND includes_pip = 0)"
@@ -983,12 +997,8 @@ _DONE, _LATE = "trial_status = 1", "NOT (phase = 1 AND includes_pip = 0)"
     + ")",
 )
 def completeness_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cohort_rows(spark, folder)
-    counted = None
-    for series, steps in cohort.completeness_steps(LAST_DAY).items():
-        one = cohort.attrition(rows, steps).select(F.lit(series).alias("series"), "step", "n")
-        counted = one if counted is None else counted.unionByName(one)
-    return counted
+    series = cohort.completeness_steps(LAST_DAY)
+    return cohort.attrition(cohort_rows(spark, folder), series).drop("label")
 
 
 @query(
