@@ -62,13 +62,15 @@ def one_row_per_sponsor(matched: DataFrame) -> DataFrame:
     return matched.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest])
 
 
-def with_total_trials(trials: DataFrame) -> DataFrame:
+def with_total_trials(trials: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Number of studies of the sponsor on every row.
 
     A count joined back with salt: a window by sponsor would put all rows of a very
-    large sponsor into one task.
+    large sponsor into one task.  ``pairs`` may give the (slug, trial_id) rows to count
+    where they are cheaper to have than ``trials``.
     """
-    totals = trials.groupBy("slug").agg(F.count("trial_id").alias("total_trials"))
+    counted = trials if pairs is None else pairs
+    totals = counted.groupBy("slug").agg(F.count("trial_id").alias("total_trials"))
     return salted_join(trials, totals, ["slug"], ["trial_id"])
 
 

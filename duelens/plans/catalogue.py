@@ -89,10 +89,13 @@ def study_rows(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.study_table(records(spark, folder), testbed.cutoff(spark, folder))
 
 
+def sponsor_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    unnested = rollup.unnest_sponsors(records(spark, folder))
+    return pipelines.sponsor_pairs(unnested, testbed.sponsor_sheet(spark, folder))
+
+
 def sponsor_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.sponsor_trials(
-        study_rows(spark, folder), testbed.sponsor_sheet(spark, folder)
-    )
+    return pipelines.with_studies(sponsor_pairs(spark, folder), coded(spark, folder))
 
 
 def sponsor_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -535,7 +538,9 @@ def sponsor_worklist(spark: SparkSession, folder: str) -> DataFrame:
     FROM sponsor_trials""",
 )
 def sponsor_trials(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sponsors.with_total_trials(sponsor_rows(spark, folder)).withColumn(
+    pairs = sponsor_pairs(spark, folder)
+    rows = pipelines.with_studies(pairs, coded(spark, folder))
+    rows = sponsors.with_total_trials(rows, pairs).withColumn(
         "max_end_date", F.coalesce(day_text("max_end_date"), F.lit(""))
     )
     return rows.select(
@@ -584,6 +589,16 @@ def published_sponsors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "sponsor_trials_from_study_table",
+    "SELECT slug, trial_id, overall_status, name_of_sponsor_orig FROM sponsor_trials",
+)
+def sponsor_trials_from_study_table(spark: SparkSession, folder: str) -> DataFrame:
+    sheet = testbed.sponsor_sheet(spark, folder)
+    rows = pipelines.sponsor_trials(study_rows(spark, folder), sheet)
+    return rows.select("slug", "trial_id", "overall_status", "name_of_sponsor_orig")
+
+
 @query("sponsor_edges", "SELECT slug, parent_slug, sponsor_name, parent_name FROM edges")
 def sponsor_edges(spark: SparkSession, folder: str) -> DataFrame:
     return sponsors.sponsor_edges(

@@ -80,6 +80,22 @@ def sponsor_trials(
     return with_overall_status(sponsors.one_row_per_sponsor(known))
 
 
+def sponsor_pairs(unnested: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Unnested sponsors and the sheet -> one row per normalised sponsor and study.
+
+    Names not yet reviewed are left out.  The rows hold no study columns yet, so the
+    aggregation moves little data; ``with_studies`` adds them afterwards.
+    """
+    names = unnested.select(F.col("eudract_number").alias("trial_id"), "name_of_sponsor")
+    matched = sponsors.match_sponsors(names.distinct(), sponsors.with_slugs(sheet))
+    return sponsors.one_row_per_sponsor(matched.where(F.col("normalized_name") != ""))
+
+
+def with_studies(pairs: DataFrame, classified: DataFrame) -> DataFrame:
+    """Sponsor pairs with all columns of their classified study."""
+    return pairs.join(classified, "trial_id")
+
+
 def check_sheet(sheet: DataFrame) -> None:
     """Stop on parents that have parents, and on raw names that share a slug."""
     quality.require_empty(quality.grandparents(sheet), "parents that have parents")
