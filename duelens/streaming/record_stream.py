@@ -25,13 +25,9 @@ def checkpoint_folder(spark: SparkSession, fallback: str) -> str:
 
 def _write_batch(versions_path: str, key: str, order: list[str]):
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        newest = batch.groupBy(key).agg(
-            F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
+        current_records(batch, order, key).select(*batch.columns).write.mode("overwrite").parquet(
+            f"{versions_path}/{BATCH}={batch_id}"
         )
-        newest.select(key, *[F.col(f"newest.{c}").alias(c) for c in rest]).write.mode(
-            "overwrite"
-        ).parquet(f"{versions_path}/{BATCH}={batch_id}")
 
     return write
 
@@ -44,7 +40,7 @@ def start_record_stream(
     key: str = RECORD_KEY,
     once: bool = True,
 ) -> StreamingQuery:
-    """Write every micro-batch of ``records`` as versions, the newest per key."""
+    """Write every micro-batch of ``records`` as versions, one row per key."""
     writer = records.writeStream.foreachBatch(_write_batch(versions_path, key, order)).option(
         "checkpointLocation", checkpoint
     )
