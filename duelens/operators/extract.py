@@ -70,7 +70,8 @@ DROPPED_FIELDS = [
 ]
 
 # What the helper reports of a cell: which pair of classes it belongs to, whether it is
-# the key, its text (null without text nodes) and the ids of the tables around it.
+# the key, its text (null without text nodes) and the ids of the tables around it, each
+# between blanks.
 _CELL = pa.struct(
     [("pair", pa.int32()), ("is_key", pa.bool_()), ("text", pa.string()), ("tables", pa.string())]
 )
@@ -173,8 +174,8 @@ def read_page(page: str, codes: frozenset[str]) -> tuple[list, list, str | None]
         stack.append(element)
         for number, (key, value) in enumerate(_CLASS_PAIRS):
             if key in classes or (value in classes and key in before):
-                tables = " ".join(e.ident for e in stack if e.tag == "table" and e.ident)
-                found.append((number, tables, element))
+                around = [e.ident for e in stack if e.tag == "table" and e.ident]
+                found.append((number, f" {' '.join(around)} ", element))
                 element.texts = []
         if tag == "td":
             element.texts = []
@@ -267,7 +268,7 @@ def cell_events(
     def relevant(c: Column) -> Column:
         if table is None:
             return c["pair"] == number
-        return (c["pair"] == number) & F.array_contains(F.split(c["tables"], " "), table)
+        return (c["pair"] == number) & F.contains(c["tables"], F.lit(f" {table} "))
 
     def step(done: Column, c: Column) -> Column:
         key = F.when(c["is_key"], text.identifier_slug(c["text"])).otherwise(done["key"])

@@ -48,7 +48,7 @@ def match_sponsors(
     raw = trials.withColumn("name_of_sponsor_orig", name).drop("name_of_sponsor")
     raw = raw.withColumn("raw_slug", web_slug(F.col("name_of_sponsor_orig")))
     matched = lookup_join(raw, slugged_sheet, ["raw_slug"], ["trial_id"], "left", max_rows)
-    return matched.na.fill("")
+    return matched.na.fill("", [*SHEET_COLUMNS, "slug", "parent_slug"])
 
 
 def unmatched(matched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from duelens.plans import pipelines
 from duelens.plans.oracle import CUTOFF, cut_points, percent, slug, with_views
 from duelens.schema import STUDY_SCAN_COLUMNS
 from duelens.sources import scans, sinks, testbed, upsert
+from duelens.streaming import record_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -790,6 +792,35 @@ def current_record_versions(spark: SparkSession, folder: str) -> DataFrame:
     return with_text_days(current, "meta_created").drop("ts", "event_id")
 
 
+@query(
+    "streamed_records",
+    """SELECT user_id, arg_min(event_id, (ts, event_id)) AS meta_id,
+      arg_max(event_type, (ts, event_id)) AS event_type,
+      arg_max(value, (ts, event_id)) AS value
+    FROM events GROUP BY user_id""",
+)
+def streamed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream of record versions, upserted batch by batch."""
+    run = f"{_scratch(spark, 'stream')}-{uuid4().hex}"
+    # A stream reads folders or patterns; this one fits the one file of events.
+    files = f"{folder}/event[s].parquet"
+    fields = testbed.table(spark, folder, "events").schema
+    order = ["ts", "event_id"]
+    arriving = (
+        spark.readStream.schema(fields)
+        .parquet(files)
+        .select("user_id", "ts", "event_id", F.col("event_id").alias("meta_id"), "event_type", "value")
+    )
+    stream = record_stream.start_record_stream(
+        arriving, f"{run}/versions", f"{run}/checkpoint", order, "user_id"
+    )
+    stream.awaitTermination()
+    current = record_stream.read_current(
+        spark, f"{run}/versions", arriving.schema, order, "user_id"
+    )
+    return current.select("user_id", "meta_id", "event_type", "value")
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 
