@@ -86,7 +86,6 @@ _MARKUP = re.compile(
     r"<!--.*?-->|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_USED = re.compile(r"(?:class|id|href)\s*=", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 
 
@@ -107,7 +106,8 @@ class _Element:
 def _attributes(source: str) -> dict[str, str]:
     found = {}
     for name, double, single, bare in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
     return found
 
 
@@ -136,7 +136,7 @@ def read_page(page: str, codes: frozenset[str]) -> tuple[list, list, str | None]
 
     def add_text(text: str) -> None:
         if text and reading:
-            text = unescape(text)
+            text = unescape(text) if "&" in text else text
             stack[-1].own.append(text)
             for element in reading:
                 element.texts.append(text)
@@ -157,7 +157,7 @@ def read_page(page: str, codes: frozenset[str]) -> tuple[list, list, str | None]
                     break
             continue
         source = token[3]
-        attributes = _attributes(source) if _USED.search(source) else {}
+        attributes = _attributes(source) if "=" in source else {}
         if tag == "td" or tag == "th":
             close_open(("td", "th"), ("table", "tr"))
         elif tag == "tr":

@@ -41,19 +41,20 @@ YEAR_FACTOR = Factor("completionyear", 2016)
 
 
 
-def covariate_patterns(rows: DataFrame, terms: list[str | Factor], outcome: str) -> DataFrame:
+def term_names(terms: list[str | Factor]) -> list[str]:
+    return [t.name if isinstance(t, Factor) else t for t in terms]
+
+
+def covariate_patterns(
+    rows: DataFrame, terms: list[str | Factor], outcome: str, weight: Column | None = None
+) -> DataFrame:
     """Distinct combinations of covariates and outcome with their number of rows.
 
     The likelihood depends on nothing else, so the iterations run over this small
-    table instead of the studies.  Rows with a missing value are left out.
+    table instead of the studies.  ``weight`` says how many studies a row stands for.
     """
-    names = [t.name if isinstance(t, Factor) else t for t in terms]
-    return (
-        rows.select(outcome, *names)
-        .na.drop()
-        .groupBy(outcome, *names)
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    )
+    counted = F.lit(1.0) if weight is None else weight
+    return rows.groupBy(outcome, *term_names(terms)).agg(F.sum(counted).alias("weight"))
 
 
 def _without_perfect_levels(
@@ -109,15 +110,22 @@ def _independent(assembled: DataFrame, count: int) -> list[int]:
 
 
 def odds_ratios(
-    spark: SparkSession, rows: DataFrame, terms: list[str | Factor], outcome: str = "results"
+    spark: SparkSession,
+    rows: DataFrame,
+    terms: list[str | Factor],
+    outcome: str = "results",
+    weight: Column | None = None,
 ) -> DataFrame:
     """Fit ``outcome`` on ``terms`` and return one row per term.
 
+    Rows with a missing value in one of them are left out.
+
     Dummies are built one by one, so that each factor's base level is the one asked for.
     Levels that predict the outcome perfectly and terms that follow from earlier ones
     are left out.  Only levels, a matrix of terms and the coefficients reach the driver.
     """
-    patterns = staged(covariate_patterns(rows, terms, outcome))
+    known = rows.na.drop(subset=[outcome, *term_names(terms)])
+    patterns = staged(covariate_patterns(known, terms, outcome, weight))
     factors = [t for t in terms if isinstance(t, Factor)]
     patterns, levels = _without_perfect_levels(patterns, factors, outcome)
     columns: list[tuple[str, Column]] = []
@@ -174,10 +182,14 @@ def odds_ratios(
 def single_term_models(
     spark: SparkSession, rows: DataFrame, terms: list[str | Factor], outcome: str = "results"
 ) -> DataFrame:
-    """One model per term, stacked: (model, term, ...)."""
+    """One model per term, stacked: (model, term, ...).
+
+    The studies are counted once, by all terms together.
+    """
+    counted = staged(covariate_patterns(rows, terms, outcome))
     stacked = None
     for term in terms:
-        name = term.name if isinstance(term, Factor) else term
-        fitted = odds_ratios(spark, rows, [term], outcome).withColumn("model", F.lit(name))
+        fitted = odds_ratios(spark, counted, [term], outcome, F.col("weight"))
+        fitted = fitted.withColumn("model", F.lit(term_names([term])[0]))
         stacked = fitted if stacked is None else stacked.unionByName(fitted)
     return stacked

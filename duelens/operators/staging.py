@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(rows: DataFrame) -> DataFrame:
-    """Computed once and written to the checkpoint folder; survives lost executors."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
+    """Computed once and written as a table to the shared folder; survives lost executors.
+
+    What reads it afterwards still reads only the columns and row groups it needs.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

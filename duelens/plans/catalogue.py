@@ -1181,9 +1181,10 @@ def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
-    return rows.withColumns(
-        {c: F.round(c, 3) for c in ("odds_ratio", "coefficient", "std_err", "z", "p_value")}
-    )
+    # Odds ratios of small tables are short fractions: one digit more keeps them off the
+    # half-way points of rounding.
+    digits = {"odds_ratio": 4, "coefficient": 3, "std_err": 3, "z": 3, "p_value": 3}
+    return rows.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 SINGLE_FACTORS = [
@@ -1202,13 +1203,15 @@ def _closed_form_sql(factor: logistic.Factor) -> str:
     base = f"{factor.base}" if factor.base is not None else f"(SELECT min({name}) FROM model_rows)"
     return f"""
 SELECT '{name}' AS model, '{name}=' || l.v::VARCHAR AS term,
-  round((l.a::DOUBLE / l.b) / (r.a::DOUBLE / r.b), 3) AS odds_ratio,
+  round((l.a::DOUBLE / l.b) / (r.a::DOUBLE / r.b), 4) AS odds_ratio,
   round(ln((l.a::DOUBLE / l.b) / (r.a::DOUBLE / r.b)), 3) AS coefficient,
   round(sqrt(1.0 / l.a + 1.0 / l.b + 1.0 / r.a + 1.0 / r.b), 3) AS std_err
 FROM (SELECT {name} AS v, count(*) FILTER (results = 1) AS a, count(*) FILTER (results = 0) AS b
       FROM model_rows GROUP BY {name}) l
 JOIN (SELECT count(*) FILTER (results = 1) AS a, count(*) FILTER (results = 0) AS b
-      FROM model_rows WHERE {name} = {base}) r ON l.v <> {base}"""
+      FROM model_rows WHERE {name} = {base}) r ON l.v <> {base}
+-- A level with one outcome only has no finite odds ratio and is left out of the model.
+WHERE l.a > 0 AND l.b > 0"""
 
 
 @query(
@@ -1217,7 +1220,7 @@ JOIN (SELECT count(*) FILTER (results = 1) AS a, count(*) FILTER (results = 0) A
     {"model_rows": f"SELECT * FROM due_cohort WHERE completionyear >= {FIRST_YEAR}"},
 )
 def single_factor_models(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(_model_rows(spark, folder))
+    rows = _model_rows(spark, folder)
     fitted = logistic.single_term_models(spark, rows, SINGLE_FACTORS)
     return (
         _rounded(fitted)
