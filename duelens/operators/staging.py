@@ -7,20 +7,28 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``; the setting is read, never written.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a temporary folder, one for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="duelens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="duelens-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def new_path(spark: SparkSession, name: str = "staged") -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def staged(rows: DataFrame) -> DataFrame:
@@ -28,7 +36,6 @@ def staged(rows: DataFrame) -> DataFrame:
 
     What reads it afterwards still reads only the columns and row groups it needs.
     """
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid4().hex}"
+    path = new_path(rows.sparkSession)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
