@@ -250,9 +250,16 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     more = _verified(docs, nodes, across, width, percent)
-    whole = components(links.select("a", "b").union(more.select("a", "b")))
-    names = nodes.join(whole, "id", "left").select(
-        "set_key", F.coalesce("component", "id").alias("component_id")
+    first = nodes.select("id", "set_key").join(grouped, "id", "left")
+    first = first.select("id", "set_key", F.coalesce("component", "id").alias("first"))
+    ends = first.select("id", "first").distinct()
+    joined = (
+        more.join(ends.toDF("a", "x"), "a")
+        .join(ends.toDF("b", "y"), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    names = first.join(components(joined).toDF("first", "last"), "first", "left").select(
+        "set_key", F.coalesce("last", "first").alias("component_id")
     )
     return (
         sets.select("doc_id", "n_shingles", "set_key")
