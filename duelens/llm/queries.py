@@ -1,16 +1,26 @@
-"""The ten operators and the pipeline as registered queries, over whole tables."""
+"""The ten operators as registered queries, over whole tables with whole texts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelens.llm import ngram_join
+from duelens.llm import (
+    decontamination,
+    ngram_join,
+    packing,
+    quality_rules,
+    secret_scan,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     QUERIES[function.__name__] = function
@@ -21,6 +31,78 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.found_items(docs, table(spark, folder, "benchmark"), window=10)
+    lengths = F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long"))
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda n, more: n + more)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op4_benchmark_decontamination"] = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+item_starts AS (
+  SELECT item_id, words, least(len(words), 10) AS many,
+    unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS pos
+  FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, many, array_to_string(words[pos : pos + many - 1], ' ') AS run
+  FROM item_starts),
+lengths AS (SELECT DISTINCT many FROM windows),
+runs AS (
+  SELECT doc_id, many, unnest(range(1, len(words) - many + 2)) AS pos, words
+  FROM folded, lengths WHERE len(words) >= many),
+hits AS (
+  SELECT doc_id, r.pos, r.many, item_id
+  FROM runs r JOIN windows w
+  ON w.many = r.many AND w.run = array_to_string(r.words[r.pos : r.pos + r.many - 1], ' ')),
+places AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + many)) AS place FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(f.words) AS BIGINT) AS n_words,
+  CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(n.items, '')) AS items_sha256,
+  coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM folded f LEFT JOIN places p USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+
+@query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, folder, "documents"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.shingle_groups(table(spark, folder, "documents"), width=3, percent=90)
+
+
+@query
+def op7_best_two_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), VOCABULARY)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(table(spark, folder, "documents"))
