@@ -14,7 +14,10 @@ from duelens.llm import (
     packing,
     quality_rules,
     secret_scan,
+    sharding,
+    substring_dedup,
 )
+from duelens.operators.staging import new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +109,27 @@ def op7_best_two_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"))
+
+
+@query
+def op1_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.records(table(spark, folder, "documents"))
+    sizes = staged(sharding.slot_sizes(rows))
+    path = new_path(spark, "slot-map")
+    sharding.store_map(sharding.first_map(spark, sizes, 16), path)
+    placed = sharding.placed(rows, sizes, sharding.load_map(spark, path))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, folder, "documents")).drop("kept")
