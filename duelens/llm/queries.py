@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelens.llm import (
     decontamination,
+    html_extract,
     ngram_join,
     packing,
     quality_rules,
@@ -133,3 +134,8 @@ def op1_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op10_html_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, folder, "pages"))
