@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -71,10 +72,12 @@ WANTED = {"article", "main"}
 class Element:
     """An element: its children (elements and text runs), and what it holds of text, links and commas."""
 
-    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "block", "children", "points", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Element | None) -> None:
         self.tag, self.parent = tag, parent
+        #: Itself, or the nearest element around it that isn't part of a line of text.
+        self.block: Element = parent.block if parent is not None and tag in INLINE else self
         self.children: list[Element | str] = []
         self.points = 0.0
         self.chars = self.linked = self.commas = 0
@@ -102,7 +105,8 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
 def parsed(page: str) -> Element:
     """The page's tree without unwanted elements."""
     root = Element("", None)
-    here, articles, at = root, 0, 0
+    here, at = root, 0
+    opened: Counter[str] = Counter()
     left_out: list[str] = []
     position = 0
 
@@ -111,8 +115,7 @@ def parsed(page: str) -> Element:
             here.children.append(html.unescape(text))
 
     def closed(node: Element) -> Element:
-        nonlocal articles
-        articles -= node.tag in WANTED
+        opened[node.tag] -= 1
         return node.parent
 
     while match := MARKUP.search(page, position):
@@ -127,17 +130,17 @@ def parsed(page: str) -> Element:
                     pass
             elif not closing and tag not in VOID and tag == left_out[0]:
                 left_out.append(tag)
-            elif closing and _open(here, tag):
+            elif closing and opened[tag]:
                 left_out.clear()
-            if left_out or not (closing and _open(here, tag)):
+            if left_out or not (closing and opened[tag]):
                 continue
         if closing:
-            if _open(here, tag):
+            if opened[tag]:
                 while here.tag != tag:
                     here = closed(here)
                 here = closed(here)
             continue
-        while tag in CLOSED_BY.get((block := _block(here)).tag, ()):
+        while tag in CLOSED_BY.get((block := here.block).tag, ()):
             while here is not block:
                 here = closed(here)
             here = closed(here)
@@ -146,33 +149,18 @@ def parsed(page: str) -> Element:
             at = position = end.end() if end else len(page)
         elif tag in VOID:
             here.children.append(" " if tag in ("br", "hr") else "")
-        elif _unwanted(tag, attributes, articles > 0):
+        elif _unwanted(tag, attributes, any(opened[t] for t in WANTED)):
             if not attributes.endswith("/"):
                 left_out.append(tag)
         else:
             node = Element(tag, here)
             here.children.append(node)
             here = node
-            articles += tag in WANTED
+            opened[tag] += 1
     add(page[at:])
     return root
 
 
-def _open(here: Element | None, tag: str) -> bool:
-    while here is not None and here.tag:
-        if here.tag == tag:
-            return True
-        here = here.parent
-    return False
-
-
-def _block(node: Element) -> Element:
-    """``node`` or the nearest element around it that isn't part of a line of text."""
-    while node.tag in INLINE:
-        node = node.parent
-    return node
-
-
 def _elements(root: Element) -> list[Element]:
     """All elements, each before those that it holds."""
     found = [root]
@@ -199,10 +187,10 @@ def scored(root: Element) -> list[Element]:
         )
         if own and node.chars and node.parent is not None:
             points = 1 + node.commas + min(node.chars / 100, 3)
-            parent = _block(node.parent)
+            parent = node.parent.block
             parent.points += points
             if parent.parent is not None:
-                _block(parent.parent).points += points / 2
+                parent.parent.block.points += points / 2
     for node in nodes:
         node.points *= 1 - node.linked / max(node.chars, 1)
         if node.tag in WANTED:

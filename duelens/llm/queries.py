@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from duelens.llm import (
     decontamination,
     html_extract,
+    license_scan,
     ngram_join,
     packing,
     quality_rules,
@@ -139,3 +140,47 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
+
+
+def _license_sql() -> str:
+    """All places of all templates by joining words with template words, without an index."""
+    words = ", ".join(
+        f"({n}, '{t.label}', {str(t.base).upper()}, {len(t.words)}, {len(t.mandatory)}, {i}, '{w}', "
+        f"{int(i in t.mandatory)})"
+        for n, t in enumerate(license_scan.TEMPLATES)
+        for i, w in enumerate(t.words)
+    )
+    return rf"""
+WITH template(t, label, base, many, keys, i, word, is_key) AS (VALUES {words}),
+split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM split),
+found AS (
+  SELECT doc_id, t, any_value(label) AS label, any_value(base) AS base, pos - i AS first,
+    count(*) / any_value(many) AS score
+  FROM placed JOIN template USING (word) GROUP BY doc_id, t, pos - i
+  HAVING sum(is_key) = any_value(keys) AND count(*) / any_value(many) >= {license_scan.LEAST_SCORE}),
+held AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base,
+    min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM found GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0) AS score
+FROM split s LEFT JOIN held USING (doc_id)
+"""
+
+
+ORACLE["op2_license_scan"] = _license_sql()
