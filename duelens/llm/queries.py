@@ -15,6 +15,7 @@ from duelens.llm import (
     ngram_join,
     packing,
     quality_rules,
+    quote_links,
     secret_scan,
     sharding,
     substring_dedup,
@@ -184,3 +185,69 @@ FROM split s LEFT JOIN held USING (doc_id)
 
 
 ORACLE["op2_license_scan"] = _license_sql()
+
+
+@query
+def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quote_links.conversations(table(spark, folder, "conversations"))
+
+
+ORACLE["op8_quote_links"] = r"""
+WITH RECURSIVE message AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text
+  FROM conversations),
+split AS (SELECT id, string_split_regex(text, '\r?\n') AS lines FROM message),
+line AS (
+  SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+marked AS (
+  SELECT id, i,
+    len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^(?:[ \t]*>)+', '') AS body
+  FROM line),
+edge AS (
+  SELECT *, coalesce(lag(level) OVER (PARTITION BY id ORDER BY i) <> level, true) AS is_new FROM marked),
+numbered AS (
+  SELECT *, count(*) FILTER (is_new) OVER (PARTITION BY id ORDER BY i) AS run FROM edge),
+passage AS (
+  SELECT id, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS text
+  FROM numbered GROUP BY id, run),
+own AS (
+  SELECT id, string_agg(text, chr(10) ORDER BY run) AS text FROM passage WHERE level = 0 GROUP BY id),
+part AS (
+  SELECT id, run, level, unnest(list_prepend(text, string_split_regex(text, '\n[ \t]*\n'))) AS text
+  FROM (SELECT * FROM passage UNION ALL SELECT id, 0, 0, text FROM own)),
+hashed AS (
+  SELECT DISTINCT id, run, level, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS words
+  FROM part),
+original AS (
+  SELECT conv_id, words, min(turn) AS linked_turn FROM hashed JOIN message USING (id)
+  WHERE level = 0 AND words <> '' GROUP BY conv_id, words),
+quoted AS (
+  SELECT m.conv_id, m.turn, h.run, h.level, o.linked_turn
+  FROM hashed h JOIN message m USING (id) JOIN original o ON o.conv_id = m.conv_id AND o.words = h.words
+  WHERE h.level > 0 AND o.linked_turn < m.turn),
+link AS (
+  SELECT conv_id, turn, arg_min(linked_turn, level * 1000000000 - linked_turn) AS linked_turn,
+    count(DISTINCT run) AS n_linked
+  FROM quoted GROUP BY conv_id, turn),
+parent AS (
+  SELECT k.conv_id, k.turn, coalesce(l.linked_turn, b.turn) AS parent_turn, coalesce(l.n_linked, 0) AS n_linked
+  FROM (SELECT DISTINCT conv_id, turn FROM message WHERE conv_id IS NOT NULL AND turn IS NOT NULL) k
+  LEFT JOIN (SELECT DISTINCT conv_id, turn FROM message) b
+    ON b.conv_id = k.conv_id AND b.turn = k.turn - 1
+  LEFT JOIN link l ON l.conv_id = k.conv_id AND l.turn = k.turn),
+thread AS (
+  SELECT conv_id, turn, turn AS thread_turn, 0 AS depth FROM parent WHERE parent_turn IS NULL
+  UNION ALL
+  SELECT p.conv_id, p.turn, t.thread_turn, t.depth + 1
+  FROM parent p JOIN thread t ON t.conv_id = p.conv_id AND t.turn = p.parent_turn),
+quotes AS (SELECT id, count(*) AS n_quotes FROM passage WHERE level > 0 GROUP BY id)
+SELECT m.conv_id, m.turn, m.role,
+  regexp_replace(coalesce(o.text, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text,
+  p.parent_turn, coalesce(t.thread_turn, m.turn) AS thread_turn,
+  CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, CAST(coalesce(q.n_quotes, 0) AS BIGINT) AS n_quotes,
+  CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked
+FROM message m LEFT JOIN own o USING (id) LEFT JOIN quotes q USING (id)
+LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn
+LEFT JOIN thread t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
