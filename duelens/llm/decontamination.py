@@ -170,7 +170,7 @@ def _scan(block, window: int, first: bool):
                 words = letter_words(texts[i].as_py())
                 hit, names = built[0].matches(words)
                 if not first:
-                    before = [(s["start"], s["end"]) for s in batch.column(2)[i].as_py()]
+                    before = [[s["start"], s["end"]] for s in batch.column(2)[i].as_py()]
                     hit, names = _union(before, hit), names | set(batch.column(3)[i].as_py())
                 counts.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in hit])
