@@ -9,7 +9,7 @@ from duelens.functions import flags
 from duelens.functions.dates import from_day_number
 from duelens.functions.labels import COHORT_LABELS, label
 from duelens.operators.lookup import salted_join
-from duelens.operators.quantile import quantile_bin
+from duelens.operators.quantile import quantile_bins
 
 # Years left out as typing errors, first year used in the regressions,
 # last end date of the due cohort, earlier limit used for the completeness counts.
@@ -83,8 +83,7 @@ def derive_variables(studies: DataFrame, dropped_years: list[int] | None = None)
 
 def with_sponsor_size_bins(rows: DataFrame) -> DataFrame:
     """Quartile and decile of the sponsor's number of studies, over study rows."""
-    quarters = quantile_bin(rows, "sponsor_trial_count", 4, "quartile")
-    return quantile_bin(quarters, "sponsor_trial_count", 10, "decile")
+    return quantile_bins(rows, "sponsor_trial_count", {"quartile": 4, "decile": 10})
 
 
 def single_country(rows: DataFrame) -> DataFrame:
@@ -201,13 +200,44 @@ def crosstabs(rows: DataFrame, variables: list[str], outcome: str = "results") -
 Z_95 = 1.959963984540054
 
 
+def _t_terms() -> list[float]:
+    """Coefficients of 1/v, 1/v^2, ... in the expansion of the t point with v degrees of freedom.
+
+    Abramowitz and Stegun, Handbook of Mathematical Functions, 26.7.5.
+    """
+    z = Z_95
+    return [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+
+
+def t_95(freedom: Column) -> Column:
+    """Two-sided 95 % point of Student's t; within 1e-4 from six degrees of freedom on."""
+    point = F.lit(Z_95)
+    for power, term in enumerate(_t_terms(), 1):
+        point = point + F.try_divide(F.lit(term), F.pow(freedom, F.lit(power)))
+    return point
+
+
+def t_95_sql(freedom: str) -> str:
+    terms = [f"{term!r} / pow({freedom}, {power})" for power, term in enumerate(_t_terms(), 1)]
+    return f"({Z_95!r} + {' + '.join(terms)})"
+
+
 def proportions(tables: DataFrame) -> DataFrame:
-    """Share with the outcome, its standard error and a 95 % interval on the logit scale."""
+    """Share with the outcome, its standard error and a 95 % interval on the logit scale.
+
+    The published Stata documentation of ``proportion`` describes this interval: the t point
+    with n - 1 degrees of freedom around the logit.  A share of 0 or 1 has no interval.
+    """
     n = (F.col("n_0") + F.col("n_1")).cast("double")
     share = F.try_divide(F.col("n_1").cast("double"), n)
     error = F.sqrt(F.try_divide(share * (1 - share), n - 1))
     logit = F.when((share > 0) & (share < 1), F.log(share / (1 - share)))
-    half = Z_95 * F.try_divide(error, share * (1 - share))
+    half = t_95(n - 1) * F.try_divide(error, share * (1 - share))
     return tables.withColumns(
         {
             "proportion": share,

@@ -6,7 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import (
+    GeneralizedLinearRegression,
+    GeneralizedLinearRegressionModel,
+)
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +43,6 @@ FACTORS = [
 YEAR_FACTOR = Factor("completionyear", 2016)
 
 
-
 def term_names(terms: list[str | Factor]) -> list[str]:
     return [t.name if isinstance(t, Factor) else t for t in terms]
 
@@ -62,33 +64,45 @@ def _without_perfect_levels(
 ) -> tuple[DataFrame, dict[str, list[int]]]:
     """Leave out non-base levels all of whose rows have the same outcome, with their rows.
 
-    Such a level has no finite odds ratio.  Only (factor, level, outcome) counts are read.
+    Such a level has no finite odds ratio.  What is left may make another level perfect, so this
+    goes on until nothing changes.  Only (factor, level, outcome) counts are read.
     """
-    if not factors:
-        return patterns, {}
     entries = F.array(
         *[F.struct(F.lit(f.name).alias("name"), F.col(f.name).cast("int").alias("level"))
           for f in factors]
     )
-    seen = (
-        patterns.select(F.explode(entries).alias("e"), outcome)
-        .groupBy("e.name", "e.level")
-        .agg(F.min(outcome).alias("low"), F.max(outcome).alias("high"))
-        .collect()
-    )
     kept: dict[str, list[int]] = {}
-    for factor in factors:
-        rows = sorted((r["level"], r["low"] != r["high"]) for r in seen if r["name"] == factor.name)
-        present = [level for level, _ in rows]
-        base = base_level(factor, present)
-        kept[factor.name] = [level for level, mixed in rows if mixed or level == base]
-        if len(kept[factor.name]) < len(present):
-            patterns = patterns.where(F.col(factor.name).isin(kept[factor.name]))
+    bases: dict[str, int] = {}
+    while factors:
+        seen = (
+            patterns.select(F.explode(entries).alias("e"), outcome)
+            .groupBy("e.name", "e.level")
+            .agg(F.min(outcome).alias("low"), F.max(outcome).alias("high"))
+            .collect()
+        )
+        changed = False
+        for factor in factors:
+            rows = sorted(
+                (r["level"], r["low"] != r["high"]) for r in seen if r["name"] == factor.name
+            )
+            present = [level for level, _ in rows]
+            base = bases.setdefault(factor.name, base_level(factor, present))
+            kept[factor.name] = [level for level, mixed in rows if mixed or level == base]
+            if len(kept[factor.name]) < len(present):
+                patterns = patterns.where(F.col(factor.name).isin(kept[factor.name]))
+                changed = True
+        if not changed:
+            break
     return patterns, kept
 
 
 def base_level(factor: Factor, present: list[int]) -> int:
-    return factor.base if factor.base in present else present[0]
+    """The base asked for, which must be there, or the smallest level."""
+    if factor.base is None:
+        return present[0]
+    if factor.base not in present:
+        raise ValueError(f"{factor.name} has no level {factor.base}")
+    return factor.base
 
 
 def _independent(assembled: DataFrame, count: int) -> list[int]:
@@ -109,25 +123,24 @@ def _independent(assembled: DataFrame, count: int) -> list[int]:
     return kept
 
 
-def odds_ratios(
-    spark: SparkSession,
-    rows: DataFrame,
-    terms: list[str | Factor],
-    outcome: str = "results",
-    weight: Column | None = None,
-) -> DataFrame:
-    """Fit ``outcome`` on ``terms`` and return one row per term.
+@dataclass
+class Fit:
+    """A fitted model: its terms as columns, the counted patterns it was fitted to, its rows."""
 
-    Rows with a missing value in one of them are left out.
+    names: list[str]
+    design: DataFrame
+    model: GeneralizedLinearRegressionModel
+    used: float
+    dropped: float
 
-    Dummies are built one by one, so that each factor's base level is the one asked for.
-    Levels that predict the outcome perfectly and terms that follow from earlier ones
-    are left out.  Only levels, a matrix of terms and the coefficients reach the driver.
-    """
+
+def _fit(
+    rows: DataFrame, terms: list[str | Factor], outcome: str, weight: Column | None = None
+) -> Fit:
     known = rows.na.drop(subset=[outcome, *term_names(terms)])
-    patterns = staged(covariate_patterns(known, terms, outcome, weight))
+    counted = staged(covariate_patterns(known, terms, outcome, weight))
     factors = [t for t in terms if isinstance(t, Factor)]
-    patterns, levels = _without_perfect_levels(patterns, factors, outcome)
+    patterns, levels = _without_perfect_levels(counted, factors, outcome)
     columns: list[tuple[str, Column]] = []
     for term in terms:
         if isinstance(term, str):
@@ -150,17 +163,39 @@ def odds_ratios(
         return VectorAssembler(inputCols=features, outputCol="features").transform(design)
 
     columns = [columns[i] for i in _independent(assembled(columns), len(columns))]
+    design = assembled(columns)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-10
-    ).fit(assembled(columns))
-    summary = model.summary
-    names = [name for name, _ in columns] + ["(intercept)"]
-    coefficients = [*model.coefficients, model.intercept]
+    ).fit(design)
+    every, used = (
+        p.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] for p in (counted, patterns)
+    )
+    return Fit([name for name, _ in columns], design, model, used, every - used)
+
+
+def odds_ratios(
+    spark: SparkSession,
+    rows: DataFrame,
+    terms: list[str | Factor],
+    outcome: str = "results",
+    weight: Column | None = None,
+) -> DataFrame:
+    """Fit ``outcome`` on ``terms`` and return one row per term.
+
+    Rows with a missing value in one of them are left out.
+
+    Dummies are built one by one, so that each factor's base level is the one asked for.
+    Levels that predict the outcome perfectly and terms that follow from earlier ones
+    are left out; ``used`` and ``dropped`` say how many rows the fit has and how many went
+    with such levels.  Only levels, a matrix of terms and the coefficients reach the driver.
+    """
+    fit = _fit(rows, terms, outcome, weight)
+    summary = fit.model.summary
     found = [
         (name, float(b), float(se), float(z), float(p))
         for name, b, se, z, p in zip(
-            names,
-            coefficients,
+            [*fit.names, "(intercept)"],
+            [*fit.model.coefficients, fit.model.intercept],
             summary.coefficientStandardErrors,
             summary.tValues,
             summary.pValues,
@@ -176,20 +211,85 @@ def odds_ratios(
         "std_err",
         "z",
         "p_value",
+        F.lit(fit.used).alias("used"),
+        F.lit(fit.dropped).alias("dropped"),
     )
 
 
-def single_term_models(
+def fit_totals(
     spark: SparkSession, rows: DataFrame, terms: list[str | Factor], outcome: str = "results"
 ) -> DataFrame:
-    """One model per term, stacked: (model, term, ...).
+    """(term, observed, fitted, used, dropped): totals of each term over the rows with the outcome.
 
-    The studies are counted once, by all terms together.
+    At the maximum of the likelihood the total that was observed equals the one that the fitted
+    probabilities give, for every term and the intercept.
     """
-    counted = staged(covariate_patterns(rows, terms, outcome))
-    stacked = None
-    for term in terms:
-        fitted = odds_ratios(spark, counted, [term], outcome, F.col("weight"))
-        fitted = fitted.withColumn("model", F.lit(term_names([term])[0]))
-        stacked = fitted if stacked is None else stacked.unionByName(fitted)
-    return stacked
+    fit = _fit(rows, terms, outcome)
+    scored = fit.model.transform(fit.design)
+    columns = [*[F.col(f"x{i}") for i in range(len(fit.names))], F.lit(1.0)]
+    sums = [F.sum(F.col("weight") * F.col(y) * x) for x in columns for y in ("label", "prediction")]
+    totals = scored.agg(*sums).first()
+    return spark.createDataFrame(
+        [
+            (name, totals[2 * i], totals[2 * i + 1], fit.used, fit.dropped)
+            for i, name in enumerate([*fit.names, "(intercept)"])
+        ],
+        "term string, observed double, fitted double, used double, dropped double",
+    )
+
+
+def single_factor_models(
+    rows: DataFrame, factors: list[Factor], outcome: str = "results"
+) -> DataFrame:
+    """One model per factor: (model, term, n, odds_ratio, coefficient, std_err, z).
+
+    A model with one factor is saturated, so its odds ratios follow from the counts of
+    (factor, level, outcome): one aggregation for all of them, no fit.  A level with one
+    outcome only has no finite odds ratio and shows nulls.
+    """
+    names = term_names(factors)
+    counted = covariate_patterns(rows, factors, outcome)
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("model"), F.col(n).cast("int").alias("level")) for n in names]
+    )
+    total = {
+        code: F.sum(F.when(F.col(outcome) == code, F.col("weight")).otherwise(0)).cast("long")
+        for code in (0, 1)
+    }
+    levels = (
+        counted.select(F.explode(entries).alias("e"), outcome, "weight")
+        .groupBy("e.model", "e.level")
+        .agg(total[0].alias("n_0"), total[1].alias("n_1"))
+        .where("level IS NOT NULL")
+    )
+    given = F.lit(None).cast("int")
+    for factor in factors:
+        if factor.base is not None:
+            given = F.when(F.col("model") == factor.name, factor.base).otherwise(given)
+    asked = F.col("level") == given
+    bases = levels.groupBy("model").agg(
+        F.coalesce(F.min(F.when(asked, F.col("level"))), F.min(F.when(given.isNull(), F.col("level"))))
+        .alias("base"),
+        *[
+            F.coalesce(
+                F.min(F.when(asked, F.col(c))), F.min_by(F.when(given.isNull(), F.col(c)), "level")
+            ).alias(f"base_{c}")
+            for c in ("n_0", "n_1")
+        ],
+    )
+    counts = [F.expr(f"nullif({c}, 0)") for c in ("n_1", "n_0", "base_n_1", "base_n_0")]
+    odds = (counts[0] / counts[1]) / (counts[2] / counts[3])
+    error = F.sqrt(sum((1 / c for c in counts[1:]), 1 / counts[0]))
+    return (
+        levels.join(bases, "model")
+        .where("level <> base")
+        .select(
+            "model",
+            F.concat("model", F.lit("="), "level").alias("term"),
+            (F.col("n_0") + F.col("n_1")).alias("n"),
+            odds.alias("odds_ratio"),
+            F.log(odds).alias("coefficient"),
+            error.alias("std_err"),
+            (F.log(odds) / error).alias("z"),
+        )
+    )

@@ -1,24 +1,16 @@
-"""Joins of facts with a lookup side, safe against a hot key and a large lookup."""
+"""Joins of facts with a lookup side, safe against a hot key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only if a count shows that it has at most this many rows.
-BROADCAST_ROWS = 200_000
-
 # Parts a hot key is split into when the lookup side has to be shuffled.
 SALTS = 32
 
 _SALT = "__salt"
 
 
-def fits_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``lookup`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
-
-
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -41,14 +33,11 @@ def salted_join(
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Broadcast ``lookup`` if its counted size allows it, else a salted shuffle join."""
-    if fits_broadcast(lookup, max_rows):
-        return facts.join(F.broadcast(lookup), on, how)
-    return salted_join(facts, lookup, on, spread_by, how)
+    """Equi-join with a lookup side of unknown size.
+
+    Adaptive execution knows the bytes of both sides when they are shuffled: it broadcasts a
+    small lookup and splits the partitions of a hot key.
+    """
+    return facts.join(lookup, on, how)

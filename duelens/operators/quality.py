@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelens.operators.lookup import salted_join
-
-# Ids put into one row of the worklist; a name with more studies gets further rows.
-IDS_PER_ROW = 10_000
-
 
 class GateFailed(Exception):
     """A data-quality gate found rows it must not find."""
@@ -31,15 +26,10 @@ def grandparents(sheet: DataFrame) -> DataFrame:
     return children.intersect(parents)
 
 
-def worklist(matched: DataFrame, ids_per_row: int = IDS_PER_ROW) -> DataFrame:
-    """Raw names to be reviewed, with the studies they occur in.
-
-    Ids are joined with commas.  A name found in more than ``ids_per_row`` studies is
-    spread over several rows (``part`` 0, 1, ...) by a hash of the id, so that no task
-    ever holds all the ids of a very common name.
-    """
-    names = matched.groupBy("raw_slug").agg(
-        F.count(F.lit(1)).alias("n"),
+def worklist(matched: DataFrame) -> DataFrame:
+    """Raw names to be reviewed, one row each, with the number of studies they occur in."""
+    return matched.groupBy("raw_slug").agg(
+        F.count_distinct("trial_id").alias("trials"),
         F.max("name_of_sponsor_orig").alias("name_of_sponsor"),
         *[
             F.max(c).alias(c)
@@ -52,31 +42,16 @@ def worklist(matched: DataFrame, ids_per_row: int = IDS_PER_ROW) -> DataFrame:
             )
         ],
     )
-    # One row per part and name; ids go to a salt first, so that the join that tells
-    # them the number of parts of their name meets no hot key.
-    parts = F.greatest(F.ceil(F.col("n") / ids_per_row), F.lit(1))
-    sizes = names.select("raw_slug", parts.cast("long").alias("parts"))
-    ids = salted_join(
-        matched.select("raw_slug", "trial_id"), sizes, ["raw_slug"], ["trial_id"]
-    ).withColumn("part", F.pmod(F.xxhash64("trial_id"), F.col("parts")))
-    lists = ids.groupBy("raw_slug", "part").agg(
-        F.concat_ws(",", F.array_sort(F.collect_list("trial_id"))).alias("trials_ids")
-    )
-    return lists.join(names.drop("n"), "raw_slug").select(
-        "trials_ids",
-        "name_of_sponsor",
-        "normalized_name",
-        "normalized_parent_name",
-        "Proof",
-        "Description",
-        "Notes",
-        "part",
-    )
+
+
+def worklist_trials(matched: DataFrame) -> DataFrame:
+    """The studies of each raw name, one row for each name and study."""
+    return matched.select("raw_slug", "trial_id").distinct()
 
 
 def sorted_worklist(rows: DataFrame) -> DataFrame:
     return rows.orderBy(
-        "normalized_parent_name", "normalized_name", "name_of_sponsor", "trials_ids"
+        "normalized_parent_name", "normalized_name", "name_of_sponsor", "raw_slug"
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelens.operators.staging import staged
+
 RANGES = 256
 
 # The percentiles of a detailed summary.
@@ -37,20 +39,24 @@ def _range_number(counted: DataFrame) -> Column:
 
 
 def running_counts(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, n, upto, total): how many observations are at or below each value."""
+    """(by..., value, n, upto, total): how many observations are at or below each value.
+
+    The counted values are written once, because limits, ranges and totals all read them.
+    """
     by = by or []
+    counted = staged(counted)
     in_range = counted.withColumn("range", _range_number(counted))
     inside = Window.partitionBy(*by, "range").orderBy("value")
     within = in_range.withColumn("in_range", F.sum("n").over(inside))
     totals = in_range.groupBy(*by, "range").agg(F.sum("n").alias("range_n"))
     ranges = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     offsets = totals.select(
-        *by,
-        "range",
+        *[F.col(c).alias(f"{c}_again") for c in [*by, "range"]],
         (F.sum("range_n").over(ranges.orderBy("range")) - F.col("range_n")).alias("before"),
         F.sum("range_n").over(ranges).alias("total"),
     )
-    return within.join(offsets, [*by, "range"]).select(
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_again")) for c in [*by, "range"]]
+    return within.join(offsets, same).select(
         *by,
         "value",
         "n",
@@ -60,39 +66,47 @@ def running_counts(counted: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def cutpoints(
-    rows: DataFrame, value: str, percents: list[float], by: list[str] | None = None
+    rows: DataFrame, value: str, shares: list[tuple[int, int]], by: list[str] | None = None
 ) -> DataFrame:
-    """One row (per group) with ``cuts``: the value at each percent of the observations.
+    """One row (per group) with ``cuts``: the value at each share (k, of n) of the observations.
 
     At a whole position the mean of the two neighbours, else the next order statistic.
+    Positions are whole numbers throughout.
     """
     by = by or []
     running = running_counts(counted_values(rows, value, by), by)
     columns = []
-    for p in percents:
-        # Positions in hundredths keep the test for a whole position free of rounding.
-        scaled = F.col("total") * int(round(p * 1000))
-        whole = scaled % 100_000 == 0
-        at = (scaled - scaled % 100_000) / 100_000
-        lower = F.when(whole, at).otherwise(at + 1)
-        upper = at + 1
-        low = F.min(F.when(F.col("upto") >= lower, F.col("value").cast("double")))
-        high = F.min(F.when(F.col("upto") >= upper, F.col("value").cast("double")))
-        columns.append((low + F.coalesce(high, low)) / 2)
+    for k, n in shares:
+        scaled = F.col("total") * k
+        at = F.expr(f"total * {k} DIV {n}")
+        lower = F.when(scaled % n == 0, at).otherwise(at + 1)
+        low = F.min(F.when(F.col("upto") >= lower, F.col("value")))
+        high = F.min(F.when(F.col("upto") >= at + 1, F.col("value")))
+        columns.append((low.cast("double") + F.coalesce(high, low).cast("double")) / 2)
     return running.groupBy(*by).agg(F.array(*columns).alias("cuts"))
 
 
-def quantile_bin(rows: DataFrame, value: str, bins: int, name: str) -> DataFrame:
-    """Bin 1..``bins`` by cutpoints; equal values share a bin, missing values have none.
+def quantile_bins(rows: DataFrame, value: str, bins: dict[str, int]) -> DataFrame:
+    """A column of bins 1..n for each name; equal values share a bin, missing values have none.
 
-    The ``bins - 1`` cutpoints are read at once, so that the bins cost nothing afterwards.
+    Values are counted once for all columns.  The cutpoints are read at once, so that the bins
+    cost nothing afterwards.
     """
-    percents = [100 * k / bins for k in range(1, bins)]
-    found = cutpoints(rows, value, percents).first()
-    below = F.lit(0)
-    for cut in found["cuts"] if found else []:
-        below = below + F.when(F.col(value) > cut, 1).otherwise(0)
-    return rows.withColumn(name, F.when(F.col(value).isNotNull(), below + 1).cast("int"))
+    shares = [(k, n) for n in bins.values() for k in range(1, n)]
+    found = cutpoints(rows, value, shares).first()
+    cuts = iter(found["cuts"] if found else [])
+    columns = {}
+    for name, n in bins.items():
+        below = F.lit(0)
+        for _, cut in zip(range(1, n), cuts):
+            below = below + F.when(F.col(value) > cut, 1).otherwise(0)
+        columns[name] = F.when(F.col(value).isNotNull(), below + 1).cast("int")
+    return rows.withColumns(columns)
+
+
+def quantile_bin(rows: DataFrame, value: str, bins: int, name: str) -> DataFrame:
+    """Bin 1..``bins`` by cutpoints."""
+    return quantile_bins(rows, value, {name: bins})
 
 
 def detailed_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -108,7 +122,7 @@ def detailed_summary(rows: DataFrame, value: str, by: list[str] | None = None) -
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    points = cutpoints(rows, value, DETAIL_PERCENTILES, by)
+    points = cutpoints(rows, value, [(p, 100) for p in DETAIL_PERCENTILES], by)
     if by:
         keyed = moments.select(*by, *[c for c in moments.columns if c not in by])
         on = [keyed[c].eqNullSafe(points[c]) for c in by]

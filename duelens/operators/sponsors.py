@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duelens.functions.labels import DUE_STATUSES, INCONSISTENT_STATUSES
 from duelens.functions.numbers import percent
 from duelens.functions.text import web_slug
-from duelens.operators.lookup import BROADCAST_ROWS, lookup_join, salted_join
+from duelens.operators.lookup import lookup_join, salted_join
 from duelens.operators.staging import staged
 
 # Columns taken from the reviewed sheet of sponsor names.
@@ -37,9 +37,7 @@ def with_slugs(sheet: DataFrame) -> DataFrame:
     )
 
 
-def match_sponsors(
-    trials: DataFrame, slugged_sheet: DataFrame, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def match_sponsors(trials: DataFrame, slugged_sheet: DataFrame) -> DataFrame:
     """Every study row with its normalised sponsor; '' where the sheet has no such name.
 
     The raw name becomes ``name_of_sponsor_orig``.
@@ -47,7 +45,7 @@ def match_sponsors(
     name = F.coalesce("name_of_sponsor", F.lit(""))
     raw = trials.withColumn("name_of_sponsor_orig", name).drop("name_of_sponsor")
     raw = raw.withColumn("raw_slug", web_slug(F.col("name_of_sponsor_orig")))
-    matched = lookup_join(raw, slugged_sheet, ["raw_slug"], ["trial_id"], "left", max_rows)
+    matched = lookup_join(raw, slugged_sheet, ["raw_slug"], "left")
     return matched.na.fill("", [*SHEET_COLUMNS, "slug", "parent_slug"])
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from duelens.operators import (
 )
 from duelens.operators.classify import with_labels
 from duelens.operators.cleaning import clean_records
-from duelens.operators.staging import shared_folder, staged
+from duelens.operators.staging import new_path, staged
 from duelens.plans import pipelines
 from duelens.plans.oracle import CUTOFF, cut_points, percent, slug, with_views
 from duelens.schema import STUDY_SCAN_COLUMNS
@@ -216,10 +215,6 @@ def event_properties(spark: SparkSession, folder: str) -> DataFrame:
     return testbed.table(spark, folder, "events").select("event_id", parsed["k"].alias("k"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}"
-
-
 @query(
     "study_table_csv_round_trip",
     """SELECT trial_id, coalesce(name_of_sponsor, '') AS name_of_sponsor,
@@ -227,7 +222,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     FROM study_names JOIN coded USING (trial_id)""",
 )
 def study_table_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = _scratch(spark, "study_table.csv")
+    path = new_path(spark, "study-table-csv")
     sinks.write_csv(study_rows(spark, folder), path, rollup.TRIAL_COLUMNS)
     back = scans.read_trial_csv(spark, path)
     return back.select("trial_id", "name_of_sponsor", "max_end_date", "phase", "trial_title")
@@ -238,7 +233,7 @@ def study_table_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT slug, sponsor_name, total_trials, percent_reported FROM sponsors",
 )
 def sponsor_json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = _scratch(spark, "sponsors.json")
+    path = new_path(spark, "sponsors-json")
     rows = sponsor_table(spark, folder)
     sinks.write_json(rows, path, ["slug"])
     back = scans.read_json(spark, path, rows.schema)
@@ -501,6 +496,14 @@ def _incomplete_matches(spark: SparkSession, folder: str) -> DataFrame:
     return sponsors.match_sponsors(study_rows(spark, folder), sheet)
 
 
+def _incomplete_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The same match by study and raw name only: no study columns, one pass over the records."""
+    unnested = rollup.unnest_sponsors(records(spark, folder))
+    names = unnested.select(F.col("eudract_number").alias("trial_id"), "name_of_sponsor")
+    sheet = sponsors.with_slugs(testbed.sponsor_sheet(spark, folder, complete=False))
+    return staged(sponsors.match_sponsors(names.distinct(), sheet))
+
+
 INCOMPLETE = {
     "reviewed": "SELECT * FROM sheet WHERE NOT (k % 10 = 9 AND name_of_sponsor LIKE '% Ltd.')"
 }
@@ -519,7 +522,7 @@ def unmatched_sponsors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sponsor_worklist",
-    """SELECT string_agg(trial_id, ',' ORDER BY trial_id) AS trials_ids,
+    """SELECT raw_slug, count(DISTINCT trial_id) AS trials,
       max(name_of_sponsor_orig) AS name_of_sponsor,
       coalesce(max(normalized_name), '') AS normalized_name,
       coalesce(max(normalized_parent_name), '') AS normalized_parent_name,
@@ -529,9 +532,12 @@ def unmatched_sponsors(spark: SparkSession, folder: str) -> DataFrame:
     INCOMPLETE,
 )
 def sponsor_worklist(spark: SparkSession, folder: str) -> DataFrame:
-    # One row per name, as many ids as it takes, so that it can be compared with SQL.
-    rows = quality.worklist(_incomplete_matches(spark, folder), ids_per_row=1_000_000)
-    return quality.sorted_worklist(rows).drop("part")
+    return quality.sorted_worklist(quality.worklist(_incomplete_names(spark, folder)))
+
+
+@query("sponsor_worklist_trials", "SELECT DISTINCT raw_slug, trial_id FROM matched")
+def sponsor_worklist_trials(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.worklist_trials(_incomplete_names(spark, folder))
 
 
 @query(
@@ -740,7 +746,7 @@ def total_conflicts(spark: SparkSession, folder: str) -> DataFrame:
       CASE WHEN c.record_key IS NULL THEN '2002-01-01' ELSE '2001-01-01' END AS meta_created,
       CASE WHEN i.record_key IS NULL THEN '2001-01-01' ELSE '2002-01-01' END AS meta_updated
     FROM (SELECT * FROM records WHERE o % 10 <> 0) c
-    FULL JOIN (SELECT * FROM records WHERE o % 4 = 0) i ON c.record_key = i.record_key""",
+    FULL JOIN (SELECT * FROM records WHERE o % 4 = 0 OR o % 10 = 0) i ON c.record_key = i.record_key""",
 )
 def record_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = plain_records(spark, folder)
@@ -756,14 +762,19 @@ def record_upsert(spark: SparkSession, folder: str) -> DataFrame:
         then.alias("meta_created"),
         then.alias("meta_updated"),
     )
-    # The new rows no longer have an end date.
-    incoming = rows.where(number % 4 == 0).select(
-        key,
-        F.md5(F.concat(F.lit("new"), key)).alias("meta_id"),
-        F.lit("Completed").alias("end_of_trial_status"),
+    # The new rows no longer have an end date; each comes twice, and the second counts.
+    versions = F.explode(F.array(F.lit("Ongoing"), F.lit("Completed")))
+    incoming = (
+        rows.where((number % 4 == 0) | (number % 10 == 0))
+        .select(
+            key,
+            F.md5(F.concat(F.lit("new"), key)).alias("meta_id"),
+            versions.alias("end_of_trial_status"),
+        )
+        .withColumn("version", (F.col("end_of_trial_status") == "Completed").cast("int"))
     )
     return with_text_days(
-        upsert.upsert(current, incoming, now),
+        upsert.upsert(current, incoming, now, order=["version"]),
         "date_of_the_global_end_of_the_trial",
         "meta_created",
         "meta_updated",
@@ -801,7 +812,7 @@ def current_record_versions(spark: SparkSession, folder: str) -> DataFrame:
 )
 def streamed_records(spark: SparkSession, folder: str) -> DataFrame:
     """The events as a stream of record versions, upserted batch by batch."""
-    run = f"{_scratch(spark, 'stream')}-{uuid4().hex}"
+    run = new_path(spark, "stream")
     # A stream reads folders or patterns; this one fits the one file of events.
     files = f"{folder}/event[s].parquet"
     fields = testbed.table(spark, folder, "events").schema
@@ -963,31 +974,37 @@ def cohort_crosstabs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "single_country_crosstabs",
-    _tables_sql(["phase", "sponsor_status"], "(SELECT * FROM due_cohort WHERE country_count = 1)",
-                CROSS_SQL),
+    _tables_sql(CATEGORIES, "(SELECT * FROM due_cohort WHERE country_count = 1)", CROSS_SQL),
 )
 def single_country_crosstabs(spark: SparkSession, folder: str) -> DataFrame:
     rows = cohort.single_country(due_rows(spark, folder))
-    return _missing_as_code(cohort.crosstabs(rows, ["phase", "sponsor_status"]))
+    return _missing_as_code(cohort.crosstabs(rows, CATEGORIES))
+
+
+PROPORTION_VARIABLES = [*CATEGORIES, "decile", "everything"]
+
+_SHARES = f"""SELECT variable, value, n_1::DOUBLE / nullif(n_0 + n_1, 0) AS p, (n_0 + n_1)::DOUBLE AS n
+  FROM ({_tables_sql(PROPORTION_VARIABLES, "(SELECT *, 0 AS everything FROM due_cohort)", CROSS_SQL)})"""
+
+
+def _limit_sql(sign: str) -> str:
+    """End of the interval on the logit scale; a share of 0 or 1 has none."""
+    half = f"{cohort.t_95_sql('n - 1')} * sqrt(p * (1 - p) / (n - 1)) / (p * (1 - p))"
+    return f"""CASE WHEN p > 0 AND p < 1 AND n > 1
+      THEN round(1 / (1 + exp(-(ln(p / (1 - p)) {sign} {half}))), 6) END"""
 
 
 @query(
     "cohort_proportions",
     f"""SELECT variable, value, round(p, 6) AS proportion,
-      round(sqrt(p * (1 - p) / nullif(n - 1, 0)), 6) AS std_err,
-      round(1 / (1 + exp(-(ln(p / (1 - p))
-        - {cohort.Z_95} * sqrt(p * (1 - p) / (n - 1)) / (p * (1 - p))))), 6) AS ci_low,
-      round(1 / (1 + exp(-(ln(p / (1 - p))
-        + {cohort.Z_95} * sqrt(p * (1 - p) / (n - 1)) / (p * (1 - p))))), 6) AS ci_high
-    FROM (SELECT variable, value, n_1::DOUBLE / (n_0 + n_1) AS p, (n_0 + n_1)::DOUBLE AS n
-          FROM ({_tables_sql(["phase", "rare_disease", "country_count"], "due_cohort", CROSS_SQL)}))
-    WHERE p > 0 AND p < 1 AND n > 1""",
+      round(CASE WHEN n > 1 THEN sqrt(p * (1 - p) / (n - 1)) END, 6) AS std_err,
+      {_limit_sql("-")} AS ci_low, {_limit_sql("+")} AS ci_high
+    FROM ({_SHARES})""",
 )
 def cohort_proportions(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["phase", "rare_disease", "country_count"]
-    tables = cohort.proportions(cohort.crosstabs(due_rows(spark, folder), names))
-    shown = tables.where((F.col("n_0") > 0) & (F.col("n_1") > 0))
-    return _missing_as_code(shown).select(
+    rows = due_rows(spark, folder).withColumn("everything", F.lit(0))
+    tables = cohort.proportions(cohort.crosstabs(rows, PROPORTION_VARIABLES))
+    return _missing_as_code(tables).select(
         "variable",
         "value",
         *[F.round(c, 6).alias(c) for c in ("proportion", "std_err", "ci_low", "ci_high")],
@@ -1155,21 +1172,22 @@ def one_study_per_sponsor(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.one_per_group(rows, "normalized_name", "trial_id")
 
 
-@query(
-    "cohort_labels",
-    """SELECT trial_id, CASE sponsor_status WHEN 0 THEN 'noncommercial' WHEN 1 THEN 'commercial'
-        WHEN 2 THEN 'mixed/unclear' WHEN 3 THEN 'blank' END AS sponsor_status_label,
-      CASE trial_status WHEN 0 THEN 'all_ongoing' WHEN 1 THEN 'all complete (or terminated)'
-        WHEN 2 THEN 'any complete (or terminated)' WHEN 3 THEN 'other(suspended)'
-        WHEN 4 THEN 'blank' END AS trial_status_label,
-      CASE phase WHEN 0 THEN 'discordant' ELSE phase::VARCHAR END AS phase_label
-    FROM coded""",
-)
+def _labels_sql() -> str:
+    """The labels as SQL, from the fixed lists; a code outside a list has none."""
+    return ", ".join(
+        f"CASE {name} "
+        + " ".join(f"WHEN {code} THEN '{words}'" for code, words in known.items())
+        + f" END AS {name}_label"
+        for name, known in labels.COHORT_LABELS.items()
+    )
+
+
+@query("cohort_labels", f"SELECT trial_id, {_labels_sql()} FROM cohort")
 def cohort_labels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = coded(spark, folder)
-    for variable in ("sponsor_status", "trial_status", "phase"):
+    rows = cohort_rows(spark, folder)
+    for variable in labels.COHORT_LABELS:
         rows = cohort.with_labels(rows, variable)
-    return rows.select("trial_id", "sponsor_status_label", "trial_status_label", "phase_label")
+    return rows.select("trial_id", *[f"{v}_label" for v in labels.COHORT_LABELS])
 
 
 # --- models --------------------------------------------------------------------------------
@@ -1187,80 +1205,108 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-SINGLE_FACTORS = [
-    logistic.Factor("phase", 3),
-    logistic.Factor("sponsor_status"),
-    logistic.Factor("includes_pip"),
-    logistic.Factor("rare_disease"),
-    logistic.Factor("health_volunteers"),
-    logistic.Factor("country_count"),
-    logistic.Factor("multiple_sponsors"),
-]
+MODEL_ROWS = {"model_rows": f"SELECT * FROM due_cohort WHERE completionyear >= {FIRST_YEAR}"}
 
 
 def _closed_form_sql(factor: logistic.Factor) -> str:
     name = factor.name
     base = f"{factor.base}" if factor.base is not None else f"(SELECT min({name}) FROM model_rows)"
+    odds = "(nullif(l.a, 0)::DOUBLE / nullif(l.b, 0)) / (nullif(r.a, 0)::DOUBLE / nullif(r.b, 0))"
+    errors = " + ".join(f"1.0 / nullif({c}, 0)" for c in ("l.a", "l.b", "r.a", "r.b"))
     return f"""
-SELECT '{name}' AS model, '{name}=' || l.v::VARCHAR AS term,
-  round((l.a::DOUBLE / l.b) / (r.a::DOUBLE / r.b), 4) AS odds_ratio,
-  round(ln((l.a::DOUBLE / l.b) / (r.a::DOUBLE / r.b)), 3) AS coefficient,
-  round(sqrt(1.0 / l.a + 1.0 / l.b + 1.0 / r.a + 1.0 / r.b), 3) AS std_err
+SELECT '{name}' AS model, '{name}=' || l.v::VARCHAR AS term, l.a + l.b AS n,
+  round({odds}, 4) AS odds_ratio, round(ln({odds}), 3) AS coefficient,
+  round(sqrt({errors}), 3) AS std_err
 FROM (SELECT {name} AS v, count(*) FILTER (results = 1) AS a, count(*) FILTER (results = 0) AS b
       FROM model_rows GROUP BY {name}) l
 JOIN (SELECT count(*) FILTER (results = 1) AS a, count(*) FILTER (results = 0) AS b
-      FROM model_rows WHERE {name} = {base}) r ON l.v <> {base}
--- A level with one outcome only has no finite odds ratio and is left out of the model.
-WHERE l.a > 0 AND l.b > 0"""
+      FROM model_rows WHERE {name} = {base}) r ON l.v <> {base}"""
 
 
 @query(
     "single_factor_models",
-    " UNION ALL ".join(_closed_form_sql(f) for f in SINGLE_FACTORS),
-    {"model_rows": f"SELECT * FROM due_cohort WHERE completionyear >= {FIRST_YEAR}"},
+    " UNION ALL ".join(_closed_form_sql(f) for f in logistic.FACTORS),
+    MODEL_ROWS,
 )
 def single_factor_models(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _model_rows(spark, folder)
-    fitted = logistic.single_term_models(spark, rows, SINGLE_FACTORS)
-    return (
-        _rounded(fitted)
-        .where(F.col("term") != "(intercept)")
-        .select("model", "term", "odds_ratio", "coefficient", "std_err")
-    )
+    fitted = logistic.single_factor_models(_model_rows(spark, folder), logistic.FACTORS)
+    digits = {"odds_ratio": 4, "coefficient": 3, "std_err": 3}
+    return fitted.withColumns({c: F.round(c, d) for c, d in digits.items()}).drop("z")
+
+
+_OTHERS = [f for f in logistic.FACTORS if f.name != "quartile"]
+# The first year of the test tables stands for the register's base year.
+MODELS = {
+    "year_model": [logistic.CONTINUOUS_YEAR],
+    "full_model": [logistic.CONTINUOUS_YEAR, *logistic.FACTORS],
+    "sponsor_size_model": [logistic.CONTINUOUS_YEAR, "sponsor_trial_count", *_OTHERS],
+    "year_dummies_model": [logistic.Factor("completionyear", FIRST_YEAR), *logistic.FACTORS],
+    "sampled_sponsor_model": [logistic.CONTINUOUS_YEAR, *logistic.FACTORS],
+}
+
+
+def _rows_of_model(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    if name == "sampled_sponsor_model":
+        return cohort.one_per_group(due_rows(spark, folder), "normalized_name", "trial_id")
+    return _model_rows(spark, folder)
+
+
+def _fitted(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    rows = _rows_of_model(spark, folder, name)
+    return _rounded(logistic.odds_ratios(spark, rows, MODELS[name]))
 
 
 @query("year_model")
 def year_model(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(logistic.odds_ratios(spark, _model_rows(spark, folder), ["completionyear"]))
+    return _fitted(spark, folder, "year_model")
 
 
 @query("full_model")
 def full_model(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _model_rows(spark, folder)
-    terms = [logistic.CONTINUOUS_YEAR, *logistic.FACTORS]
-    return _rounded(logistic.odds_ratios(spark, rows, terms))
+    return _fitted(spark, folder, "full_model")
 
 
 @query("sponsor_size_model")
 def sponsor_size_model(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _model_rows(spark, folder)
-    others = [f for f in logistic.FACTORS if f.name != "quartile"]
-    terms = [logistic.CONTINUOUS_YEAR, "sponsor_trial_count", *others]
-    return _rounded(logistic.odds_ratios(spark, rows, terms))
+    return _fitted(spark, folder, "sponsor_size_model")
 
 
 @query("year_dummies_model")
 def year_dummies_model(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _model_rows(spark, folder)
-    terms = [logistic.YEAR_FACTOR, *logistic.FACTORS]
-    return _rounded(logistic.odds_ratios(spark, rows, terms))
+    return _fitted(spark, folder, "year_dummies_model")
 
 
 @query("sampled_sponsor_model")
 def sampled_sponsor_model(spark: SparkSession, folder: str) -> DataFrame:
-    sample = cohort.one_per_group(due_rows(spark, folder), "normalized_name", "trial_id")
-    terms = [logistic.CONTINUOUS_YEAR, logistic.Factor("includes_pip")]
-    return _rounded(logistic.odds_ratios(spark, sample, terms))
+    return _fitted(spark, folder, "sampled_sponsor_model")
+
+
+def _known_rows_sql(name: str) -> str:
+    source = "model_rows"
+    if name == "sampled_sponsor_model":
+        source = """(SELECT * FROM due_cohort QUALIFY row_number() OVER (
+          PARTITION BY normalized_name ORDER BY md5('1:' || trial_id), trial_id) = 1)"""
+    known = " AND ".join(f"{t} IS NOT NULL" for t in ["results", *logistic.term_names(MODELS[name])])
+    return f"SELECT '{name}' AS model, count(*) AS n, 0.0 AS gap FROM {source} WHERE {known}"
+
+
+@query("model_fits", " UNION ALL ".join(map(_known_rows_sql, MODELS)), MODEL_ROWS)
+def model_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """Where a model has converged, observed and fitted totals agree for every term.
+
+    (model, rows used or left out for perfect levels, largest difference of the totals).
+    """
+    found = None
+    for name, terms in MODELS.items():
+        totals = logistic.fit_totals(spark, _rows_of_model(spark, folder, name), terms)
+        one = totals.agg(
+            F.lit(name).alias("model"),
+            F.max(F.col("used") + F.col("dropped")).cast("long").alias("n"),
+            # plus 0.0: no negative zero
+            (F.round(F.max(F.abs(F.col("observed") - F.col("fitted"))), 3) + 0.0).alias("gap"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 # --- browsing ------------------------------------------------------------------------------

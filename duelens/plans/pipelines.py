@@ -62,7 +62,7 @@ def write_study_table(
 
 
 def sponsor_trials(
-    trials: DataFrame, sheet: DataFrame, on_unmatched: str = "exclude", max_rows: int | None = None
+    trials: DataFrame, sheet: DataFrame, on_unmatched: str = "exclude"
 ) -> DataFrame:
     """Study rows -> one classified row per normalised sponsor and study.
 
@@ -70,8 +70,7 @@ def sponsor_trials(
     'fail' stops with the worklist if there are any.
     """
     slugged = sponsors.with_slugs(sheet)
-    size = {} if max_rows is None else {"max_rows": max_rows}
-    matched = sponsors.match_sponsors(trials, slugged, **size)
+    matched = sponsors.match_sponsors(trials, slugged)
     if on_unmatched == "fail" and not sponsors.unmatched(matched).isEmpty():
         raise quality.GateFailed(
             "sponsor names without a normalised name", quality.worklist(matched)

@@ -165,7 +165,7 @@ def protocol_records(
         supplier = table(spark, folder, "supplier").selectExpr(
             "s_suppkey AS l_suppkey", "s_name", "s_acctbal"
         )
-        rows = lookup_join(rows, supplier, ["l_suppkey"], ["o", "n"])
+        rows = lookup_join(rows, supplier, ["l_suppkey"])
         columns["sponsors"] = SPONSORS
     if scrapes:
         months = table(spark, folder, "orders").selectExpr(

@@ -11,14 +11,22 @@ KEPT = ["meta_id", "meta_created"]
 
 
 def upsert(
-    current: DataFrame, incoming: DataFrame, now: Column, key: str = RECORD_KEY
+    current: DataFrame,
+    incoming: DataFrame,
+    now: Column,
+    key: str = RECORD_KEY,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Whole-row replace by key; a field the new row lacks becomes null.
 
-    ``incoming`` has one row per key.  ``meta_id`` and ``meta_created`` of a known record
+    Of several incoming rows of a key the last by ``order`` counts (by all its columns, if no
+    order is given).  ``meta_id`` and ``meta_created`` of a known record
     stay, ``meta_updated`` becomes ``now``.  One full join, one shuffle of each side.
     """
-    old, new = current.alias("old"), incoming.alias("new")
+    rest = [c for c in incoming.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*(order or rest)))
+    newest = incoming.groupBy(key).agg(last.alias("last")).select(key, "last.*")
+    old, new = current.alias("old"), newest.alias("new")
     arrived = F.col(f"new.{key}").isNotNull()
     columns = []
     for name in current.columns:

@@ -152,11 +152,11 @@ def test_unmatched_names_stop_the_run(spark):
         pipelines.sponsor_trials(rows, sheet(spark), "fail")
     work = quality.sorted_worklist(failure.value.rows).collect()
     assert (work[0].name_of_sponsor, work[0].normalized_name) == ("unmatched", "")
-    assert work[0].trials_ids == "2004-000406-51"
+    assert work[0].trials == 1
     assert len(pipelines.sponsor_trials(rows, sheet(spark)).collect()) == 10
 
 
-def test_worklist_spreads_a_common_name_and_loses_no_id(spark):
+def test_worklist_is_flat_and_loses_no_id(spark):
     matched = spark.range(5_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 50)).alias(
             "raw_slug"
@@ -165,10 +165,11 @@ def test_worklist_spreads_a_common_name_and_loses_no_id(spark):
         F.lit("raw").alias("name_of_sponsor_orig"),
         *[F.lit("").alias(c) for c in sponsors.SHEET_COLUMNS[1:]],
     )
-    rows = quality.worklist(matched, ids_per_row=100).collect()
-    ids = [i for r in rows for i in r.trials_ids.split(",")]
-    assert sorted(map(int, ids)) == list(range(5_000))
-    assert max(len(r.trials_ids.split(",")) for r in rows) < 250
+    twice = matched.union(matched)
+    ids = [int(r.trial_id) for r in quality.worklist_trials(twice).collect()]
+    assert sorted(ids) == list(range(5_000))
+    names = {r.raw_slug: r.trials for r in quality.worklist(twice).collect()}
+    assert len(names) == 51 and names["hot"] == 1_667 and sum(names.values()) == 5_000
 
 
 def test_sheet_gates(spark):

@@ -23,17 +23,14 @@ def test_salted_join_equals_plain_join_with_a_hot_key(spark):
         lookup.salted_join(facts, table, ["k"], ["v"], "full")
 
 
-def test_broadcast_only_below_the_bound(spark):
+def test_lookup_join_leaves_the_choice_to_spark(spark):
     facts = spark.range(100).selectExpr("id % 10 AS k", "id AS v")
-    table = spark.range(10).selectExpr("id AS k", "id AS w")
-
-    def plan(rows):
-        return rows._jdf.queryExecution().optimizedPlan().toString()
-
-    small = lookup.lookup_join(facts, table, ["k"], ["v"], max_rows=10)
-    large = lookup.lookup_join(facts, table, ["k"], ["v"], max_rows=9)
-    assert "broadcast" in plan(small) and "broadcast" not in plan(large)
-    assert sorted(small.collect()) == sorted(large.collect())
+    table = spark.range(9).selectExpr("id AS k", "id AS w")
+    joined = lookup.lookup_join(facts, table, ["k"], "left")
+    assert "broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.v, r.w) for r in joined.collect()} == {
+        (v, v % 10 if v % 10 < 9 else None) for v in range(100)
+    }
 
 
 def cut(values, p):
@@ -112,3 +109,49 @@ def test_logistic_matches_closed_form_and_drops_hopeless_terms(spark):
     assert terms == {"g", "(intercept)"}
     other = logistic.odds_ratios(spark, some, [logistic.Factor("g", 1)]).collect()
     assert {r.term for r in other} == {"g=0", "(intercept)"}
+
+
+def test_single_factors_need_no_fit(spark):
+    cells = {(0, 0): 40, (0, 1): 20, (1, 0): 15, (1, 1): 30, (2, 1): 9, (None, 1): 5}
+    rows = spark.createDataFrame(
+        [(g, y, 1 - y) for (g, y), n in cells.items() for _ in range(n)],
+        "g int, results int, h int",
+    )
+    factors = [logistic.Factor("g", 1), logistic.Factor("h")]
+    found = {r.term: r for r in logistic.single_factor_models(rows, factors).collect()}
+    assert set(found) == {"g=0", "g=2", "h=1"}
+    assert math.isclose(found["g=0"].odds_ratio, (20 / 40) / (30 / 15), rel_tol=1e-12)
+    assert math.isclose(found["g=0"].std_err, math.sqrt(1 / 40 + 1 / 20 + 1 / 15 + 1 / 30))
+    assert (found["g=2"].n, found["g=2"].odds_ratio, found["h=1"].odds_ratio) == (9, None, None)
+
+
+def test_levels_go_until_none_is_perfect_and_rows_are_counted(spark):
+    cells = {(0, 0, 0): 5, (0, 0, 1): 6, (1, 0, 1): 4, (1, 1, 1): 3, (0, 1, 0): 2, (1, 2, 0): 7}
+    rows = spark.createDataFrame(
+        [(a, b, y) for (a, b, y), n in cells.items() for _ in range(n)], "a int, b int, results int"
+    )
+    terms = [logistic.Factor("a"), logistic.Factor("b")]
+    found = logistic.odds_ratios(spark, rows, terms).collect()
+    # b=2 goes first; then a=1 has one outcome only, and after it b=1.
+    assert {r.term for r in found} == {"(intercept)"}
+    assert {(r.used, r.dropped) for r in found} == {(11.0, 16.0)}
+    totals = logistic.fit_totals(spark, rows, terms).collect()
+    assert all(math.isclose(t.observed, t.fitted, abs_tol=1e-6) for t in totals)
+    with pytest.raises(ValueError, match="no level 9"):
+        logistic.odds_ratios(spark, rows, [logistic.Factor("a", 9)])
+
+
+def test_t_points():
+    known = {6: 2.4469, 10: 2.2281, 30: 2.0423, 120: 1.9799}
+    for freedom, point in known.items():
+        value = cohort.Z_95 + sum(t / freedom**k for k, t in enumerate(cohort._t_terms(), 1))
+        assert math.isclose(value, point, abs_tol=3e-4)
+
+
+def test_three_and_seven_bins_are_exact(spark):
+    rows = spark.range(1, 30_001).selectExpr("id AS v")
+    for bins in (3, 6, 7):
+        found = quantile.quantile_bins(rows, "v", {"b": bins, "c": 4}).groupBy("b").count().collect()
+        assert sorted(r["count"] for r in found) == sorted(
+            30_000 * k // bins - 30_000 * (k - 1) // bins for k in range(1, bins + 1)
+        )
