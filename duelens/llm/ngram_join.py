@@ -6,10 +6,11 @@ than that, some segment holds the same shingles in both. A tile is a size band,
 sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit parity bitmaps
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
-Equal sets are one node. The first pass joins each node with its nearest neighbour of the
-tiles and turns what holds into components; the second pass compares, in tiles
-that still hold several components, all nodes of different components. So no link between
-components is lost and the pairs inside a large group of near copies are never listed.
+Equal sets are one node. First each node is compared with its nearest neighbour of the tiles, and what
+holds becomes components. Then, as long as that joins anything, neighbouring components of a tile are
+compared through one node of each. At last, in tiles that still hold several components, all nodes of
+different components are compared. So no link between components is lost, and the pairs
+inside a large group of near copies are not listed.
 
 A null text is an empty text. An empty set is linked with nothing. Null ids name no document:
 such rows take part only through equal sets, and a set without any id has a null component.
@@ -225,18 +226,16 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .groupBy("b")
         .agg(F.min_by("a", F.struct(_differing_bits("x", "y"), F.col("a"))).alias("a"))
     )
-    links = _verified(docs, nodes, staged(near.select("a", "b")), width, percent)
-    grouped = components(links)
-    placed = members.join(grouped, "id", "left").select(
-        "tile", "id", F.coalesce("component", "id").alias("component")
-    )
-    mixed_tiles = (
-        placed.groupBy("tile")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("tile")
-    )
-    open_rows = staged(placed.join(mixed_tiles, "tile").join(known, "id"))
+    tried = staged(near.select("a", "b"))
+    links = _verified(docs, nodes, tried, width, percent)
+    placed = _placed(nodes.select("id").distinct(), links)
+    while True:
+        open_rows = _open_rows(members, placed, known)
+        pairs = staged(_between_components(open_rows, percent).join(tried, ["a", "b"], "left_anti"))
+        more = _verified(docs, nodes, pairs, width, percent)
+        if more.isEmpty():
+            break
+        placed, tried = _placed(placed, more), tried.union(pairs)
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = staged(
         x.join(
@@ -248,19 +247,10 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
+        .join(tried, ["a", "b"], "left_anti")
     )
-    more = _verified(docs, nodes, across, width, percent)
-    first = nodes.select("id", "set_key").join(grouped, "id", "left")
-    first = first.select("id", "set_key", F.coalesce("component", "id").alias("first"))
-    ends = first.select("id", "first").distinct()
-    joined = (
-        more.join(ends.toDF("a", "x"), "a")
-        .join(ends.toDF("b", "y"), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    names = first.join(components(joined).toDF("first", "last"), "first", "left").select(
-        "set_key", F.coalesce("last", "first").alias("component_id")
-    )
+    placed = _placed(placed, _verified(docs, nodes, across, width, percent))
+    names = nodes.select("id", "set_key").join(placed, "id")
     return (
         sets.select("doc_id", "n_shingles", "set_key")
         .join(names, "set_key", "left")
@@ -268,12 +258,66 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
             "doc_id",
             "n_shingles",
             F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-            .otherwise(F.col("component_id"))
+            .otherwise(F.col("component"))
             .alias("component_id"),
         )
     )
 
 
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after ``links`` have joined the components so far (each node its own at first)."""
+    if "component" not in nodes.columns:
+        nodes = nodes.withColumn("component", F.col("id"))
+    ends = (
+        links.join(nodes.toDF("a", "x"), "a")
+        .join(nodes.toDF("b", "y"), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    joined = components(ends).toDF("component", "smallest")
+    return staged(
+        nodes.join(joined, "component", "left").select(
+            "id", F.coalesce("smallest", "component").alias("component")
+        )
+    )
+
+
+def _open_rows(members: DataFrame, placed: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the tiles that hold several components, with size and bitmap."""
+    rows = members.select("tile", "id").join(placed, "id")
+    several = (
+        rows.groupBy("tile")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("tile")
+    )
+    return staged(rows.join(several, "tile").join(known, "id"))
+
+
+def _between_components(open_rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each two components next to each other in some tile, their closest pair of nodes.
+
+    Of each component and tile the node with the smallest id stands for it.
+    """
+    node = F.struct("id", "n_shingles", "bitmap")
+    one_each = open_rows.groupBy("tile", "component").agg(F.min_by(node, "id").alias("y"))
+    pairs = one_each.select(
+        "component",
+        "y",
+        F.expr("lag(y) OVER (PARTITION BY tile ORDER BY component)").alias("x"),
+        F.expr("lag(component) OVER (PARTITION BY tile ORDER BY component)").alias("other"),
+    )
+    ends = F.struct(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    )
+    return (
+        pairs.where(F.col("x").isNotNull() & _may_link("x", "y", percent))
+        .groupBy("other", "component")
+        .agg(F.min_by(ends, F.struct(_differing_bits("x", "y"), ends)).alias("ends"))
+        .select("ends.a", "ends.b")
+        .distinct()
+    )
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near duplicates: of each group the document with the smallest id stays.
 
