@@ -7,8 +7,8 @@ sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
 Equal sets are one node. First each node is compared with its nearest neighbour of the tiles, and what
-holds becomes components. Then, as long as that joins anything, neighbouring components of a tile are
-compared through one node of each. At last, in tiles that still hold several components, all nodes of
+holds becomes components. Then neighbouring components of a tile are compared through one node of each, until
+a round finds less than a hundredth of the links of the first. At last, in tiles that still hold several components, all nodes of
 different components are compared. So no link between components is lost, and the pairs
 inside a large group of near copies are not listed.
 
@@ -228,14 +228,15 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     )
     tried = staged(near.select("a", "b"))
     links = _verified(docs, nodes, tried, width, percent)
-    placed = _placed(nodes.select("id").distinct(), links)
+    placed, found = _placed(nodes.select("id").distinct(), links), links.count()
     while True:
         open_rows = _open_rows(members, placed, known)
         pairs = staged(_between_components(open_rows, percent).join(tried, ["a", "b"], "left_anti"))
         more = _verified(docs, nodes, pairs, width, percent)
-        if more.isEmpty():
-            break
         placed, tried = _placed(placed, more), tried.union(pairs)
+        if more.count() * 100 <= found:
+            break
+    open_rows = _open_rows(members, placed, known)
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = staged(
         x.join(
