@@ -143,3 +143,12 @@ def test_paths_are_compacted(spark):
     )
     found = {(r.owner, r.start, r.edges, r.source) for r in paths.collect()}
     assert found == {(2, 1, 28, 1), (2, 42, 8, 1)}
+
+
+@pytest.mark.parametrize("rows", [1, 200])
+def test_repeats_in_small_parts(spark, monkeypatch, rows):
+    """The same when tasks send their rows on after a few texts."""
+    monkeypatch.setattr(substring_dedup, "_HELD_ROWS", rows)
+    docs = families(8)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert _found_repeats(frame) == _plain_repeats(docs)
