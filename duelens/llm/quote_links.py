@@ -5,8 +5,8 @@ text of a message is what it does not quote. Own texts, their passages and parag
 space) and hashed, and so are quoted passages and their paragraphs. Within a conversation, a quoted hash
 leads to the first message that has it as its own; the message replies to the one it quotes at the
 lowest level, the latest of several. Without such a link it replies to the turn before, if there is one.
-Threads and depths follow from the parents by doubling: each round joins every message with the
-ancestor found so far, so a thread of n messages takes about log2(n) rounds.
+Threads and depths follow from the parents by doubling: each round joins the messages that have not reached the
+top of their thread with the ancestor found so far, so a thread of n messages takes about log2(n) rounds.
 
 Rows with a null conversation or turn have no parent and are threads of their own; a null text is an empty one
 and quotes nothing. Repeated (conv_id, turn) rows are one message with several texts: each row keeps its own
@@ -123,23 +123,24 @@ def threads(parents: DataFrame) -> DataFrame:
             "turn",
             "coalesce(parent_turn, turn) AS thread_turn",
             "CAST(if(parent_turn IS NULL, 0, 1) AS long) AS depth",
+            "parent_turn IS NULL AS done",
         )
     )
-    hops = found.agg(F.sum("depth")).first()[0]
-    while True:
-        above = found.toDF("conv_id", "thread_turn", "further", "more")
-        found = staged(
-            found.join(above, ["conv_id", "thread_turn"]).select(
+    while not found.where("NOT done").isEmpty():
+        above = found.toDF("conv_id", "thread_turn", "further", "more", "last")
+        moved = (
+            found.where("NOT done")
+            .join(above, ["conv_id", "thread_turn"])
+            .select(
                 "conv_id",
                 "turn",
                 F.col("further").alias("thread_turn"),
                 (F.col("depth") + F.col("more")).alias("depth"),
+                F.col("last").alias("done"),
             )
         )
-        total = found.agg(F.sum("depth")).first()[0]
-        if total == hops:
-            return found
-        hops = total
+        found = staged(found.where("done").union(moved))
+    return found.drop("done")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
