@@ -546,7 +546,7 @@ def sponsor_worklist_trials(spark: SparkSession, folder: str) -> DataFrame:
     FROM sponsor_trials""",
 )
 def sponsor_trials(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = sponsor_pairs(spark, folder)
+    pairs = staged(sponsor_pairs(spark, folder))
     rows = pipelines.with_studies(pairs, coded(spark, folder))
     rows = sponsors.with_total_trials(rows, pairs).withColumn(
         "max_end_date", F.coalesce(day_text("max_end_date"), F.lit(""))
