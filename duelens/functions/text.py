@@ -89,10 +89,6 @@ def display_title(full: Column, abbreviated: Column, length: int = TITLE_LENGTH)
     )
 
 
-def prefixed_url(base: str, key: Column) -> Column:
-    return F.concat(F.lit(base), key)
-
-
 def last_path_segment(url: Column) -> Column:
     return F.element_at(F.split(url, "/"), -1)
 

@@ -196,6 +196,31 @@ def crosstabs(rows: DataFrame, variables: list[str], outcome: str = "results") -
     )
 
 
+def two_way(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of two variables together, missing values rows and columns of their own."""
+    return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+def outcomes_at_the_end(
+    rows: DataFrame, series: dict[str, list[tuple[str, Column]]], outcome: str = "results"
+) -> DataFrame:
+    """(series, outcome, n): the outcome among the rows that pass all steps of each series.
+
+    Each row is read once and counted for every series it passes.
+    """
+    titles = []
+    for title, steps in series.items():
+        passed = F.lit(True)
+        for _, condition in steps:
+            passed = passed & F.coalesce(condition, F.lit(False))
+        titles.append(F.when(passed, F.lit(title)))
+    return (
+        rows.select(F.explode(F.array_compact(F.array(*titles))).alias("series"), outcome)
+        .groupBy("series", outcome)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z_95 = 1.959963984540054
 

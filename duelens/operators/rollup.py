@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelens.functions import text
 from duelens.operators.cleaning import RARE_COLUMN
+from duelens.schema import RECORD_KEY
 
 # Status texts counted together. 'Withdrawn' belongs to no group.
 STATUS_GROUPS = {
@@ -81,6 +82,16 @@ def latest_by_key(records: DataFrame, keys: list[str], order: list[str]) -> Data
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
+def unique_records(records: DataFrame, key: str = RECORD_KEY) -> DataFrame:
+    """One row per record key, the largest by all other columns if a key is repeated.
+
+    The roll-up counts rows, so a repeated key would change every code of its study.
+    """
+    rest = [c for c in records.columns if c != key]
+    largest = records.groupBy(key).agg(F.max(F.struct(*rest)).alias("largest"))
+    return largest.select(*[F.col(c if c == key else f"largest.{c}") for c in records.columns])
+
+
 # Per record: the rows its sponsor list unnests to, and how many have each status.  A
 # record without sponsors counts as one row with a blank status.
 SPONSOR_COUNTS = {

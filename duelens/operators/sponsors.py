@@ -37,6 +37,20 @@ def with_slugs(sheet: DataFrame) -> DataFrame:
     )
 
 
+def gated_slugs(slugged_sheet: DataFrame) -> DataFrame:
+    """The same sheet; a raw slug that occurs twice stops the job when the sheet is read.
+
+    It would multiply the rows of its studies.
+    """
+    rest = [c for c in slugged_sheet.columns if c != "raw_slug"]
+    grouped = slugged_sheet.groupBy("raw_slug").agg(
+        F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in rest]
+    )
+    repeated = F.raise_error(F.concat(F.lit("raw names with the same slug: "), "raw_slug"))
+    checked = F.when(F.col("times") > 1, repeated.cast("boolean")).otherwise(F.lit(True))
+    return grouped.where(checked).select(*slugged_sheet.columns)
+
+
 def match_sponsors(trials: DataFrame, slugged_sheet: DataFrame) -> DataFrame:
     """Every study row with its normalised sponsor; '' where the sheet has no such name.
 

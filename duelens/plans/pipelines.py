@@ -39,7 +39,8 @@ def build_study_table(warehouse: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     dates = expiry_cutoff(scrape_dates(warehouse))
     last = dates.select("last_scrape").scalar()
-    table = study_table(live_records(scan_records(warehouse)), due_date_cutoff(last))
+    live = rollup.unique_records(live_records(scan_records(warehouse)))
+    table = study_table(live, due_date_cutoff(last))
     meta = dates.select(
         due_date_cutoff(F.col("last_scrape")).alias("due_date_cutoff"),
         F.current_timestamp().alias("got_from_db"),
@@ -86,7 +87,8 @@ def sponsor_pairs(unnested: DataFrame, sheet: DataFrame) -> DataFrame:
     aggregation moves little data; ``with_studies`` adds them afterwards.
     """
     names = unnested.select(F.col("eudract_number").alias("trial_id"), "name_of_sponsor")
-    matched = sponsors.match_sponsors(names.distinct(), sponsors.with_slugs(sheet))
+    slugged = sponsors.gated_slugs(sponsors.with_slugs(sheet))
+    matched = sponsors.match_sponsors(names.distinct(), slugged)
     return sponsors.one_row_per_sponsor(matched.where(F.col("normalized_name") != ""))
 
 
@@ -155,7 +157,8 @@ def study_cohort(
     The rows are written once: bins, tables and models all read them.
     """
     names = unnested.select(F.col("eudract_number").alias("trial_id"), "name_of_sponsor")
-    matched = sponsors.match_sponsors(names.distinct(), sponsors.with_slugs(sheet))
+    slugged = sponsors.gated_slugs(sponsors.with_slugs(sheet))
+    matched = sponsors.match_sponsors(names.distinct(), slugged)
     known = matched.where(F.col("normalized_name") != "")
     rows = cohort.derive_variables(
         cohort.one_row_per_study(coded, known), dropped_years

@@ -18,11 +18,6 @@ from duelens.sources.upsert import current_records
 BATCH = "batch"
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str) -> str:
-    """The cluster's shared checkpoint folder if it names one, else ``fallback``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
-
-
 def _write_batch(versions_path: str, key: str, order: list[str]):
     def write(batch: DataFrame, batch_id: int) -> None:
         current_records(batch, order, key).select(*batch.columns).write.mode("overwrite").parquet(

@@ -218,3 +218,10 @@ def test_browsing(spark, published):
 def test_slug_of_the_normalised_names(spark):
     row = spark.sql("SELECT 'Unclear Sponsor Name Given - Medicines (X)' AS v")
     assert row.select(web_slug(F.col("v"))).first()[0] == "unclear-sponsor-name-given-medicines-x"
+
+
+def test_repeated_slugs_stop_pairs(spark):
+    names = spark.createDataFrame([("1", "Lilly S.A")], "eudract_number string, name_of_sponsor string")
+    assert pipelines.sponsor_pairs(names, sheet(spark)).count() == 1
+    with pytest.raises(Exception, match="same slug"):
+        pipelines.sponsor_pairs(names, sheet(spark).unionByName(sheet(spark))).count()
