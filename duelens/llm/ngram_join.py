@@ -28,18 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelens.llm.words import (
+    LOWER,
     Out,
     WordHashes,
     components,
     gram_hashes,
     lower_spaced_words,
     mixed,
+    packed_texts,
     rows_of,
+    unpacked,
 )
 from duelens.operators.staging import staged
 
 BITMAP_WORDS = 8
-_SET_TYPES = "doc_id long, n_shingles long, set_key binary, bitmap array<long>, tiles array<long>"
+_SET_TYPES = "doc_id long, n_shingles long, set_key binary, bitmap array<long>"
+_SEEN_SETS = 100_000
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -86,14 +90,13 @@ def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _set_rows(width: int, percent: int):
+def _set_rows(width: int):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("n_shingles", pa.int64()),
             ("set_key", pa.binary()),
             ("bitmap", pa.list_(pa.int64())),
-            ("tiles", pa.list_(pa.int64())),
         ]
     )
 
@@ -102,15 +105,45 @@ def _set_rows(width: int, percent: int):
         for doc_id, text in rows_of(batches):
             shingles = shingle_set(lower_spaced_words(text), width, hashes)
             key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            tiles = tiles_of(shingles, percent).view(np.int64)
-            row = (doc_id, len(shingles), key, parity_bitmap(shingles), tiles)
-            if out.add(*row, size=8 * len(tiles)):
+            if out.add(doc_id, len(shingles), key, parity_bitmap(shingles)):
                 yield out.batch()
         yield out.batch()
 
     return run
 
 
+def _tile_rows(width: int, percent: int):
+    """(doc_id, text) -> (tile, doc_id); of equal sets that meet in a task one is enough."""
+    schema = pa.schema([("tile", pa.int64()), ("doc_id", pa.int64())])
+
+    def batch(tiles, ids):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(tiles)), pa.array(np.concatenate(ids))], schema=schema
+        )
+
+    def run(batches):
+        hashes, seen = WordHashes(), set()
+        tiles, ids, held = [], [], 0
+        for doc_id, text in rows_of(batches):
+            shingles = shingle_set(lower_spaced_words(text), width, hashes)
+            key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+            if doc_id is None or key in seen:
+                continue
+            if len(seen) < _SEEN_SETS:
+                seen.add(key)
+            found = tiles_of(shingles, percent).view(np.int64)
+            tiles.append(found)
+            ids.append(np.full(len(found), doc_id, np.int64))
+            held += len(found)
+            if held > 50_000:
+                yield batch(tiles, ids)
+                tiles, ids, held = [], [], 0
+        if held:
+            yield batch(tiles, ids)
+
+    return run
+
+
 def _shared_shingles(left: bytes, right: bytes) -> int:
     """Size of the intersection of two sorted arrays of distinct hashes."""
     x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
@@ -119,15 +152,16 @@ def _shared_shingles(left: bytes, right: bytes) -> int:
 
 
 def _arrays(width: int):
-    """(id, wanted set, text) -> (id, the sorted shingles) where the text has the wanted set."""
+    """(id, wanted set, packed text) -> the sorted shingles where the text has the wanted set."""
     schema = pa.schema(
         [("id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary())]
     )
 
     def run(batches):
         out, hashes = Out(schema), WordHashes()
-        for node, wanted, text in rows_of(batches):
-            shingles = shingle_set(lower_spaced_words(text), width, hashes).tobytes()
+        for node, wanted, packed in rows_of(batches):
+            words = unpacked(packed).translate(LOWER).split()
+            shingles = shingle_set(words, width, hashes).tobytes()
             if hashlib.blake2b(shingles, digest_size=16).digest() == wanted:
                 if out.add(node, wanted, shingles, size=len(shingles)):
                     yield out.batch()
@@ -171,11 +205,12 @@ def _may_link(left: str, right: str, percent: int) -> F.Column:
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int):
     """Of ``pairs`` (a, b) those that link, with the number of shared shingles, staged."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = ends.join(nodes.select("id", "set_key"), "id")
+    # Written first, so that Spark knows its size and need not shuffle texts for a few pairs.
+    wanted = staged(ends.join(nodes.select("id", "set_key"), "id"))
     arrays = staged(
-        docs.select(F.col("doc_id").alias("id"), "text")
-        .join(wanted, "id")
-        .select("id", "set_key", "text")
+        packed_texts(docs)
+        .join(wanted, F.col("doc_id") == F.col("id"))
+        .select("id", "set_key", "packed")
         .mapInArrow(_arrays(width), "id long, set_key binary, shingles binary")
         .dropDuplicates(["id", "set_key"])
     )
@@ -195,25 +230,35 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = staged(docs.mapInArrow(_set_rows(width, percent), _SET_TYPES))
+    sets = staged(docs.mapInArrow(_set_rows(width), _SET_TYPES))
     nodes = staged(
         sets.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("id"),
-            *(F.any_value(c).alias(c) for c in ("n_shingles", "bitmap", "tiles")),
+            *(F.any_value(c).alias(c) for c in ("n_shingles", "bitmap")),
         )
     )
     known = nodes.select("id", "n_shingles", "bitmap")
+    around = [
+        f"{side}(id) OVER (PARTITION BY tile ORDER BY id) AS {name}"
+        for side, name in (("lag", "before"), ("lead", "after"))
+    ]
+    shared = "before IS NOT NULL OR after IS NOT NULL"
+    crowded = (
+        docs.mapInArrow(_tile_rows(width, percent), "tile long, doc_id long")
+        .withColumnRenamed("doc_id", "id")
+        .selectExpr("tile", "id", *around)
+        .where(shared)
+        .select("tile", F.col("id").alias("doc_id"))
+    )
+    node_of = sets.join(nodes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
     members = staged(
-        nodes.select("id", F.explode("tiles").alias("tile"))
-        .selectExpr(
-            "tile",
-            "id",
-            "lag(id) OVER (PARTITION BY tile ORDER BY id) AS before",
-            "lead(id) OVER (PARTITION BY tile ORDER BY id) AS after",
-        )
-        .where("before IS NOT NULL OR after IS NOT NULL")
+        crowded.join(node_of, "doc_id")
+        .select("tile", "id")
+        .distinct()
+        .selectExpr("tile", "id", *around)
+        .where(shared)
         .drop("after")
     )
     near = (

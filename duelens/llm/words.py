@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,27 @@ class Out:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
+_PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+
+
+def _pack_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, packer = Out(_PACKED), zstandard.ZstdCompressor(level=1)
+    for doc_id, text in rows_of(batches):
+        packed = packer.compress((text or "").encode("utf-8", "surrogatepass"))
+        if out.add(doc_id, packed, size=len(packed)):
+            yield out.batch()
+    yield out.batch()
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts compressed before they are shuffled."""
+    return docs.select("doc_id", "text").mapInArrow(_pack_rows, "doc_id long, packed binary")
+
+
+def unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component), the smallest id of each.
 
