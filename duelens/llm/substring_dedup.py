@@ -32,14 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelens.llm.words import Out, WordHashes, gram_hashes, rows_of, spaced_words
+from duelens.llm.words import Out, WordHashes, gram_hashes, mixed, rows_of, spaced_words
 from duelens.operators.staging import staged
 
 SEED_WORDS = 6
 _LAST_ID = (1 << 63) - 1
 _SEEN_TEXTS = 100_000
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 #: Rows a task gathers before it compares them among themselves and sends them on.
-_HELD_ROWS = 500_000
+_HELD_ROWS = 100_000
 
 
 def _minimizers(grams: np.ndarray, many: int) -> np.ndarray:
@@ -178,20 +179,20 @@ def _edge_rows(width: int) -> Callable:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, unpacker = WordHashes(), WordHashes(1), zstandard.ZstdDecompressor()
+        memo, unpacker = WordHashes(), zstandard.ZstdDecompressor()
         parts, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 owner, number, packed, seeds = (c[i] for c in batch.columns)
                 words = unpacker.decompress(packed.as_py()).split()
-                hashes = first.of(words)
+                hashes = memo.of(words)
                 grams = gram_hashes(hashes, min(SEED_WORDS, width))
                 of_windows = _minimizers(grams, width - min(SEED_WORDS, width) + 1)
                 wanted = np.sort(seeds.values.to_numpy().view(np.uint64))
                 at = np.minimum(np.searchsorted(wanted, of_windows), len(wanted) - 1)
                 places = np.flatnonzero(wanted[at] == of_windows)
                 h1 = gram_hashes(hashes, width)[places].view(np.int64)
-                h2 = gram_hashes(second.of(words), width)[places].view(np.int64)
+                h2 = gram_hashes(mixed(hashes ^ _OTHER), width)[places].view(np.int64)
                 places = places + (number.as_py() << 32)
                 parts.append((h1, h2, np.full(len(places), owner.as_py(), np.int64), places))
                 held += len(places)

@@ -42,7 +42,7 @@ def letter_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words; forgets them all when it has grown too large."""
 
-    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
+    def __init__(self, seed: int = 0, most: int = 100_000) -> None:
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
