@@ -251,3 +251,49 @@ FROM message m LEFT JOIN own o USING (id) LEFT JOIN quotes q USING (id)
 LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn
 LEFT JOIN thread t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
+
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+start AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM split WHERE len(words) >= 13),
+window_of AS (SELECT doc_id, pos, array_to_string(words[pos : pos + 12], ' ') AS run FROM start),
+source AS (SELECT run, min(doc_id) AS first FROM window_of GROUP BY run),
+hit AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS place
+  FROM window_of JOIN source USING (run) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+  FROM word ANTI JOIN hit USING (doc_id, place) GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op6_ngram_jaccard_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+start AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS pos
+  FROM split WHERE len(words) > 0),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos : pos + 2], ' ') AS run FROM start),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM shingle x JOIN shingle y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM split
+  UNION
+  SELECT doc_id, b FROM reached JOIN link ON other = a)
+SELECT s.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM split s JOIN reached USING (doc_id) LEFT JOIN size USING (doc_id) GROUP BY s.doc_id
+"""
