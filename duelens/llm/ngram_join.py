@@ -1,8 +1,8 @@
 """N-gram Jaccard join.
 
 Documents become sets of hashed word shingles. Sets that can reach the threshold differ in at most
-``(x + y) * (1 - t) / (1 + t)`` shingles, so when the range of hashes is cut into one segment more
-than that, some segment holds the same shingles in both. A tile is a size band, a segment and the
+``(x + y) * (1 - t) / (1 + t)`` shingles, so when the range of hashes is cut into more segments
+than that, some segments hold the same shingles in both. A tile is a size band, a segment and the
 sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit parity bitmaps
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
@@ -54,8 +54,8 @@ def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarra
 
 
 @lru_cache(maxsize=20_000)
-def bands(percent: int, size: int) -> list[tuple[int, int]]:
-    """(number, segments) of the band of a set's size and of the next one.
+def bands(percent: int, size: int) -> list[tuple[int, int, int, bool]]:
+    """(number, segments, spare segments, at home) of the band of a set's size and of the next one.
 
     A set and a partner of the same size or larger lie in one band or in neighbouring ones.
     Sets so small that only an equal set reaches the threshold have none.
@@ -65,21 +65,31 @@ def bands(percent: int, size: int) -> list[tuple[int, int]]:
         number, upper = number + 1, (upper + 1) * 100 // percent
     uppers = enumerate((upper, (upper + 1) * 100 // percent), number)
     apart = [(n, 2 * u * (100 - percent) // (100 + percent)) for n, u in uppers]
-    return [(n, most + 1) for n, most in apart if most]
+    spare = [(n, most + 1, (most + 1) // 5 + 2) for n, most in apart if most]
+    return [(n, least + more, more, n == number) for n, least, more in spare]
 
 
-def tiles_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Tile keys of a set: one for each segment of its band and of the next."""
+def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tile keys of a set and whether it is at home in their band: its own band and the next.
+
+    With ``spare`` segments more than needed, sets that link share ``spare + 1`` of them. So segments with
+    less than two shingles, which many sets share by chance, can be left out if they are no more than that.
+    """
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles), dtype=np.uint64)])
-    keys = []
-    for number, segments in bands(percent, len(shingles)):
+    keys, homes = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for number, segments, spare, home in bands(percent, len(shingles)):
         step = (1 << 64) // segments
         edges = np.arange(1, segments, dtype=np.uint64) * np.uint64(step)
         cuts = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
         held = sums[cuts[1:]] - sums[cuts[:-1]]
         place = np.arange(segments, dtype=np.uint64) + np.uint64(number << 32)
-        keys.append(mixed(mixed(place + np.uint64(1)) ^ held))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        found = mixed(mixed(place + np.uint64(1)) ^ held)
+        full = np.diff(cuts) > 1
+        if segments - np.count_nonzero(full) <= spare:
+            found = found[full]
+        keys.append(found)
+        homes.append(np.full(len(found), home))
+    return np.concatenate(keys), np.concatenate(homes)
 
 
 def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -113,17 +123,16 @@ def _set_rows(width: int):
 
 
 def _tile_rows(width: int, percent: int):
-    """(doc_id, text) -> (tile, doc_id); of equal sets that meet in a task one is enough."""
-    schema = pa.schema([("tile", pa.int64()), ("doc_id", pa.int64())])
+    """(doc_id, text) -> (tile, doc_id, home); of equal sets that meet in a task one is enough."""
+    schema = pa.schema([("tile", pa.int64()), ("doc_id", pa.int64()), ("home", pa.bool_())])
 
-    def batch(tiles, ids):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(tiles)), pa.array(np.concatenate(ids))], schema=schema
-        )
+    def batch(*columns):
+        arrays = [pa.array(np.concatenate(c)) for c in columns]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches):
         hashes, seen = WordHashes(), set()
-        tiles, ids, held = [], [], 0
+        tiles, ids, homes, held = [], [], [], 0
         for doc_id, text in rows_of(batches):
             shingles = shingle_set(lower_spaced_words(text), width, hashes)
             key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -131,15 +140,16 @@ def _tile_rows(width: int, percent: int):
                 continue
             if len(seen) < _SEEN_SETS:
                 seen.add(key)
-            found = tiles_of(shingles, percent).view(np.int64)
-            tiles.append(found)
+            found, home = tiles_of(shingles, percent)
+            tiles.append(found.view(np.int64))
             ids.append(np.full(len(found), doc_id, np.int64))
+            homes.append(home)
             held += len(found)
             if held > 50_000:
-                yield batch(tiles, ids)
-                tiles, ids, held = [], [], 0
+                yield batch(tiles, ids, homes)
+                tiles, ids, homes, held = [], [], [], 0
         if held:
-            yield batch(tiles, ids)
+            yield batch(tiles, ids, homes)
 
     return run
 
@@ -241,25 +251,27 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     )
     known = nodes.select("id", "n_shingles", "bitmap")
     around = [
-        f"{side}(id) OVER (PARTITION BY tile ORDER BY id) AS {name}"
-        for side, name in (("lag", "before"), ("lead", "after"))
+        "lag(id) OVER (PARTITION BY tile ORDER BY id) AS before",
+        "lead(id) OVER (PARTITION BY tile ORDER BY id) AS after",
+        "max(home) OVER (PARTITION BY tile) AS settled",
     ]
-    shared = "before IS NOT NULL OR after IS NOT NULL"
+    # Two visitors of a band meet in their own; a tile without anyone at home is of no use.
+    shared = "settled AND (before IS NOT NULL OR after IS NOT NULL)"
     crowded = (
-        docs.mapInArrow(_tile_rows(width, percent), "tile long, doc_id long")
+        docs.mapInArrow(_tile_rows(width, percent), "tile long, doc_id long, home boolean")
         .withColumnRenamed("doc_id", "id")
-        .selectExpr("tile", "id", *around)
+        .selectExpr("tile", "id", "home", *around)
         .where(shared)
-        .select("tile", F.col("id").alias("doc_id"))
+        .select("tile", F.col("id").alias("doc_id"), "home")
     )
     node_of = sets.join(nodes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
     members = staged(
         crowded.join(node_of, "doc_id")
-        .select("tile", "id")
+        .select("tile", "id", "home")
         .distinct()
-        .selectExpr("tile", "id", *around)
+        .selectExpr("tile", "id", "home", *around)
         .where(shared)
-        .drop("after")
+        .select("tile", "id", "home", "before")
     )
     near = (
         members.where("before <> id")
@@ -288,6 +300,7 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
             y,
             (F.col("x.tile") == F.col("y.tile"))
             & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.home") | F.col("y.home"))
             & (F.col("x.component") != F.col("y.component"))
             & _may_link("x", "y", percent),
         )
@@ -329,7 +342,7 @@ def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _open_rows(members: DataFrame, placed: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of the tiles that hold several components, with size and bitmap."""
-    rows = members.select("tile", "id").join(placed, "id")
+    rows = members.select("tile", "id", "home").join(placed, "id")
     several = (
         rows.groupBy("tile")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))

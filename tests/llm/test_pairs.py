@@ -83,8 +83,9 @@ def test_a_common_segment_is_certain(percent):
                 continue
             if len(left) == len(right) == shared:
                 continue
-            tiles = [set(ngram_join.tiles_of(s, percent).tolist()) for s in (left, right)]
+            tiles = [set(ngram_join.tiles_of(s, percent)[0].tolist()) for s in (left, right)]
             assert tiles[0] & tiles[1]
+            assert any(ngram_join.tiles_of(s, percent)[1].any() for s in (left, right))
             apart = ngram_join.parity_bitmap(left) ^ ngram_join.parity_bitmap(right)
             bits = int(np.bitwise_count(apart.view(np.uint64)).sum())
             assert bits <= len(left) + len(right) - 2 * shared
