@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelens.functions import dates, flags, labels, numbers, text
+from duelens.functions import dates, labels, numbers, text
 from duelens.operators import (
     browse,
     cohort,
@@ -30,7 +30,7 @@ from duelens.operators.classify import with_labels
 from duelens.operators.cleaning import clean_records
 from duelens.operators.staging import new_path, staged
 from duelens.plans import pipelines
-from duelens.plans.oracle import CUTOFF, cut_points, percent, slug, with_views
+from duelens.plans.oracle import cut_points, slug, with_views
 from duelens.schema import STUDY_SCAN_COLUMNS
 from duelens.sources import scans, sinks, testbed, upsert
 from duelens.streaming import record_stream
