@@ -8,6 +8,9 @@ tightly, as long as there are such; and the finished bin is repeated as often as
 Each piece finds its place by its rank among the pieces of its length. Ranks are formed in small
 buckets, so that a length that a third of all pieces share is spread over many tasks.
 
+The added tokens of the tokenizer file are found in a text first and have their own ids, as the
+tokenizer does it; only the parts between them are split into words and encoded.
+
 A null text is an empty text: one piece of the end id alone. Repeated rows are packed as often as
 they occur; rows with equal ids and texts may swap places. Other columns are not read.
 """
@@ -15,6 +18,8 @@ they occur; rows with equal ids and texts may swap places. Other columns are not
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -33,15 +38,25 @@ BUCKETS = 1024
 _KNOWN_WORDS = 300_000
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file with their ids."""
+    with open(tokenizer, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"not a plain added token: {token}")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 class Encoder:
-    """Byte-level BPE whose ids come from a file of ranks.
+    """Byte-level BPE whose ids come from a file of ranks, and ``added`` tokens with ids of their own.
 
     Where single spaces and line feeds are all the white space of a text, the tokenizer's split falls
     before each of them, so words are encoded once and their ids remembered, up to a bound.
     ``Encoder.encode`` gives little-endian unsigned 32-bit ids.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -53,6 +68,9 @@ class Encoder:
             mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs},
             special_tokens={},
         )
+        self._added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         self._line_feed = self._ids("\n")
         self._known: dict[str, bytes] = {}
 
@@ -85,6 +103,12 @@ class Encoder:
         return new
 
     def encode(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._between(text)
+        parts = self._cut.split(text)
+        return b"".join(self._added[p] if i % 2 else self._between(p) for i, p in enumerate(parts))
+
+    def _between(self, text: str) -> bytes:
         if " ".join(text.split()) != text.replace("\n", " ") or not text:
             return self._ids(text)
         words = ("\n" + text.replace("\n", " \n")).split(" ")
@@ -99,14 +123,15 @@ class Encoder:
         return b"".join(found)[4:]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file; a Python worker builds it once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: dict[str, int]) -> Encoder:
+    """The encoder of a file and added tokens; a Python worker builds it once."""
+    key = (path, *added.items())
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, added)
+    return _ENCODERS[key]
 
 
 def piece_bounds(many: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
@@ -128,9 +153,9 @@ _PIECES = pa.schema(
 )
 
 
-def _piece_rows(path: str, length: int) -> Callable:
+def _piece_rows(path: str, added: dict[str, int], length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, bpe = Out(_PIECES), encoder(path)
+        out, bpe = Out(_PIECES), encoder(path, added)
         end = np.array([END_ID], "<u4").tobytes()
         for doc_id, text in rows_of(batches):
             ids = bpe.encode(text or "") + end
@@ -144,10 +169,14 @@ def _piece_rows(path: str, length: int) -> Callable:
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, piece, start, length, ids_crc32) of every row of ``docs`` (doc_id, text).
+
+    The tokenizer's JSON file has the name of ``vocabulary`` with the ending ``.json``.
+    """
+    added = added_tokens(vocabulary.removesuffix(".tiktoken") + ".json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
-        _piece_rows(vocabulary, length),
+        _piece_rows(vocabulary, added, length),
         "doc_id long, piece int, start long, length long, ids_crc32 long",
     )
 

@@ -87,6 +87,22 @@ def test_ids_are_those_of_the_tokenizer(spark):
             assert np.frombuffer(own.encode(text), "<u4").tolist() == coded.ids
 
 
+MARK = "<|endoftext|>"
+MARKED = [
+    "x" + MARK, MARK, MARK * 2, f"a b {MARK} c\nd", f"{MARK}\n\nx  y", f"one {MARK}two\n{MARK} three",
+    "<|endoftext|", "<|<|endoftext|>|>", "plain words",
+]
+
+
+def test_added_tokens_have_their_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    found = {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed(docs, VOCABULARY).collect()}
+    for i, text in enumerate(MARKED):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert found[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_bounded_words(monkeypatch):
     whole = packing.Encoder(VOCABULARY)
     monkeypatch.setattr(packing, "_KNOWN_WORDS", 3)
