@@ -4,7 +4,11 @@ A document is the first layer of a worklist. Each layer is scanned; then it is u
 escapes at once, all Unicode escapes at once, each base64 run by itself, and bytes that begin
 like gzip, zlib, bzip2 or zstd data are decompressed. What comes out is a new layer that remembers for
 each character where in the document it came from, and joins the worklist unless the
-same text has been there before. The list is empty when nothing unwraps any further; layers
+same text has been there before. A base64 run may be wrapped: lines of one width, the last one shorter and the
+first one of any width (it may have a name or a path before it), are one run without their line breaks,
+which may also be written as ``\\n`` and be followed by indentation. A run that is no clean text
+as a whole is read at all four alignments for readable parts and for compressed data that begin
+inside it, because other letters may touch the base64. The list is empty when nothing unwraps any further; layers
 that lead back to themselves end the same way.
 
 A null text is an empty text: no spans. Ties are ordered by start, kind and end; equal spans from several
@@ -47,6 +51,14 @@ ESCAPE = re.compile(
     r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+LINE_BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|(?:\\++r)?\\++n)[ \t]*+")
+BASE64_LINES = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{LINE_BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}"
+)
+LEAST_RUN = 20
+#: No secret, and no encoding of one, is shorter or has other characters.
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+COMPRESSED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd)")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -146,25 +158,107 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable) -> Layer | No
     return Layer("".join([*parts, layer.text[at:]]), starts, ends)
 
 
-def _base64(layer: Layer) -> Iterator[Layer]:
-    for match in BASE64_RUN.finditer(layer.text):
-        run = match[0].rstrip("=").replace("-", "+").replace("_", "/")
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+def _decoded(run: str) -> bytes | None:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _placed(layer: Layer, text: str, places: list[int] | range, at: int) -> Layer:
+    """ASCII ``text``, decoded from byte ``at`` on of a run whose characters stand at ``places``."""
+    firsts = [i * 4 // 3 for i in range(at, at + len(text))]
+    starts = [layer.starts[places[p]] for p in firsts]
+    ends = [max(layer.ends[q] for q in places[p : p + 2]) for p in firsts]
+    return Layer(text, starts, ends)
+
+
+def _covering(layer: Layer, text: str, places: list[int] | range) -> Layer:
+    """``text`` whose characters all stand for the whole run."""
+    first, last = layer.span(places[0], places[-1] + 1)
+    return Layer(text, [first] * len(text), [last] * len(text))
+
+
+def _whole(layer: Layer, places: list[int] | range, run: str) -> Layer | None:
+    """What a run holds as a whole."""
+    data = _decoded(run)
+    text = readable(data) if data is not None else None
+    if text is None:
+        return None
+    if text.isascii() and text.encode() == data:
+        return _placed(layer, text, places, 0)
+    return _covering(layer, text, places)
+
+
+def _inside(layer: Layer, places: list[int] | range, run: str) -> Iterator[Layer]:
+    """What parts of a run hold, wherever they begin and end."""
+    run = run.rstrip("=")
+    for shift in range(4):
+        many = len(run) - shift
+        data = _decoded(run[shift : len(run) - (many % 4 == 1)])
+        if data is None:
             continue
-        text = readable(data)
-        if text is None:
+        view, behind = memoryview(data), places[shift:]
+        for match in READABLE.finditer(data):
+            yield _placed(layer, match[0].decode(), behind, match.start())
+        for match in COMPRESSED.finditer(data):
+            if match.start() % 3:
+                continue
+            unpacked = decompressed(view[match.start() :])
+            text = readable(unpacked) if unpacked else None
+            if text is not None:
+                yield _covering(layer, text, behind[match.start() // 3 * 4 :])
+
+
+def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
+    """Lines that may be one run: several readings of the same lines, the widest first."""
+    for chain in BASE64_LINES.finditer(text):
+        lines, at = [], chain.start()
+        for cut in LINE_BREAK.finditer(text, *chain.span()):
+            lines.append((at, cut.start()))
+            at = cut.end()
+        lines.append((at, chain.end()))
+        widths = [end - start for start, end in lines]
+        first = 0
+        while first < len(lines):
+            last = first + 1
+            while last < len(lines) and widths[last] == widths[first]:
+                last += 1
+            tail = last + (last < len(lines) and widths[last] < widths[first])
+            head = max(first - 1, 0)
+            readings = dict.fromkeys([(head, tail), (first, tail), (head, last), (first, last)])
+            found = [
+                lines[i:j] for i, j in readings if j - i > 1 and sum(widths[i:j]) >= LEAST_RUN
+            ]
+            if found:
+                yield found
+            first = last
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    text, read = layer.text, set()
+    for readings in _wrapped(text):
+        for lines in readings:
+            places = [i for start, end in lines for i in range(start, end)]
+            below = _whole(layer, places, "".join(text[i:j] for i, j in lines))
+            if below:
+                yield below
+                if below.starts[0] != below.starts[-1]:
+                    read |= {end for _, end in lines}
+                break
+        if not below or lines is not readings[0]:
+            places = [i for start, end in readings[0] for i in range(start, end)]
+            yield from _inside(layer, places, "".join(text[i:j] for i, j in readings[0]))
+    for match in BASE64_RUN.finditer(text):
+        if match.end() in read:
             continue
-        start, end = match.span()
-        first, last = layer.span(start, end)
-        if text.isascii() and len(text) == len(data):
-            places = [start + i * 4 // 3 for i in range(len(text))]
-            starts = [layer.starts[p] for p in places]
-            ends = [max(layer.ends[p : min(p + 2, end)]) for p in places]
-            yield Layer(text, starts, ends)
+        places = range(*match.span())
+        below = _whole(layer, places, match[0])
+        if below:
+            yield below
         else:
-            yield Layer(text, [first] * len(text), [last] * len(text))
+            yield from _inside(layer, places, match[0])
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:

@@ -150,6 +150,51 @@ def test_nested_layers(wrap):
     assert all(secret_scan.all_spans(secret_scan.masked(text))[1] == [] for _ in range(1))
 
 
+LONG_KEY = 'api_key = "Zx81kQpLmN02vB7cR5tY"'
+
+
+def lines_of(data, width, between="\n"):
+    run = base64.b64encode(data).decode()
+    return between.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("before", range(0, 60, 7))
+@pytest.mark.parametrize("between", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("around", ["{}", "data: {} z", "/files/v1/{}", "-----BEGIN X-----\n{}\n-----END X-----"])
+def test_wrapped_base64(before, between, width, around):
+    secret = LONG_KEY.rstrip('"')
+    plain = "x" * before + " " + LONG_KEY + " and more text after it, " * 3
+    hidden = lines_of(plain.encode(), width, between)
+    text = around.format(hidden)
+    many = len(base64.b64encode(plain.encode()))
+    places = [text.index(hidden) + i + i // width * len(between) for i in range(many)]
+    first, last = plain.index(secret), plain.index(secret) + len(secret) - 1
+    span = places[first * 4 // 3], 0, places[last * 4 // 3 + 1] + 1
+    assert span in secret_scan.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+@pytest.mark.parametrize("around", ["{}", "/files/v1/{}", "a {}\nend"])
+def test_wrapped_compressed_data(pack, around):
+    rng = random.Random(4)
+    plain = " ".join(str(rng.random()) for _ in range(60)) + " " + LONG_KEY
+    hidden = lines_of(pack(plain.encode()), 76)
+    text = around.format(hidden)
+    start = text.index(hidden)
+    assert any(k == 0 and s == start for s, k, _ in secret_scan.all_spans(text)[1])
+    assert "".join(hidden[-40:].split()) not in "".join(secret_scan.masked(text).split())
+
+
+@pytest.mark.parametrize("path", ["/v1/", "https://x.y/a/", "/ab/cde/f/", "name_", "/"])
+@pytest.mark.parametrize("behind", ["", "/download", "/a"])
+def test_base64_in_a_path(path, behind):
+    run = base64.b64encode(KEY.encode()).decode().rstrip("=")
+    text = path + run + behind
+    start, end = len(path), len(path) + len(run)
+    assert any(k == 0 and s == start and abs(e - end) <= 4 for s, k, e in secret_scan.all_spans(text)[1])
+
+
 def test_loops_end():
     text = "%2525252541 \\u005cu005cu0041 %%41%41%"
     assert secret_scan.all_spans(text) == ([], [])
