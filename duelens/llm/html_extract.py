@@ -1,10 +1,11 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of elements; what can never be article text (menus, forms, scripts, adverts, comments
-and so on, by tag, role or class) is no part of it. Every paragraph gives its parent points for its length and its
+and so on, by tag, role or class) is no part of it. Class and id count as whole tokens, so ``no-sidebar`` is no
+sidebar, and what is marked so stays if it holds the page's article or, on pages without one, most of their text. Every paragraph gives its parent points for its length and its
 commas, and half of them to its grandparent; a container's points are discounted by the share of its text
 that stands in links. The container with most points is the article, together with
-siblings that have enough points of their own or are plain paragraphs of few links.
+its siblings and the text beside it, unless more than a quarter of theirs stands in links.
 
 The tree is read leniently: end tags may be missing, a page may break off anywhere. Ties go to the first
 container of the page. Null and empty pages, and pages without text, have an empty text. Rows are treated alike,
@@ -17,6 +18,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,27 +31,27 @@ MARKUP = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(
-    r"(class|id|role|aria-hidden|hidden|style)(?=[\s=>/]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
+    r"([^\s=>/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 )
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "video", "audio"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "video", "audio"}
 DROPPED = RAW | {
-    "head", "nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog",
-    "figure", "label", "input",
+    "head", "nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "input",
 }
 VOID = {
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"
 }
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font",
-    "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
-    "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "i", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "mstyle", "msub", "msubsup",
+    "msup", "mtext", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
+    "semantics", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the first kind ends where an element of the second kind begins or ends.
 CLOSED_BY = {
     "p": {
         "p", "div", "ul", "ol", "dl", "table", "section", "article", "header", "footer", "nav", "aside", "main",
-        "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form", "hr", "figure", "address", "details",
+        "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form", "hr", "figure", "figcaption", "address", "details",
     },
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -59,12 +61,18 @@ CLOSED_BY = {
     "th": {"td", "th", "tr"},
     "option": {"option"},
 }
-UNWANTED = re.compile(
-    r"(?:\A|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor(?:ed)?|promo\w*|comments?|disqus|sidebar|side-bar"
+_UNWANTED = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor(?:ed)?|promo\w*|comments?|disqus|sidebar|side-bar"
     r"|cookies?|consent|notice|newsletter|subscribe|popup|modal|breadcrumbs?|menu|nav|navbar|navigation|masthead"
-    r"|footer|header|related|share|sharing|social|widget|pagination|pager|replies|respond)(?:\Z|[\s_-])",
-    re.I,
+    r"|footer|header|related|share|sharing|social|widget|pagination|pager|replies|respond)"
 )
+#: Words that say where or in what form something stands, not what it is.
+_NEUTRAL = (
+    r"(?:site|page|global|main|primary|secondary|top|bottom|left|right|inner|outer|container|wrapper|wrap|box|bar|area"
+    r"|block|section|list|item|items|link|links|button|buttons|posts|slot|unit|form|div|\d+)"
+)
+#: One token of a class or id: an unwanted word, at most with neutral and other unwanted words.
+UNWANTED = re.compile(rf"(?:{_NEUTRAL}[_-]+)*{_UNWANTED}(?:[_-]+(?:{_UNWANTED}|{_NEUTRAL}))*", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 WANTED = {"article", "main"}
 
@@ -72,26 +80,24 @@ WANTED = {"article", "main"}
 class Element:
     """An element: its children (elements and text runs), and what it holds of text, links and commas."""
 
-    __slots__ = ("tag", "parent", "block", "children", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "block", "children", "marked", "points", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Element | None) -> None:
         self.tag, self.parent = tag, parent
         #: Itself, or the nearest element around it that isn't part of a line of text.
         self.block: Element = parent.block if parent is not None and tag in INLINE else self
         self.children: list[Element | str] = []
+        #: By its attributes it is none of the article's text.
+        self.marked = False
         self.points = 0.0
         self.chars = self.linked = self.commas = 0
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is left out with all that it holds."""
-    if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("html", "body", *WANTED):
-        return False
+def _marked(attributes: str) -> bool:
+    """Whether an element's attributes say that it is left out with all that it holds."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and UNWANTED.search(value):
+        if name in ("class", "id") and any(map(UNWANTED.fullmatch, value.split())):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
@@ -103,7 +109,7 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def parsed(page: str) -> Element:
-    """The page's tree without unwanted elements."""
+    """The page's tree without elements that are left out."""
     root = Element("", None)
     here, at = root, 0
     opened: Counter[str] = Counter()
@@ -149,15 +155,17 @@ def parsed(page: str) -> Element:
             at = position = end.end() if end else len(page)
         elif tag in VOID:
             here.children.append(" " if tag in ("br", "hr") else "")
-        elif _unwanted(tag, attributes, any(opened[t] for t in WANTED)):
+        elif tag in DROPPED or (tag == "header" and not any(opened[t] for t in WANTED)):
             if not attributes.endswith("/"):
                 left_out.append(tag)
         else:
             node = Element(tag, here)
+            node.marked = bool(attributes) and tag not in ("html", "body") and _marked(attributes)
             here.children.append(node)
             here = node
             opened[tag] += 1
     add(page[at:])
+    _leave_out(root)
     return root
 
 
@@ -169,6 +177,34 @@ def _elements(root: Element) -> list[Element]:
     return found
 
 
+def _leave_out(root: Element) -> None:
+    """Take marked elements out, but none that holds the article or, without one, most of the text."""
+    nodes = _elements(root)
+    if not any(node.marked for node in nodes):
+        return
+    chars, holders, articles = {}, set(), False
+    for node in reversed(nodes):
+        chars[node] = sum(
+            len(" ".join(c.split())) if isinstance(c, str) else chars[c] for c in node.children
+        )
+        if node in holders or (node.tag in WANTED and not node.marked and chars[node]):
+            articles = True
+            holders.add(node.parent)
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        node.children = [
+            c
+            for c in node.children
+            if isinstance(c, str)
+            or not c.marked
+            or c.tag in WANTED
+            or c in holders
+            or (not articles and 2 * chars[c] > chars[root])
+        ]
+        waiting += [c for c in node.children if isinstance(c, Element)]
+
+
 def scored(root: Element) -> list[Element]:
     """Give all containers their points; the elements, outermost first."""
     nodes = _elements(root)
@@ -198,27 +234,30 @@ def scored(root: Element) -> list[Element]:
     return nodes
 
 
-def article_parts(root: Element) -> list[Element]:
-    """The best container and the siblings that belong to it, in page order."""
+def article_parts(root: Element) -> list[Element | str]:
+    """The best container, and the siblings and text beside it that belong to it, in page order."""
     containers = [n for n in scored(root) if n.chars and n.tag not in INLINE]
     if not containers:
         return []
     best = max(containers, key=lambda n: n.points)
     if best.parent is None or best.tag in WANTED:
         return [best]
-    least = max(10.0, best.points / 5)
-    parts = []
-    for sibling in best.parent.children:
-        if isinstance(sibling, str):
-            continue
-        few_links = sibling.linked * 4 <= sibling.chars
-        plain = sibling.tag in PARAGRAPHS and sibling.chars > 0 and few_links
-        if sibling is best or plain or (sibling.points >= least and few_links):
-            parts.append(sibling)
+    parts: list[Element | str] = []
+    for in_line, group in groupby(
+        best.parent.children, lambda c: isinstance(c, str) or c.tag in INLINE
+    ):
+        held = list(group)
+        for some in [held] if in_line else [[c] for c in held]:
+            chars = sum(len(" ".join(c.split())) if isinstance(c, str) else c.chars for c in some)
+            linked = sum(
+                0 if isinstance(c, str) else c.chars if c.tag == "a" else c.linked for c in some
+            )
+            if some == [best] or (chars and linked * 4 <= chars):
+                parts += some
     return parts
 
 
-def text_of(parts: list[Element]) -> str:
+def text_of(parts: list[Element | str]) -> str:
     """Their text: white space as single spaces, blocks joined by a space."""
     pieces: list[str] = []
     waiting: list[Element | str] = list(reversed(parts))

@@ -202,6 +202,30 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG_TEXT = "A long text, with commas, of many words, that goes on and on. " * 6
+WHOLE_PAGES = [
+    (f"<article><p>{LONG_TEXT}</p><figure><table><tr><td>cell</table><figcaption>Caption.</figcaption></figure>"
+     "<p><label>Note:</label> see <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>"
+     "<object data=a><param name=b><p>Instead.</p></object></article>",
+     f"{LONG_TEXT}cell Caption. Note: see x=1 Instead."),
+    (f"<div class='content no-sidebar'><p>{LONG_TEXT}</p></div>", LONG_TEXT.strip()),
+    (f"<div class='has-cookie-notice'><article><p>{LONG_TEXT}</article></div>", LONG_TEXT.strip()),
+    (f"<div class='page menu'><main><p>{LONG_TEXT}</main></div><div id=nav-menu>Go</div>", LONG_TEXT.strip()),
+    (f"<div class=widget><div><p>{LONG_TEXT}</p></div></div><div class='ad-slot top'>Buy</div>", LONG_TEXT.strip()),
+    (f"<article><p>{LONG_TEXT}</article><div id=comments><article class=comment><p>{LONG_TEXT * 3}</article></div>",
+     LONG_TEXT.strip()),
+    (f"<div>Loose <b>text</b> first.<section><p>{LONG_TEXT}</p></section><section><p>Short one.</p></section>"
+     "<div><a href=x>Much</a> of <a href=y>linked text here</a></div>Last words here.<a href=z>More</a></div>",
+     f"Loose text first. {LONG_TEXT}Short one. Last words here.More"),
+    (f"<div data-hidden=1 data-id=sidebar title='x hidden y'><p>{LONG_TEXT}</p></div><div hidden>no</div>", LONG_TEXT.strip()),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE_PAGES)
+def test_nothing_else_is_left_out(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_of_any_depth():
     assert html_extract.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert html_extract.main_text("<b>" * 20_000 + "<p>x") == "x"
