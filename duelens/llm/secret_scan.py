@@ -13,8 +13,12 @@ that lead back to themselves end the same way.
 
 A null text is an empty text: no spans. Ties are ordered by start, kind and end; equal spans from several
 layers are one span. Rows are treated alike, each for itself, whatever their ids or other
-columns. Decompressed data of more than ``MOST_BYTES`` counts as not decompressible: it
-could not be held in a task.
+columns.
+
+Compressed data are read in pieces, all members one after another, and directly nested ones until nothing
+unpacks. Their text is scanned in parts that end at characters that no secret and no encoding can
+have, so nothing lies across two parts. At most ``HELD_BYTES`` of a level are kept; what is larger is unpacked
+again where it is needed. In URL escapes, larger texts are layers of their own instead of a part of the line.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +41,8 @@ from pyspark.sql import functions as F
 
 from duelens.llm.words import Out, rows_of
 
-MOST_BYTES = 64 << 20
+HELD_BYTES = 16 << 20
+PIECE = 1 << 20
 KINDS = ("assign", "access", "hex")
 MASK = "[secret]"
 
@@ -60,6 +68,10 @@ LEAST_RUN = 20
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 COMPRESSED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd)")
 
+#: In no secret and no encoding of one, and left alone by all of them.
+APART = re.compile(r"[^ \t\r\nA-Za-z0-9+/_.=:'\"%\\&#;-]")
+PACK_ERRORS = (zlib.error, OSError, ValueError, EOFError, zstandard.ZstdError)
+
 Span = tuple[int, int, int]  # start, place of the kind, end
 
 
@@ -85,43 +97,146 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def decompressed(data: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or zstd data hold; nothing for other or broken data."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0):
-            unpacker = zlib.decompressobj(47)
-            text = unpacker.decompress(data, MOST_BYTES)
-            return None if unpacker.unconsumed_tail else text
-        if data[:3] == b"BZh":
-            unpacker = bz2.BZ2Decompressor()
-            text = unpacker.decompress(data, MOST_BYTES)
-            return text if unpacker.eof or unpacker.needs_input else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            text = reader.read(MOST_BYTES)
-            return None if reader.read(1) else text
-    except (zlib.error, OSError, ValueError, EOFError, zstandard.ZstdError):
-        pass
+def _pieces(data: bytes | memoryview) -> Iterator[bytes]:
+    for at in range(0, len(data), PIECE):
+        yield bytes(data[at : at + PIECE])
+
+
+def _unpacker(head: bytes):
+    """An object that unpacks gzip, zlib, bzip2 or zstd data; nothing for other data."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and int.from_bytes(head[:2]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
-def readable(data: bytes) -> str | None:
-    """Bytes as text: unpacked where they are compressed, and only if they are clean UTF-8."""
-    for _ in range(64):
-        unpacked = decompressed(data)
-        if unpacked is None or unpacked == data:
+def _step(unpacker, data: bytes) -> tuple[bytes, bytes]:
+    """Some unpacked bytes, and the data still to be given."""
+    if isinstance(unpacker, bz2.BZ2Decompressor):
+        part = unpacker.decompress(data, PIECE)
+        return part, unpacker.unused_data if unpacker.eof else b""
+    if isinstance(unpacker, type(zlib.decompressobj())):
+        part = unpacker.decompress(data, PIECE)
+        return part, unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
+    # zstd has no bound for the result: 64 bytes hold at most 16 blocks of 128 KiB
+    part = unpacker.decompress(data[:64])
+    return part, (unpacker.unused_data if unpacker.eof else b"") + data[64:]
+
+
+def _unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What packed data hold, member after member; one that breaks off ends there.
+
+    Raises one of ``PACK_ERRORS`` if the first member is broken; broken later members and other data end it.
+    """
+    data, first = b"", True
+    while True:
+        data = data if first else data.lstrip(b"\0")
+        while len(data) < 4 and (more := next(pieces, b"")):
+            data += more
+        unpacker = _unpacker(data[:4])
+        if unpacker is None:
+            return
+        try:
+            while not unpacker.eof:
+                part, data = _step(unpacker, data)
+                if part:
+                    yield part
+                elif not data:
+                    data = next(pieces, b"")
+                    if not data:
+                        return
+        except PACK_ERRORS:
+            if first:
+                raise
+            return
+        first = False
+
+
+Reader = Callable[[], Iterator[bytes]]
+
+
+def opened(data: bytes | memoryview) -> Reader | None:
+    """Reads what packed data hold in the end; nothing for other or broken data."""
+    read: Reader = partial(_pieces, data)
+    found, seen = None, set()
+    while _unpacker(next(read(), b"")[:4]) is not None:
+        below: Reader = partial(lambda above: _unpacked(above()), read)
+        held, many, digest = [], 0, hashlib.sha256()
+        try:
+            for part in below():
+                many += len(part)
+                digest.update(part)
+                if many <= HELD_BYTES:
+                    held.append(part)
+        except PACK_ERRORS:
+            break
+        if not many or digest.digest() in seen:
             break
-        data = unpacked
+        seen.add(digest.digest())
+        found = read = partial(_pieces, b"".join(held)) if many <= HELD_BYTES else below
+    return found
+
+
+def clean(data: bytes) -> str | None:
+    """Bytes as text, if they are clean UTF-8."""
+    return next(texts(partial(iter, [data]), whole=True), None)
+
+
+def _odd(text: str) -> int:
+    text = text.translate({9: None, 10: None, 13: None})
+    return 0 if text.isprintable() else sum(not c.isprintable() for c in text)
+
+
+def texts(read: Reader, whole: bool = False) -> Iterator[str]:
+    """Clean UTF-8 as text, in parts that can be scanned one by one or as a whole; nothing otherwise."""
+    many = odd = 0
     try:
-        text = data.decode("utf-8")
+        for text in codecs.iterdecode(read(), "utf-8"):
+            many += len(text)
+            odd += _odd(text)
     except UnicodeDecodeError:
-        return None
-    odd = sum(not c.isprintable() and c not in "\t\n\r" for c in text)
-    return text if text and odd * 10 <= len(text) else None
+        return
+    if not many or odd * 10 > many:
+        return
+    held: list[str] = []
+    for text in codecs.iterdecode(read(), "utf-8"):
+        last = None if whole else APART.search(text[::-1])
+        if last:
+            cut = len(text) - last.start()
+            yield "".join([*held, text[:cut]])
+            held = [text[cut:]]
+        else:
+            held.append(text)
+    if any(held):
+        yield "".join(held)
+
+
+def _url_data(match: re.Match) -> bytes:
+    return binascii.unhexlify(match[0].replace("%", ""))
 
 
 def _url(match: re.Match) -> str | None:
-    return readable(binascii.unhexlify(match[0].replace("%", "")))
+    data = _url_data(match)
+    read = opened(data)
+    if read is None:
+        return clean(data)
+    return next(texts(read, whole=True), None) if _is_held(read) else None
+
+
+def _is_held(read: Reader) -> bool:
+    return read.func is _pieces
+
+
+def _large_url(layer: Layer) -> Iterator[Layer]:
+    """Texts that are too large to be put in the place of their URL escapes."""
+    for match in URL_RUN.finditer(layer.text):
+        read = opened(_url_data(match))
+        if read is not None and not _is_held(read):
+            for text in texts(read):
+                yield _covering(layer, text, range(*match.span()))
 
 
 def _escaped(match: re.Match) -> str | None:
@@ -180,15 +295,26 @@ def _covering(layer: Layer, text: str, places: list[int] | range) -> Layer:
     return Layer(text, [first] * len(text), [last] * len(text))
 
 
-def _whole(layer: Layer, places: list[int] | range, run: str) -> Layer | None:
-    """What a run holds as a whole."""
+def _whole(
+    layer: Layer, places: list[int] | range, run: str
+) -> tuple[bool, Iterator[Layer]] | None:
+    """What a run holds as a whole, and whether every character has its own place."""
     data = _decoded(run)
-    text = readable(data) if data is not None else None
-    if text is None:
+    if data is None:
         return None
-    if text.isascii() and text.encode() == data:
-        return _placed(layer, text, places, 0)
-    return _covering(layer, text, places)
+    read = opened(data)
+    if read is None:
+        text = clean(data)
+        if text is None:
+            return None
+        if text.isascii():
+            return True, iter([_placed(layer, text, places, 0)])
+        return False, iter([_covering(layer, text, places)])
+    parts = texts(read)
+    first = next(parts, None)
+    if first is None:
+        return None
+    return False, (_covering(layer, text, places) for text in chain([first], parts))
 
 
 def _inside(layer: Layer, places: list[int] | range, run: str) -> Iterator[Layer]:
@@ -205,20 +331,20 @@ def _inside(layer: Layer, places: list[int] | range, run: str) -> Iterator[Layer
         for match in COMPRESSED.finditer(data):
             if match.start() % 3:
                 continue
-            unpacked = decompressed(view[match.start() :])
-            text = readable(unpacked) if unpacked else None
-            if text is not None:
-                yield _covering(layer, text, behind[match.start() // 3 * 4 :])
+            read = opened(view[match.start() :])
+            if read is not None:
+                places_here = behind[match.start() // 3 * 4 :]
+                yield from (_covering(layer, text, places_here) for text in texts(read))
 
 
 def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
     """Lines that may be one run: several readings of the same lines, the widest first."""
-    for chain in BASE64_LINES.finditer(text):
-        lines, at = [], chain.start()
-        for cut in LINE_BREAK.finditer(text, *chain.span()):
+    for block in BASE64_LINES.finditer(text):
+        lines, at = [], block.start()
+        for cut in LINE_BREAK.finditer(text, *block.span()):
             lines.append((at, cut.start()))
             at = cut.end()
-        lines.append((at, chain.end()))
+        lines.append((at, block.end()))
         widths = [end - start for start, end in lines]
         first = 0
         while first < len(lines):
@@ -243,8 +369,9 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             places = [i for start, end in lines for i in range(start, end)]
             below = _whole(layer, places, "".join(text[i:j] for i, j in lines))
             if below:
-                yield below
-                if below.starts[0] != below.starts[-1]:
+                exact, layers = below
+                yield from layers
+                if exact:
                     read |= {end for _, end in lines}
                 break
         if not below or lines is not readings[0]:
@@ -256,15 +383,17 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         places = range(*match.span())
         below = _whole(layer, places, match[0])
         if below:
-            yield below
+            yield from below[1]
         else:
             yield from _inside(layer, places, match[0])
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly below."""
-    if "%" in layer.text and (below := _replaced(layer, URL_RUN, _url)):
-        yield below
+    if "%" in layer.text:
+        if below := _replaced(layer, URL_RUN, _url):
+            yield below
+        yield from _large_url(layer)
     if ("\\" in layer.text or "&#" in layer.text) and (
         below := _replaced(layer, ESCAPE, _escaped)
     ):
@@ -277,10 +406,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     base = sorted(scan(text))
     found, seen = set(base), set()
     top = Layer(text, range(len(text)), range(1, len(text) + 1))
-    waiting = list(unwrapped(top))
+    waiting = [unwrapped(top)]
     seen.add(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
     while waiting:
-        layer = waiting.pop()
+        layer = next(waiting[-1], None)
+        if layer is None:
+            waiting.pop()
+            continue
         mark = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         mark += hashlib.sha256(repr((layer.starts[:1], layer.ends[-1:])).encode()).digest()
         if mark[:32] in seen or mark in seen:
@@ -289,7 +421,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         for start, kind, end in scan(layer.text):
             first, last = layer.span(start, end)
             found.add((first, kind, last))
-        waiting += unwrapped(layer)
+        waiting.append(unwrapped(layer))
     return base, sorted(found)
 
 

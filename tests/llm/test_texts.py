@@ -195,6 +195,38 @@ def test_base64_in_a_path(path, behind):
     assert any(k == 0 and s == start and abs(e - end) <= 4 for s, k, e in secret_scan.all_spans(text)[1])
 
 
+def hides(data):
+    text = "a " + base64.b64encode(data).decode() + " b"
+    return any(k == 0 for _, k, _ in secret_scan.all_spans(text)[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+def test_later_members_are_read(pack):
+    assert hides(pack(b"nothing in the first one, ") + pack(KEY.encode()))
+    assert hides(pack(b"nothing in the first one, ") + gzip.compress(b"nor here ") + pack(KEY.encode()))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+def test_large_layers_are_read(pack, monkeypatch):
+    if pack is not bz2.compress:  # takes long
+        assert hides(pack(b"word, " * 12_000_000 + KEY.encode()))
+    monkeypatch.setattr(secret_scan, "PIECE", 50)
+    monkeypatch.setattr(secret_scan, "HELD_BYTES", 60)
+    for before in range(0, 60, 3):
+        plain = b"word, " * 5 + b"x" * before + b" " + base64.b64encode(gzip.compress(KEY.encode())) + b" y, z" * 9
+        assert hides(pack(pack(plain)))
+        assert hides(pack(b"word, " * 5 + b"x" * before + b" " + KEY.encode()))
+    hidden = "".join(f"%{b:02x}" for b in pack(b"word, " * 30 + KEY.encode()))
+    assert any(k == 0 for _, k, _ in secret_scan.all_spans(f"a {hidden} b")[1])
+
+
+def test_deeply_packed_data_is_read():
+    data = KEY.encode()
+    for _ in range(100):
+        data = zlib.compress(data)
+    assert hides(data)
+
+
 def test_loops_end():
     text = "%2525252541 \\u005cu005cu0041 %%41%41%"
     assert secret_scan.all_spans(text) == ([], [])
