@@ -4,7 +4,8 @@ A line's quote level is the number of ``>`` it begins with; successive lines of
 text of a message is what it does not quote. Own texts, their passages and paragraphs are normalised (case, white
 space) and hashed, and so are quoted passages and their paragraphs. Within a conversation, a quoted hash
 leads to the first message that has it as its own; the message replies to the one it quotes at the
-lowest level, the latest of several. Without such a link it replies to the turn before, if there is one.
+lowest level, the latest of several. Only whole passages, whole own texts and whole paragraphs count: a quoted line or
+sentence of a longer paragraph, or one with an ellipsis, leads nowhere. Without such a link it replies to the turn before, if there is one.
 Threads and depths follow from the parents by doubling: each round joins the messages that have not reached the
 top of their thread with the ancestor found so far, so a thread of n messages takes about log2(n) rounds.
 
