@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelens.llm import centroids, vector_codes
+from duelens.llm import centroids, quality_network, vector_codes
 from duelens.llm.queries import ORACLE, query, table
 
 
@@ -18,6 +18,13 @@ def op13_walsh_hadamard_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clusters(table(spark, folder, "embeddings"), many=40, rounds=5, seed=2)
 
 
+@query
+def op12_quality_network(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_network.scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 _KEPT = """
 kept AS MATERIALIZED (
   SELECT row_number() OVER () AS id, vec_id, label,
