@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,8 +38,43 @@ def new_path(spark: SparkSession, name: str = "staged") -> str:
 def staged(rows: DataFrame) -> DataFrame:
     """Computed once and written as a table to the shared folder; survives lost executors.
 
-    What reads it afterwards still reads only the columns and row groups it needs.
+    What reads it afterwards still reads only the columns and row groups it needs. The shuffle files
+    of the job are removed as soon as the table is there, because nothing reads them again.
     """
-    path = new_path(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    spark = rows.sparkSession
+    path = new_path(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for paths in _SCOPES:
+        paths.append(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote and that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table._staged_at)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Removes all tables staged inside when the block ends, also by an error."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
