@@ -6,15 +6,17 @@ than that, some segments hold the same shingles in both. A tile is a size band,
 sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit parity bitmaps
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
-Equal sets are one node. First each node is compared with its nearest neighbour of the tiles, and what
-holds becomes components. Then neighbouring components of a tile are compared through one node of each, until
-a round finds less than a hundredth of the links of the first. At last, in tiles that still hold several components, all nodes of
-different components are compared. So no link between components is lost, and the pairs
-inside a large group of near copies are not listed.
+Equal sets are one node. Rounds join the components of neighbours: in every tile that still holds several
+components, its nodes are put in an order that differs from round to round, and neighbours of different components are
+candidate pairs. The closest pair of each component is verified, and what holds joins components. As neighbours are a random
+sample of the pairs in a tile, they tell how many pairs pass the bitmaps. When these are in proportion to the
+rows, or a round finds no link, all nodes of different components of a tile are compared, crowded tiles in
+blocks; so no link between components is lost, and the pairs inside a large group of near copies are not listed.
 
 A null text is an empty text. An empty set is linked with nothing. Null ids name no document:
 such rows take part only through equal sets, and a set without any id has a null component.
-Rows with equal ids are one document whose texts are all compared. Other columns are not read.
+Rows with equal ids are one document whose texts are all compared. Texts are read whole, whatever their length.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,25 +26,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelens.llm.words import (
-    LOWER,
     Out,
     WordHashes,
     components,
     gram_hashes,
     lower_spaced_words,
     mixed,
-    packed_texts,
     rows_of,
-    unpacked,
 )
-from duelens.operators.staging import staged
-
-BITMAP_WORDS = 8
-_SET_TYPES = "doc_id long, n_shingles long, set_key binary, bitmap array<long>"
+from duelens.operators.staging import discard, staged
+
+#: Parity maps of 512 bits each; the largest difference of them counts.
+BITMAP_WORDS, MAPS = 8, 2
+#: Tiles with more nodes are cut into blocks of about as many.
+BLOCK = 1000
+#: Neighbours on one side that a node of a tile is compared with in a round.
+REACH = 4
+_SET_TYPES = (
+    "doc_id long, source long, text_key long, n_shingles long, set_key binary, bitmap array<long>"
+)
 _SEEN_SETS = 100_000
 
 
@@ -93,17 +99,22 @@ def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """512 bits; a bit says whether an odd number of shingles fall on it."""
+    """Maps of 512 bits; a bit says whether an odd number of shingles fall on it."""
     bits = 64 * BITMAP_WORDS
-    places = (shingles >> np.uint64(7)) % np.uint64(bits)
-    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    maps = []
+    for n in range(MAPS):
+        places = (shingles >> np.uint64(7 + 24 * n)) % np.uint64(bits)
+        odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
+        maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(maps)
 
 
 def _set_rows(width: int):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
+            ("source", pa.int64()),
+            ("text_key", pa.int64()),
             ("n_shingles", pa.int64()),
             ("set_key", pa.binary()),
             ("bitmap", pa.list_(pa.int64())),
@@ -112,10 +123,11 @@ def _set_rows(width: int):
 
     def run(batches):
         out, hashes = Out(schema), WordHashes()
-        for doc_id, text in rows_of(batches):
+        for doc_id, source, text_key, text in rows_of(batches):
             shingles = shingle_set(lower_spaced_words(text), width, hashes)
             key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            if out.add(doc_id, len(shingles), key, parity_bitmap(shingles)):
+            row = doc_id, source, text_key, len(shingles), key, parity_bitmap(shingles)
+            if out.add(*row):
                 yield out.batch()
         yield out.batch()
 
@@ -123,8 +135,8 @@ def _set_rows(width: int):
 
 
 def _tile_rows(width: int, percent: int):
-    """(doc_id, text) -> (tile, doc_id, home); of equal sets that meet in a task one is enough."""
-    schema = pa.schema([("tile", pa.int64()), ("doc_id", pa.int64()), ("home", pa.bool_())])
+    """(source, text) -> (tile, source, home); of equal sets that meet in a task one is enough."""
+    schema = pa.schema([("tile", pa.int64()), ("source", pa.int64()), ("home", pa.bool_())])
 
     def batch(*columns):
         arrays = [pa.array(np.concatenate(c)) for c in columns]
@@ -133,16 +145,16 @@ def _tile_rows(width: int, percent: int):
     def run(batches):
         hashes, seen = WordHashes(), set()
         tiles, ids, homes, held = [], [], [], 0
-        for doc_id, text in rows_of(batches):
+        for source, text in rows_of(batches):
             shingles = shingle_set(lower_spaced_words(text), width, hashes)
             key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            if doc_id is None or key in seen:
+            if key in seen:
                 continue
             if len(seen) < _SEEN_SETS:
                 seen.add(key)
             found, home = tiles_of(shingles, percent)
             tiles.append(found.view(np.int64))
-            ids.append(np.full(len(found), doc_id, np.int64))
+            ids.append(np.full(len(found), source, np.int64))
             homes.append(home)
             held += len(found)
             if held > 50_000:
@@ -162,16 +174,15 @@ def _shared_shingles(left: bytes, right: bytes) -> int:
 
 
 def _arrays(width: int):
-    """(id, wanted set, packed text) -> the sorted shingles where the text has the wanted set."""
+    """(id, wanted set, text) -> the sorted shingles where the text has the wanted set."""
     schema = pa.schema(
         [("id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary())]
     )
 
     def run(batches):
         out, hashes = Out(schema), WordHashes()
-        for node, wanted, packed in rows_of(batches):
-            words = unpacked(packed).translate(LOWER).split()
-            shingles = shingle_set(words, width, hashes).tobytes()
+        for node, wanted, text in rows_of(batches):
+            shingles = shingle_set(lower_spaced_words(text), width, hashes).tobytes()
             if hashlib.blake2b(shingles, digest_size=16).digest() == wanted:
                 if out.add(node, wanted, shingles, size=len(shingles)):
                     yield out.batch()
@@ -197,9 +208,10 @@ def _exact(percent: int):
 def _differing_bits(left: str, right: str) -> F.Column:
     bits = [
         F.bit_count(F.col(f"{left}.bitmap")[i].bitwiseXOR(F.col(f"{right}.bitmap")[i]))
-        for i in range(BITMAP_WORDS)
+        for i in range(BITMAP_WORDS * MAPS)
     ]
-    return sum(bits[1:], bits[0])
+    maps = [bits[i : i + BITMAP_WORDS] for i in range(0, len(bits), BITMAP_WORDS)]
+    return F.greatest(*(sum(m[1:], m[0]) for m in maps))
 
 
 def _may_link(left: str, right: str, percent: int) -> F.Column:
@@ -216,89 +228,102 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     """Of ``pairs`` (a, b) those that link, with the number of shared shingles, staged."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Written first, so that Spark knows its size and need not shuffle texts for a few pairs.
-    wanted = staged(ends.join(nodes.select("id", "set_key"), "id"))
+    wanted = staged(ends.join(nodes.select("id", "set_key", "source"), "id"))
     arrays = staged(
-        packed_texts(docs)
-        .join(wanted, F.col("doc_id") == F.col("id"))
-        .select("id", "set_key", "packed")
+        docs.join(wanted, "source")
+        .select("id", "set_key", "text")
         .mapInArrow(_arrays(width), "id long, set_key binary, shingles binary")
         .dropDuplicates(["id", "set_key"])
     )
     left = arrays.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = arrays.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    return staged(
+    links = staged(
         pairs.join(right, "b")
         .join(left, "a")
         .select("a", "b", "left", "right")
         .mapInArrow(_exact(percent), "a long, b long, shared long")
     )
+    discard(wanted, arrays)
+    return links
+
+
+def _shared_tiles(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int, percent: int):
+    """(tile, id, home, crowd) of the tiles in which several nodes meet, one of them at home; ``crowd`` is
+    their number. Two visitors of a band meet in their own."""
+    settled = "max(home) OVER (PARTITION BY tile) AS settled"
+    met = (
+        docs.select("source", "text")
+        .mapInArrow(_tile_rows(width, percent), "tile long, source long, home boolean")
+        .selectExpr("*", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
+        .where("crowd > 1 AND settled")
+        .select("tile", "source", "home")
+    )
+    node_of = sets.join(nodes.select("set_key", "id"), "set_key").select("source", "id").distinct()
+    return (
+        met.join(node_of, "source")
+        .groupBy("tile", "id")
+        .agg(F.max("home").alias("home"))
+        .selectExpr("*", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
+        .where("crowd > 1 AND settled")
+        .drop("settled")
+    )
 
 
-def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+def _neighbours(rows: DataFrame, known: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b, bits, left, right, stands_for): pairs of neighbours in a tile that may link, and their components.
 
-    Documents link when ``100 * intersection >= percent * union`` of their shingle sets.
+    The nodes of a tile lie in a random order, another one at each ``turn``; a crowded tile is dealt into
+    parts. Each pair stands for as many pairs of its tiles as were not looked at for it.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = staged(docs.mapInArrow(_set_rows(width), _SET_TYPES))
-    nodes = staged(
-        sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-        .groupBy("set_key")
+    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("crowd") / BLOCK))
+    by = Window.partitionBy("tile", part).orderBy(F.xxhash64(F.lit(turn), "id"), "id")
+    node = F.struct("id", "component")
+    met = (
+        rows.select(
+            node.alias("x"),
+            F.array(*(F.lag(node, n).over(by) for n in range(1, REACH + 1))).alias("others"),
+            (F.col("crowd") / (2 * REACH)).alias("stands_for"),
+        )
+        .select("x", F.explode("others").alias("y"), "stands_for")
+        .where("x.component <> y.component")
+        .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .agg(
-            F.min("doc_id").alias("id"),
-            *(F.any_value(c).alias(c) for c in ("n_shingles", "bitmap")),
+            F.any_value("x.component").alias("left"),
+            F.any_value("y.component").alias("right"),
+            F.sum("stands_for").alias("stands_for"),
         )
     )
-    known = nodes.select("id", "n_shingles", "bitmap")
-    around = [
-        "lag(id) OVER (PARTITION BY tile ORDER BY id) AS before",
-        "lead(id) OVER (PARTITION BY tile ORDER BY id) AS after",
-        "max(home) OVER (PARTITION BY tile) AS settled",
-    ]
-    # Two visitors of a band meet in their own; a tile without anyone at home is of no use.
-    shared = "settled AND (before IS NOT NULL OR after IS NOT NULL)"
-    crowded = (
-        docs.mapInArrow(_tile_rows(width, percent), "tile long, doc_id long, home boolean")
-        .withColumnRenamed("doc_id", "id")
-        .selectExpr("tile", "id", "home", *around)
-        .where(shared)
-        .select("tile", F.col("id").alias("doc_id"), "home")
-    )
-    node_of = sets.join(nodes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
-    members = staged(
-        crowded.join(node_of, "doc_id")
-        .select("tile", "id", "home")
-        .distinct()
-        .selectExpr("tile", "id", "home", *around)
-        .where(shared)
-        .select("tile", "id", "home", "before")
-    )
-    near = (
-        members.where("before <> id")
-        .select(F.col("before").alias("a"), F.col("id").alias("b"))
-        .distinct()
-        .join(known.alias("x"), F.col("a") == F.col("x.id"))
+    return (
+        met.join(known.alias("x"), F.col("a") == F.col("x.id"))
         .join(known.alias("y"), F.col("b") == F.col("y.id"))
         .where(_may_link("x", "y", percent))
-        .groupBy("b")
-        .agg(F.min_by("a", F.struct(_differing_bits("x", "y"), F.col("a"))).alias("a"))
+        .select("a", "b", _differing_bits("x", "y").alias("bits"), "left", "right", "stands_for")
+    )
+
+
+def _closest(near: DataFrame) -> DataFrame:
+    """(a, b): for each component its closest pair."""
+    pair = F.struct("bits", "a", "b")
+    return (
+        near.select(F.explode(F.array("left", "right")).alias("component"), pair.alias("pair"))
+        .groupBy("component")
+        .agg(F.min("pair").alias("pair"))
+        .select("pair.a", "pair.b")
+        .distinct()
     )
-    tried = staged(near.select("a", "b"))
-    links = _verified(docs, nodes, tried, width, percent)
-    placed, found = _placed(nodes.select("id").distinct(), links), links.count()
-    while True:
-        open_rows = _open_rows(members, placed, known)
-        pairs = staged(_between_components(open_rows, percent).join(tried, ["a", "b"], "left_anti"))
-        more = _verified(docs, nodes, pairs, width, percent)
-        placed, tried = _placed(placed, more), tried.union(pairs)
-        if more.count() * 100 <= found:
-            break
-    open_rows = _open_rows(members, placed, known)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = staged(
+
+
+def _across(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that meet in a tile and may link; crowded tiles block by block."""
+    blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    rows = rows.join(known, "id")
+    x = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
+    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    return (
         x.join(
             y,
             (F.col("x.tile") == F.col("y.tile"))
+            & (F.col("x.block") == F.col("y.block"))
             & (F.col("x.id") < F.col("y.id"))
             & (F.col("x.home") | F.col("y.home"))
             & (F.col("x.component") != F.col("y.component"))
@@ -306,89 +331,170 @@ def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    placed = _placed(placed, _verified(docs, nodes, across, width, percent))
-    names = nodes.select("id", "set_key").join(placed, "id")
-    return (
-        sets.select("doc_id", "n_shingles", "set_key")
-        .join(names, "set_key", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-            .otherwise(F.col("component"))
-            .alias("component_id"),
-        )
     )
 
 
-def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) after ``links`` have joined the components so far (each node its own at first)."""
-    if "component" not in nodes.columns:
-        nodes = nodes.withColumn("component", F.col("id"))
-    ends = (
-        links.join(nodes.toDF("a", "x"), "a")
-        .join(nodes.toDF("b", "y"), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    joined = components(ends).toDF("component", "smallest")
-    return staged(
-        nodes.join(joined, "component", "left").select(
-            "id", F.coalesce("smallest", "component").alias("component")
-        )
+def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with the names of the components they now belong to."""
+    return (
+        rows.join(joined, "component", "left")
+        .withColumn("component", F.coalesce("smallest", "component"))
+        .select(rows.columns)
     )
 
 
-def _open_rows(members: DataFrame, placed: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of the tiles that hold several components, with size and bitmap."""
-    rows = members.select("tile", "id", "home").join(placed, "id")
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of tiles that hold several components."""
     several = (
         rows.groupBy("tile")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("tile")
     )
-    return staged(rows.join(several, "tile").join(known, "id"))
+    return rows.join(several, "tile", "left_semi")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, source, text_key, n_shingles, set_key, component) for each row of ``docs``; empty sets have no
+    component. Components are of sets: an id with several texts may have several."""
+    docs = _with_source(docs)
+    text_key = F.xxhash64("text").alias("text_key")
+    sets = staged(docs.select("doc_id", "source", text_key, "text").mapInArrow(_set_rows(width), _SET_TYPES))
+    nodes = staged(
+        sets.where("n_shingles > 0")
+        .groupBy("set_key")
+        .agg(
+            F.min("source").alias("source"),
+            *(F.any_value(c).alias(c) for c in ("n_shingles", "bitmap")),
+        )
+        .withColumn("id", F.xxhash64("set_key"))
+    )
+    known = nodes.select("id", "n_shingles", "bitmap")
+    placed = staged(nodes.select("id", F.col("id").alias("component")).distinct())
+    rows = staged(
+        _shared_tiles(docs, sets, nodes, width, percent).withColumn("component", F.col("id"))
+    )
+    turn, done = 0, False
+    while not done:
+        near = staged(_neighbours(rows, known, percent, turn))
+        expected = near.agg(F.sum("stands_for")).first()[0] or 0
+        done = expected <= 2 * rows.count()
+        if not done:
+            pairs = staged(_closest(near))
+            links = _verified(docs, nodes, pairs, width, percent)
+            done = links.isEmpty()
+            if done:
+                discard(pairs, links)
+        if done:
+            pairs = staged(_across(rows, known, percent))
+            links = _verified(docs, nodes, pairs, width, percent)
+        ends = (
+            links.join(placed.toDF("a", "x"), "a")
+            .join(placed.toDF("b", "y"), "b")
+            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        )
+        joined = staged(components(ends).toDF("component", "smallest"))
+        old = (placed, rows, near, pairs, links, joined)
+        placed = staged(_renamed(placed, joined))
+        if not done:
+            rows = staged(_open(_renamed(rows, joined)))
+        discard(*old)
+        turn += 1
+    names = nodes.select("set_key", "id").join(placed, "id").drop("id")
+    return staged(sets.drop("bitmap").join(names, "set_key", "left"))
+
+
+def _with_source(docs: DataFrame) -> DataFrame:
+    """``docs`` with what a row's text is found by: its id, or the hash of the text where it has none."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("source"), "text"
+    )
 
 
-def _between_components(open_rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each two components next to each other in some tile, their closest pair of nodes.
+def shingle_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
-    Of each component and tile the node with the smallest id stands for it.
+    Documents link when ``100 * intersection >= percent * union`` of their shingle sets.
     """
-    node = F.struct("id", "n_shingles", "bitmap")
-    one_each = open_rows.groupBy("tile", "component").agg(F.min_by(node, "id").alias("y"))
-    pairs = one_each.select(
-        "component",
-        "y",
-        F.expr("lag(y) OVER (PARTITION BY tile ORDER BY component)").alias("x"),
-        F.expr("lag(component) OVER (PARTITION BY tile ORDER BY component)").alias("other"),
+    rows = _grouped(docs, width, percent)
+    # The texts of one id are one document, so their components are one.
+    several = (
+        rows.where("doc_id IS NOT NULL AND component IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        .where("a < b")
     )
-    ends = F.struct(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    ends = rows.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b"))
+    joined = staged(components(ends.where("b IS NOT NULL")).toDF("component", "smallest"))
+    rows = _renamed(rows, joined)
+    least = (
+        rows.where("component IS NOT NULL")
+        .groupBy("component")
+        .agg(F.min("doc_id").alias("component_id"))
     )
     return (
-        pairs.where(F.col("x").isNotNull() & _may_link("x", "y", percent))
-        .groupBy("other", "component")
-        .agg(F.min_by(ends, F.struct(_differing_bits("x", "y"), ends)).alias("ends"))
-        .select("ends.a", "ends.b")
-        .distinct()
+        rows.join(least, "component", "left")
+        .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id")
     )
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near duplicates: of each group the document with the smallest id stays.
+    """``docs`` without near duplicates: of each group of linked texts the first one stays.
 
-    Documents without an id stay. Repeated rows of one id are one document: one of them stays.
+    The first is the text with the smallest id; texts without an id come last, and between texts of one id the hash of
+    the text decides, so the choice is the same in every run. Texts are judged each for itself: rows
+    that share an id but hold texts that are not linked all stay. Of repeated rows (same id and text)
+    one stays, the one with the smallest hash of all its columns. Empty texts are linked with nothing and stay, repeats
+    with the same id apart.
     """
-    groups = (
-        shingle_groups(docs, width, percent)
-        .where("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min("component_id").alias("kept_id"))
-        .where("kept_id = doc_id")
-        .select(F.col("doc_id").alias("kept_id"))
+    names = docs.columns
+    groups = _grouped(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "set_key", "text_key")
+    first = (
+        groups.where("component IS NOT NULL")
+        .groupBy("component")
+        .agg(F.min(order).alias("first"))
+        .select("first.doc_id", "first.text_key")
+    )
+    empty = groups.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "text_key")
+    many = groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    both = first.unionByName(empty.distinct())
+    same_id = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
+    kept = staged(
+        both.alias("l")
+        .join(many.alias("r"), same_id & (F.col("l.text_key") == F.col("r.text_key")))
+        .select("l.doc_id", "l.text_key", "rows")
     )
-    kept = docs.join(groups, docs["doc_id"] == groups["kept_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+    def rows_of_kept(which: DataFrame) -> DataFrame:
+        wanted = which.select(
+            F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")
+        )
+        return docs.join(
+            wanted,
+            docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+            & (F.xxhash64(docs["text"]) == F.col("__key")),
+            "left_semi",
+        )
+
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))
+    once = (
+        rows_of_kept(kept.where("rows > 1"))
+        .select(
+            F.col("doc_id").alias("__id"),
+            F.xxhash64("text").alias("__key"),
+            F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("__hash"),
+            whole.alias("__row"),
+        )
+        .groupBy("__id", "__key")
+        .agg(F.min_by("__row", "__hash").alias("__row"))
+        .select("__row.*")
+    )
+    nameless = docs.where(F.col("doc_id").isNull() & ~_has_word(F.col("text")))
+    return rows_of_kept(kept.where("rows = 1")).unionByName(once).unionByName(nameless)
+
+
+def _has_word(text: F.Column) -> F.Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

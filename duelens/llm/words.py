@@ -7,11 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelens.operators.staging import staged
+from duelens.operators.staging import discard, staged
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A-Z in lower case; of the other ASCII only digits and letters stay, so that split() gives words.
@@ -104,27 +103,6 @@ class Out:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-_PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
-
-
-def _pack_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, packer = Out(_PACKED), zstandard.ZstdCompressor(level=1)
-    for doc_id, text in rows_of(batches):
-        packed = packer.compress((text or "").encode("utf-8", "surrogatepass"))
-        if out.add(doc_id, packed, size=len(packed)):
-            yield out.batch()
-    yield out.batch()
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed before they are shuffled."""
-    return docs.select("doc_id", "text").mapInArrow(_pack_rows, "doc_id long, packed binary")
-
-
-def unpacked(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component), the smallest id of each.
 
@@ -132,6 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
     which shrinks to stars, and is written to the shared folder. Nodes without an edge have no row.
     """
     links = staged(edges.select("a", "b").where("a <> b").distinct())
+    seen = _signature(links)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -152,7 +131,9 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         new = staged(small)
-        if _signature(new) == _signature(links):
+        before, seen = seen, _signature(new)
+        discard(links)
+        if seen == before:
             return new.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
                 new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )

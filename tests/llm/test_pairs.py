@@ -63,10 +63,37 @@ def test_groups_of_awkward_rows(spark):
     }
     kept = ngram_join.one_of_each_group(awkward.frame(spark), 3, 90)
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i))
-    assert ids == [1, 3, 4, 5, 6, 7, 8, 9, None, None]
+    assert ids == [1, 3, 4, 5, 6, 7, 7, 8, 9, None]
     assert ngram_join.shingle_groups(awkward.frame(spark, [])).count() == 0
 
 
+def test_texts_of_one_id_are_judged_each_for_itself(spark):
+    a, b = awkward.LONG[:400], "B " + " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 1), (5, b, 2), (5, a, 3), (5, b + " end", 4), (None, b, 5), (None, "c d", 6), (None, "c d", 6)]
+    rows += [(8, "", 7), (8, "", 8), (None, "", 9), (None, None, 9), (9, "e f", 10), (9, "g h", 11), (9, "e f", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    for parts in (1, 3):
+        kept = sorted(map(tuple, ngram_join.one_of_each_group(docs.repartition(parts)).collect()), key=repr)
+        texts = [(i, t) for i, t, _ in kept]
+        assert sorted(texts, key=repr) == sorted(
+            [(1, a), (5, b if (5, b) in texts else b + " end"), (None, "c d"), (8, ""), (9, "e f")]
+            + [(9, "g h"), (None, ""), (None, None)],
+            key=repr,
+        )
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_crowded_tiles_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(150)]
+    docs = [(i, " ".join(edited(base, rng, rng.choice([0, 0.01, 0.02, 0.04])))) for i in range(150)]
+    found = ngram_join.shingle_groups(
+        spark.createDataFrame(docs, "doc_id long, text string"), 3, 90
+    ).collect()
+    assert {r.doc_id: r.component_id for r in found} == awkward.groups(docs, 3, 90)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_a_common_segment_is_certain(percent):
     """Sets at the threshold always share a tile."""
@@ -87,8 +114,8 @@ def test_a_common_segment_is_certain(percent):
             assert tiles[0] & tiles[1]
             assert any(ngram_join.tiles_of(s, percent)[1].any() for s in (left, right))
             apart = ngram_join.parity_bitmap(left) ^ ngram_join.parity_bitmap(right)
-            bits = int(np.bitwise_count(apart.view(np.uint64)).sum())
-            assert bits <= len(left) + len(right) - 2 * shared
+            bits = np.bitwise_count(apart.view(np.uint64)).reshape(ngram_join.MAPS, -1).sum(axis=1)
+            assert bits.max() <= len(left) + len(right) - 2 * shared
 
 
 def test_word_hashes_stay_bounded():
