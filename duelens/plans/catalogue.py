@@ -32,7 +32,7 @@ from duelens.operators.staging import new_path, staged
 from duelens.plans import pipelines
 from duelens.plans.oracle import cut_points, slug, with_views
 from duelens.schema import STUDY_SCAN_COLUMNS
-from duelens.sources import scans, sinks, testbed, upsert
+from duelens.sources import record_table, scans, sinks, testbed, upsert
 from duelens.streaming import record_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -773,8 +773,11 @@ def record_upsert(spark: SparkSession, folder: str) -> DataFrame:
         )
         .withColumn("version", (F.col("end_of_trial_status") == "Completed").cast("int"))
     )
+    path = new_path(spark, "records")
+    record_table.create_table(current, path, buckets=16)
+    record_table.upsert_into(spark, path, incoming, now, buckets=16, order=["version"])
     return with_text_days(
-        upsert.upsert(current, incoming, now, order=["version"]),
+        record_table.read_table(spark, path).drop(record_table.BUCKET),
         "date_of_the_global_end_of_the_trial",
         "meta_created",
         "meta_updated",

@@ -10,8 +10,8 @@ from duelens.operators import browse, cohort, paper, quality, quantile, rollup,
 from duelens.operators.staging import new_path, staged
 from duelens.plans import catalogue
 from duelens.plans.catalogue import LAST_DAY, query, with_text_days
-from duelens.sources import scans, sinks, testbed
-from duelens.streaming import record_stream
+from duelens.sources import record_table, scans, sinks, testbed
+from duelens.streaming import snapshots
 
 # --- tables --------------------------------------------------------------------------------
 
@@ -241,27 +241,91 @@ def studies_of_repeated_records(spark: SparkSession, folder: str) -> DataFrame:
     FROM events GROUP BY user_id""",
 )
 def streamed_in_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as several files, a micro-batch each; ids of known records last over batches."""
+    """The events as several files, a micro-batch each, compacted between the batches.
+
+    Ids of known records last over batches and compactions, and retired folders are gone at the end.
+    """
     run, order = new_path(spark, "stream"), ["ts", "event_id"]
     events = testbed.table(spark, folder, "events")
     # One file after the other, in the order of time: later files are later batches.
     second = F.unix_seconds(F.col("ts").cast("timestamp"))
     ends = events.agg(F.percentile_approx(second, [0.25, 0.5, 0.75])).first()[0]
-    for low, high in zip([None, *ends], [*ends, None]):
+    log = f"{run}/log"
+    for number, (low, high) in enumerate(zip([None, *ends], [*ends, None])):
         rows = events if low is None else events.where(second > low)
         rows = rows if high is None else rows.where(second <= high)
         rows.write.mode("append").parquet(f"{run}/arriving")
-    arriving = (
-        spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{run}/arriving")
-        .select("user_id", "ts", "event_id", F.col("event_id").alias("meta_id"), "event_type", "value")
+        if number == 0:
+            continue
+        arriving = (
+            spark.readStream.schema(events.schema)
+            .option("maxFilesPerTrigger", 1)
+            .parquet(f"{run}/arriving")
+            .select(
+                "user_id", "ts", "event_id", F.col("event_id").alias("meta_id"), "event_type", "value"
+            )
+        )
+        snapshots.start_log_stream(arriving, log, order, "user_id").awaitTermination()
+        if number < 3:
+            snapshots.compact(spark, log, arriving.schema, order, "user_id")
+    snapshots.remove_retired(spark, log)
+    current = snapshots.read_log(spark, log, arriving.schema, order, "user_id")
+    return current.select("user_id", "meta_id", "event_type", "value")
+
+
+# --- record tables -------------------------------------------------------------------------
+
+_BUCKETS = 64
+_BUCKET_SQL = f"('0x' || substr(md5(record_key), 1, 8))::BIGINT % {_BUCKETS}"
+
+
+@query(
+    "changed_record_buckets",
+    f"""SELECT ({_BUCKET_SQL})::INT AS bucket, count(*) FILTER (o % 5000 <> 3) AS n_before,
+      count(*) FILTER (o % 7000 <> 5) AS n_after
+    FROM records GROUP BY 1
+    HAVING count(*) FILTER ((o % 5000 = 3) <> (o % 7000 = 5)
+      OR (o % 5000 <> 3 AND o % 7000 <> 5 AND o % 9000 = 1)) > 0""",
+)
+def changed_record_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Buckets that differ between two scrapes: some records are new, some gone, some have another status."""
+    rows = catalogue.plain_records(spark, folder).select(
+        "eudract_number", "eudract_number_with_country", "end_of_trial_status"
     )
-    stream = record_stream.start_record_stream(
-        arriving, f"{run}/versions", f"{run}/checkpoint", order, "user_id"
+    number = F.col("eudract_number").cast("long")
+    status = F.when(number % 9000 == 1, "Changed").otherwise(F.col("end_of_trial_status"))
+    tables = (
+        rows.where(number % 5000 != 3),
+        rows.where(number % 7000 != 5).withColumn("end_of_trial_status", status),
     )
-    stream.awaitTermination()
-    current = record_stream.read_current(
-        spark, f"{run}/versions", arriving.schema, order, "user_id"
+    before, after = (
+        record_table.digest_tree(
+            record_table.bucket_digests(table, "eudract_number_with_country", _BUCKETS), _BUCKETS
+        )
+        for table in tables
     )
-    return current.select("user_id", "meta_id", "event_type", "value")
+    changed = record_table.changed_nodes(before, after, _BUCKETS).where("level = 0")
+    return changed.select(F.col("node").cast("int").alias("bucket"), "n_before", "n_after")
+
+
+@query(
+    "history_of_two_scrapes",
+    """SELECT scrape_date, total_trials, due_trials, percent_with_results FROM headline
+    UNION ALL SELECT (scrape_date::DATE - 30)::VARCHAR, total_trials - 1, 0, NULL FROM headline""",
+)
+def history_of_two_scrapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs on two scrape dates: the second run of a date replaces the first one of it."""
+    path = new_path(spark, "history")
+    figures = staged(catalogue._headline(spark, folder))
+    earlier = figures.withColumns(
+        {
+            "scrape_date": F.date_sub("scrape_date", 30),
+            "total_trials": F.col("total_trials") - 1,
+            "due_trials": F.col("due_trials") * 0,
+            "percent_with_results": F.lit(None).cast("double"),
+        }
+    )
+    for run in (earlier, figures.withColumn("total_trials", F.col("total_trials") * 0), figures):
+        sinks.write_history(run, path)
+    back = with_text_days(scans.read_history(spark, path), "scrape_date")
+    return back.select("scrape_date", "total_trials", "due_trials", "percent_with_results")

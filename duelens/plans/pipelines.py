@@ -15,7 +15,12 @@ from duelens.operators.expiry import expiry_cutoff, live_records, scrape_dates
 from duelens.operators.headline import headline
 from duelens.operators.staging import staged
 from duelens.sources.scans import scan_records
-from duelens.sources.sinks import write_csv, write_json, write_meta_if_changed
+from duelens.sources.sinks import (
+    write_csv,
+    write_history,
+    write_json,
+    write_meta_if_changed,
+)
 from duelens.sources.upsert import upsert_history
 
 
@@ -140,13 +145,18 @@ def publish(
     return Published(sponsors.with_total_trials(classified), sponsor_rows, figures)
 
 
-def write_published(tables: Published, history: DataFrame, folder: str) -> None:
-    """Write the published tables as JSON lines, and the history with this scrape in it."""
+def write_published(tables: Published, folder: str, history: DataFrame | None = None) -> None:
+    """Write the published tables as JSON lines and put this scrape into the history.
+
+    Earlier scrapes stay in ``headline_history``, which ``scans.read_history`` reads; ``history`` are
+    rows from elsewhere that go in first.
+    """
     write_json(tables.trials, f"{folder}/all_trials", ["trial_id", "slug"])
     write_json(tables.sponsors, f"{folder}/all_sponsors", ["slug"])
     figures = staged(tables.headline)
     write_json(figures, f"{folder}/headline")
-    write_json(upsert_history(history, figures), f"{folder}/headline_history", ["scrape_date"])
+    rows = figures if history is None else upsert_history(history, figures)
+    write_history(rows, f"{folder}/headline_history")
 
 
 def study_cohort(

@@ -98,7 +98,13 @@ def read_json(
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Headline history written as one object keyed by date; early rows lack some fields."""
+    """The headline history that ``sinks.write_history`` keeps, one row for each scrape date."""
+    rows = spark.read.schema(schema.HEADLINE_SCHEMA).json(path)
+    return rows.select(*schema.HEADLINE_SCHEMA.names)
+
+
+def import_history(spark: SparkSession, path: str) -> DataFrame:
+    """A history from elsewhere, one JSON object keyed by date; early rows lack some fields."""
     whole = spark.read.text(path, wholetext=True)
     by_date = F.from_json("value", T.MapType(T.StringType(), schema.HEADLINE_SCHEMA))
     return whole.select(F.explode(by_date)).select("value.*")

@@ -17,6 +17,16 @@ def write_json(rows: DataFrame, path: str, order: list[str] | None = None) -> No
     ).json(path)
 
 
+def write_history(rows: DataFrame, path: str) -> None:
+    """Headline rows as JSON lines in a folder for each scrape date; other dates keep their files.
+
+    A second run of a scrape replaces its row. ``scans.read_history`` reads what this writes.
+    """
+    rows.repartition("scrape_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).option("ignoreNullFields", False).partitionBy("scrape_date").json(path)
+
+
 def _csv_writer(rows: DataFrame, mode: str):
     """Header, doubled quotes, text kept with its outer blanks."""
     return rows.write.mode(mode).options(

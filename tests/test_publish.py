@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -127,21 +128,40 @@ def test_headline(published):
 
 
 def test_files(spark, published, tmp_path):
-    history = spark.createDataFrame([], schema.HEADLINE_SCHEMA)
-    pipelines.write_published(published, history, str(tmp_path))
-    back = scans.read_json(spark, f"{tmp_path}/headline_history", schema.HEADLINE_SCHEMA)
-    assert back.first().total_trials == 7
+    folder = str(tmp_path)
+    pipelines.write_published(published, folder)
+    back = scans.read_history(spark, f"{folder}/headline_history")
+    assert back.first() == published.headline.select(*back.columns).first()
     line = next((tmp_path / "all_sponsors").glob("part-*.json")).read_text().splitlines()[0]
     assert list(json.loads(line)) == sorted(json.loads(line))
     again = upsert.upsert_history(back, published.headline)
     assert again.count() == 1
 
 
+def test_history_of_several_scrapes(spark, published, tmp_path):
+    folder = str(tmp_path)
+    old = spark.createDataFrame([{"scrape_date": date(2017, 1, 21), "total_trials": 29451}],
+                                schema.HEADLINE_SCHEMA)
+    pipelines.write_published(published, folder, history=old)
+    first = next(tmp_path.glob("headline_history/scrape_date=2017-01-21/*.json"))
+    later = published.headline.withColumn("scrape_date", F.lit(date(2018, 2, 1)))
+    for total in (1, 2):
+        figures = later.withColumn("total_trials", F.lit(total).cast("long"))
+        pipelines.write_published(replace(published, headline=figures), folder)
+    rows = scans.read_history(spark, f"{folder}/headline_history").orderBy("scrape_date").collect()
+    assert [(r.scrape_date, r.total_trials) for r in rows] == [
+        (date(2017, 1, 21), 29451), (date(2018, 1, 17), 7), (date(2018, 2, 1), 2)
+    ]
+    assert rows[0].due_date_cutoff is None
+    assert rows[1].percent_inconsistent == 71.4
+    assert first.exists()
+
+
 def test_old_history_lacks_fields(spark, tmp_path):
     path = tmp_path / "history.json"
     path.write_text(json.dumps({"2017-01-21": {"scrape_date": "2017-01-21", "total_trials": 29451,
                                                "percent_with_results": 48.5}}, indent=1))
-    row = scans.read_history(spark, str(path)).first()
+    row = scans.import_history(spark, str(path)).first()
     assert (row.total_trials, row.due_date_cutoff) == (29451, None)
 
 
