@@ -40,7 +40,6 @@ FACTORS = [
     Factor("country_count"),
     Factor("multiple_sponsors"),
 ]
-YEAR_FACTOR = Factor("completionyear", 2016)
 
 
 def term_names(terms: list[str | Factor]) -> list[str]:
@@ -65,7 +64,8 @@ def _without_perfect_levels(
     """Leave out non-base levels all of whose rows have the same outcome, with their rows.
 
     Such a level has no finite odds ratio.  What is left may make another level perfect, so this
-    goes on until nothing changes.  Only (factor, level, outcome) counts are read.
+    goes on until nothing changes.  Only (factor, level, outcome) counts are read.  When a factor's
+    base is left out with other factors' levels, nothing can be compared with it: no rows are left.
     """
     entries = F.array(
         *[F.struct(F.lit(f.name).alias("name"), F.col(f.name).cast("int").alias("level"))
@@ -86,6 +86,8 @@ def _without_perfect_levels(
                 (r["level"], r["low"] != r["high"]) for r in seen if r["name"] == factor.name
             )
             present = [level for level, _ in rows]
+            if not present or bases.get(factor.name, present[0]) not in present:
+                return patterns.where("false"), {f.name: [] for f in factors}
             base = bases.setdefault(factor.name, base_level(factor, present))
             kept[factor.name] = [level for level, mixed in rows if mixed or level == base]
             if len(kept[factor.name]) < len(present):
@@ -125,11 +127,14 @@ def _independent(assembled: DataFrame, count: int) -> list[int]:
 
 @dataclass
 class Fit:
-    """A fitted model: its terms as columns, the counted patterns it was fitted to, its rows."""
+    """A fitted model: its terms as columns, the counted patterns it was fitted to, its rows.
+
+    A model that cannot be estimated, because no rows are left, has no terms and no ``model``.
+    """
 
     names: list[str]
     design: DataFrame
-    model: GeneralizedLinearRegressionModel
+    model: GeneralizedLinearRegressionModel | None
     used: float
     dropped: float
 
@@ -141,6 +146,11 @@ def _fit(
     counted = staged(covariate_patterns(known, terms, outcome, weight))
     factors = [t for t in terms if isinstance(t, Factor)]
     patterns, levels = _without_perfect_levels(counted, factors, outcome)
+    every, used = (
+        p.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] for p in (counted, patterns)
+    )
+    if not used:
+        return Fit([], patterns, None, 0.0, every)
     columns: list[tuple[str, Column]] = []
     for term in terms:
         if isinstance(term, str):
@@ -167,9 +177,6 @@ def _fit(
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-10
     ).fit(design)
-    every, used = (
-        p.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] for p in (counted, patterns)
-    )
     return Fit([name for name, _ in columns], design, model, used, every - used)
 
 
@@ -187,11 +194,12 @@ def odds_ratios(
     Dummies are built one by one, so that each factor's base level is the one asked for.
     Levels that predict the outcome perfectly and terms that follow from earlier ones
     are left out; ``used`` and ``dropped`` say how many rows the fit has and how many went
-    with such levels.  Only levels, a matrix of terms and the coefficients reach the driver.
+    with such levels.  If no rows are left, the model is reported as not estimable: one row with nulls and
+    ``used`` 0.  Only levels, a matrix of terms and the coefficients reach the driver.
     """
     fit = _fit(rows, terms, outcome, weight)
-    summary = fit.model.summary
-    found = [
+    summary = fit.model.summary if fit.model else None
+    found = [("(intercept)", None, None, None, None)] if summary is None else [
         (name, float(b), float(se), float(z), float(p))
         for name, b, se, z, p in zip(
             [*fit.names, "(intercept)"],
@@ -225,6 +233,9 @@ def fit_totals(
     probabilities give, for every term and the intercept.
     """
     fit = _fit(rows, terms, outcome)
+    kind = "term string, observed double, fitted double, used double, dropped double"
+    if fit.model is None:
+        return spark.createDataFrame([("(intercept)", 0.0, 0.0, 0.0, fit.dropped)], kind)
     scored = fit.model.transform(fit.design)
     columns = [*[F.col(f"x{i}") for i in range(len(fit.names))], F.lit(1.0)]
     sums = [F.sum(F.col("weight") * F.col(y) * x) for x in columns for y in ("label", "prediction")]
@@ -234,7 +245,7 @@ def fit_totals(
             (name, totals[2 * i], totals[2 * i + 1], fit.used, fit.dropped)
             for i, name in enumerate([*fit.names, "(intercept)"])
         ],
-        "term string, observed double, fitted double, used double, dropped double",
+        kind,
     )
 
 

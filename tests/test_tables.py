@@ -155,3 +155,19 @@ def test_three_and_seven_bins_are_exact(spark):
         assert sorted(r["count"] for r in found) == sorted(
             30_000 * k // bins - 30_000 * (k - 1) // bins for k in range(1, bins + 1)
         )
+
+
+def test_a_model_without_rows_is_not_estimable(spark):
+    """Each level of h has one outcome only, and what is left of g's base goes with them."""
+    rows = spark.createDataFrame(
+        [(3, 1, 1), (3, 1, 1), (4, 2, 0), (4, 2, 0), (4, 2, 0)], "g int, h int, results int"
+    )
+    terms = [logistic.Factor("g", 3), logistic.Factor("h", 2)]
+    (row,) = logistic.odds_ratios(spark, rows, terms).collect()
+    assert (row.term, row.odds_ratio, row.used, row.dropped) == ("(intercept)", None, 0.0, 5.0)
+    (total,) = logistic.fit_totals(spark, rows, terms).collect()
+    assert (total.observed, total.fitted, total.used, total.dropped) == (0.0, 0.0, 0.0, 5.0)
+    empty = logistic.odds_ratios(spark, rows.limit(0), terms).collect()
+    assert [(r.used, r.dropped) for r in empty] == [(0.0, 0.0)]
+    with pytest.raises(ValueError, match="no level 9"):
+        logistic.odds_ratios(spark, rows, [logistic.Factor("g", 9)])
