@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelens.llm.words import (
@@ -45,7 +45,9 @@ BITMAP_WORDS, MAPS = 8, 2
 #: Tiles with more nodes are cut into blocks of about as many.
 BLOCK = 1000
 #: Neighbours on one side that a node of a tile is compared with in a round.
-REACH = 4
+REACH = 2
+#: Bits of the filter for texts that take part in a round (1 MB).
+FILTER_BITS = 1 << 23
 _SET_TYPES = (
     "doc_id long, source long, text_key long, n_shingles long, set_key binary, bitmap array<long>"
 )
@@ -75,14 +77,15 @@ def bands(percent: int, size: int) -> list[tuple[int, int, int, bool]]:
     return [(n, least + more, more, n == number) for n, least, more in spare]
 
 
-def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tile keys of a set and whether it is at home in their band: its own band and the next.
+def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tile keys of a set, whether it is at home in their band (its own band and the next), and
+    how many tiles of the band a partner shares with it at least.
 
     With ``spare`` segments more than needed, sets that link share ``spare + 1`` of them. So segments with
     less than two shingles, which many sets share by chance, can be left out if they are no more than that.
     """
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles), dtype=np.uint64)])
-    keys, homes = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    keys, homes, least = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int16)]
     for number, segments, spare, home in bands(percent, len(shingles)):
         step = (1 << 64) // segments
         edges = np.arange(1, segments, dtype=np.uint64) * np.uint64(step)
@@ -91,11 +94,14 @@ def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         place = np.arange(segments, dtype=np.uint64) + np.uint64(number << 32)
         found = mixed(mixed(place + np.uint64(1)) ^ held)
         full = np.diff(cuts) > 1
-        if segments - np.count_nonzero(full) <= spare:
-            found = found[full]
+        # A partner may leave small segments out even if this set cannot.
+        left_out, needed = segments - np.count_nonzero(full), 1
+        if left_out <= spare:
+            found, needed = found[full], spare + 1 - left_out
         keys.append(found)
         homes.append(np.full(len(found), home))
-    return np.concatenate(keys), np.concatenate(homes)
+        least.append(np.full(len(found), needed, np.int16))
+    return np.concatenate(keys), np.concatenate(homes), np.concatenate(least)
 
 
 def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -135,8 +141,10 @@ def _set_rows(width: int):
 
 
 def _tile_rows(width: int, percent: int):
-    """(source, text) -> (tile, source, home); of equal sets that meet in a task one is enough."""
-    schema = pa.schema([("tile", pa.int64()), ("source", pa.int64()), ("home", pa.bool_())])
+    """(source, text) -> (tile, source, home, needed); of equal sets that meet in a task one is enough."""
+    schema = pa.schema(
+        [("tile", pa.int64()), ("source", pa.int64()), ("home", pa.bool_()), ("needed", pa.int16())]
+    )
 
     def batch(*columns):
         arrays = [pa.array(np.concatenate(c)) for c in columns]
@@ -144,7 +152,7 @@ def _tile_rows(width: int, percent: int):
 
     def run(batches):
         hashes, seen = WordHashes(), set()
-        tiles, ids, homes, held = [], [], [], 0
+        tiles, ids, homes, least, held = [], [], [], [], 0
         for source, text in rows_of(batches):
             shingles = shingle_set(lower_spaced_words(text), width, hashes)
             key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -152,16 +160,17 @@ def _tile_rows(width: int, percent: int):
                 continue
             if len(seen) < _SEEN_SETS:
                 seen.add(key)
-            found, home = tiles_of(shingles, percent)
+            found, home, needed = tiles_of(shingles, percent)
             tiles.append(found.view(np.int64))
             ids.append(np.full(len(found), source, np.int64))
             homes.append(home)
+            least.append(needed)
             held += len(found)
             if held > 50_000:
-                yield batch(tiles, ids, homes)
-                tiles, ids, homes, held = [], [], [], 0
+                yield batch(tiles, ids, homes, least)
+                tiles, ids, homes, least, held = [], [], [], [], 0
         if held:
-            yield batch(tiles, ids, homes)
+            yield batch(tiles, ids, homes, least)
 
     return run
 
@@ -173,18 +182,42 @@ def _shared_shingles(left: bytes, right: bytes) -> int:
     return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(x) and len(y) else 0
 
 
-def _arrays(width: int):
-    """(id, wanted set, text) -> the sorted shingles where the text has the wanted set."""
-    schema = pa.schema(
-        [("id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary())]
+def _filter_bits(sources: DataFrame) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits, whatever the number of ``sources``: all of them pass, most others not."""
+    bit = _filter_bit() + 1
+    rows = (
+        sources.select(
+            F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("place")
+        )
+        .groupBy("part")
+        .agg(F.bitmap_construct_agg("place").alias("bits"))
+        .collect()
     )
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:
+        some = np.frombuffer(row.bits, np.uint8)
+        start = (row.part - 1) * len(some)
+        held[start : start + len(some)] = some[: len(held) - start]
+    return held
+
+
+def _filter_bit() -> F.Column:
+    return F.pmod(F.xxhash64("source"), F.lit(FILTER_BITS))
+
+
+def _arrays(width: int, bits: np.ndarray):
+    """(bit, text) -> (set_key, shingles) of the rows that pass the filter."""
+    schema = pa.schema([("set_key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         out, hashes = Out(schema), WordHashes()
-        for node, wanted, text in rows_of(batches):
-            shingles = shingle_set(lower_spaced_words(text), width, hashes).tobytes()
-            if hashlib.blake2b(shingles, digest_size=16).digest() == wanted:
-                if out.add(node, wanted, shingles, size=len(shingles)):
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            passed = bits[bit >> 3] >> (bit & 7) & 1
+            for text in batch.column(1).take(pa.array(np.flatnonzero(passed))):
+                shingles = shingle_set(lower_spaced_words(text.as_py()), width, hashes).tobytes()
+                key = hashlib.blake2b(shingles, digest_size=16).digest()
+                if out.add(key, shingles, size=len(shingles)):
                     yield out.batch()
         yield out.batch()
 
@@ -192,13 +225,13 @@ def _arrays(width: int):
 
 
 def _exact(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "left", "right")])
 
     def run(batches):
         out = Out(schema)
-        for a, b, left, right in rows_of(batches):
-            shared, both = _shared_shingles(left, right), (len(left) + len(right)) // 8
-            if 100 * shared >= percent * (both - shared) and out.add(a, b, shared):
+        for a, b, left, right, x, y in rows_of(batches):
+            shared, both = _shared_shingles(x, y), (len(x) + len(y)) // 8
+            if 100 * shared >= percent * (both - shared) and out.add(a, b, left, right):
                 yield out.batch()
         yield out.batch()
 
@@ -225,46 +258,60 @@ def _may_link(left: str, right: str, percent: int) -> F.Column:
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int):
-    """Of ``pairs`` (a, b) those that link, with the number of shared shingles, staged."""
+    """Of ``pairs`` (a, b, left, right) those that link, staged.
+
+    Texts are not shuffled: tasks make the arrays of the texts that pass a small filter, and
+    only these arrays are.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Written first, so that Spark knows its size and need not shuffle texts for a few pairs.
-    wanted = staged(ends.join(nodes.select("id", "set_key", "source"), "id"))
+    bits = _filter_bits(ends.join(nodes.select("id", "source"), "id"))
     arrays = staged(
-        docs.join(wanted, "source")
-        .select("id", "set_key", "text")
-        .mapInArrow(_arrays(width), "id long, set_key binary, shingles binary")
-        .dropDuplicates(["id", "set_key"])
+        docs.select(_filter_bit(), "text")
+        .mapInArrow(_arrays(width, bits), "set_key binary, shingles binary")
+        .select(F.xxhash64("set_key").alias("id"), "shingles")
     )
-    left = arrays.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = arrays.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    first = arrays.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    second = arrays.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     links = staged(
-        pairs.join(right, "b")
-        .join(left, "a")
-        .select("a", "b", "left", "right")
-        .mapInArrow(_exact(percent), "a long, b long, shared long")
+        pairs.join(second, "b")
+        .join(first, "a")
+        .select("a", "b", "left", "right", "x", "y")
+        .mapInArrow(_exact(percent), "a long, b long, left long, right long")
+        .distinct()
     )
-    discard(wanted, arrays)
+    discard(arrays)
     return links
 
 
 def _shared_tiles(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int, percent: int):
     """(tile, id, home, crowd) of the tiles in which several nodes meet, one of them at home; ``crowd`` is
-    their number. Two visitors of a band meet in their own."""
+    their number. Two visitors of a band meet in their own.
+
+    A node that shares fewer tiles of a band than a partner would share with it has no partner there; so
+    tiles that sets share by chance go.
+    """
     settled = "max(home) OVER (PARTITION BY tile) AS settled"
+    kinds = "tile long, source long, home boolean, needed short"
     met = (
         docs.select("source", "text")
-        .mapInArrow(_tile_rows(width, percent), "tile long, source long, home boolean")
+        .mapInArrow(_tile_rows(width, percent), kinds)
         .selectExpr("*", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
         .where("crowd > 1 AND settled")
-        .select("tile", "source", "home")
+        .select("tile", "source", "home", "needed")
     )
     node_of = sets.join(nodes.select("set_key", "id"), "set_key").select("source", "id").distinct()
-    return (
+    shared = (
         met.join(node_of, "source")
         .groupBy("tile", "id")
-        .agg(F.max("home").alias("home"))
+        .agg(F.max("home").alias("home"), F.min("needed").alias("needed"))
         .selectExpr("*", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
         .where("crowd > 1 AND settled")
+        .selectExpr("tile", "id", "home", "needed", "count(*) OVER (PARTITION BY id, home) AS many")
+        .where("many >= needed")
+    )
+    return (
+        shared.selectExpr("tile", "id", "home", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
+        .where("crowd > 1 AND settled")
         .drop("settled")
     )
 
@@ -302,19 +349,19 @@ def _neighbours(rows: DataFrame, known: DataFrame, percent: int, turn: int) -> D
 
 
 def _closest(near: DataFrame) -> DataFrame:
-    """(a, b): for each component its closest pair."""
-    pair = F.struct("bits", "a", "b")
+    """(a, b, left, right): for each component its closest pair."""
+    pair = F.struct("bits", "a", "b", "left", "right")
     return (
         near.select(F.explode(F.array("left", "right")).alias("component"), pair.alias("pair"))
         .groupBy("component")
         .agg(F.min("pair").alias("pair"))
-        .select("pair.a", "pair.b")
+        .select("pair.a", "pair.b", "pair.left", "pair.right")
         .distinct()
     )
 
 
 def _across(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that meet in a tile and may link; crowded tiles block by block."""
+    """(a, b, left, right) of different components that meet in a tile and may link; crowded tiles block by block."""
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
     rows = rows.join(known, "id")
     x = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
@@ -329,7 +376,12 @@ def _across(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             & (F.col("x.component") != F.col("y.component"))
             & _may_link("x", "y", percent),
         )
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .select(
+            F.col("x.id").alias("a"),
+            F.col("y.id").alias("b"),
+            F.col("x.component").alias("left"),
+            F.col("y.component").alias("right"),
+        )
         .distinct()
     )
 
@@ -357,7 +409,7 @@ def _open(rows: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, source, text_key, n_shingles, set_key, component) for each row of ``docs``; empty sets have no
     component. Components are of sets: an id with several texts may have several."""
-    docs = _with_source(docs)
+    spark, docs = docs.sparkSession, _with_source(docs)
     text_key = F.xxhash64("text").alias("text_key")
     sets = staged(docs.select("doc_id", "source", text_key, "text").mapInArrow(_set_rows(width), _SET_TYPES))
     nodes = staged(
@@ -370,38 +422,61 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         .withColumn("id", F.xxhash64("set_key"))
     )
     known = nodes.select("id", "n_shingles", "bitmap")
-    placed = staged(nodes.select("id", F.col("id").alias("component")).distinct())
     rows = staged(
         _shared_tiles(docs, sets, nodes, width, percent).withColumn("component", F.col("id"))
     )
-    turn, done = 0, False
-    while not done:
-        near = staged(_neighbours(rows, known, percent, turn))
+    found: list[DataFrame] = []
+    while True:
+        near = staged(_neighbours(rows, known, percent, len(found)))
         expected = near.agg(F.sum("stands_for")).first()[0] or 0
-        done = expected <= 2 * rows.count()
-        if not done:
-            pairs = staged(_closest(near))
-            links = _verified(docs, nodes, pairs, width, percent)
-            done = links.isEmpty()
-            if done:
-                discard(pairs, links)
-        if done:
-            pairs = staged(_across(rows, known, percent))
-            links = _verified(docs, nodes, pairs, width, percent)
-        ends = (
-            links.join(placed.toDF("a", "x"), "a")
-            .join(placed.toDF("b", "y"), "b")
-            .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        )
-        joined = staged(components(ends).toDF("component", "smallest"))
-        old = (placed, rows, near, pairs, links, joined)
-        placed = staged(_renamed(placed, joined))
-        if not done:
-            rows = staged(_open(_renamed(rows, joined)))
-        discard(*old)
-        turn += 1
-    names = nodes.select("set_key", "id").join(placed, "id").drop("id")
-    return staged(sets.drop("bitmap").join(names, "set_key", "left"))
+        if expected <= 2 * rows.count():
+            discard(near)
+            break
+        pairs = staged(_closest(near))
+        found.append(_verified(docs, nodes, pairs, width, percent))
+        discard(near, pairs)
+        if found[-1].isEmpty():
+            break
+        old, rows = rows, staged(_open(_renamed(rows, _hooked(found[-1]))))
+        discard(old)
+    placed = components(_all(spark, found))
+    apart = staged(_open(_with_component(rows.drop("component"), placed)))
+    pairs = staged(_across(apart, known, percent))
+    found.append(_verified(docs, nodes, pairs, width, percent))
+    if not found[-1].isEmpty():
+        placed = components(_all(spark, found))
+    named = staged(_with_component(nodes.select("set_key", "id"), placed)).drop("id")
+    discard(rows, apart, pairs, *found)
+    return staged(sets.drop("bitmap").join(named, "set_key", "left"))
+
+
+def _all(spark: SparkSession, links: list[DataFrame]) -> DataFrame:
+    """(a, b) of several tables of links."""
+    every = spark.createDataFrame([], "a long, b long")
+    for some in links:
+        every = every.union(some.select("a", "b"))
+    return every
+
+
+def _with_component(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node, which is the node itself where it has no link."""
+    return (
+        rows.join(placed, "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .select(*rows.columns, "component")
+    )
+
+
+def _hooked(links: DataFrame) -> DataFrame:
+    """(component, smallest): each linked component's way to a smaller one, followed twice.
+
+    Not yet all of a chain has one name then, but the names left are few; all links count in the end.
+    """
+    both = links.select("left", "right").union(links.select("right", "left")).toDF("component", "to")
+    hooks = both.groupBy("component").agg(F.min("to").alias("to"))
+    hooks = hooks.select("component", F.least("component", "to").alias("smallest"))
+    further = hooks.toDF("smallest", "further")
+    return hooks.join(further, "smallest").select("component", F.col("further").alias("smallest"))
 
 
 def _with_source(docs: DataFrame) -> DataFrame:

@@ -110,8 +110,19 @@ def test_a_common_segment_is_certain(percent):
                 continue
             if len(left) == len(right) == shared:
                 continue
-            tiles = [set(ngram_join.tiles_of(s, percent)[0].tolist()) for s in (left, right)]
+            found = [ngram_join.tiles_of(s, percent) for s in (left, right)]
+            tiles = [set(keys.tolist()) for keys, _, _ in found]
             assert tiles[0] & tiles[1]
+            # In some band both share as many tiles as either needs.
+            assert any(
+                len({k for k, h in zip(*found[0][:2], strict=True) if h == x} & tiles[1])
+                >= max([n for _, h, n in zip(*found[0], strict=True) if h == x], default=1)
+                and len({k for k, h in zip(*found[1][:2], strict=True) if h == y} & tiles[0])
+                >= max([n for _, h, n in zip(*found[1], strict=True) if h == y], default=1)
+                for x in (True, False)
+                for y in (True, False)
+                if x or y
+            )
             assert any(ngram_join.tiles_of(s, percent)[1].any() for s in (left, right))
             apart = ngram_join.parity_bitmap(left) ^ ngram_join.parity_bitmap(right)
             bits = np.bitwise_count(apart.view(np.uint64)).reshape(ngram_join.MAPS, -1).sum(axis=1)
