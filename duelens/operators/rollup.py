@@ -82,14 +82,26 @@ def latest_by_key(records: DataFrame, keys: list[str], order: list[str]) -> Data
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
-def unique_records(records: DataFrame, key: str = RECORD_KEY) -> DataFrame:
+def by_study(records: DataFrame) -> DataFrame:
+    """Records dealt by study: key reduction, roll-up and sponsor names need no further exchange.
+
+    A study has a few records for each country, so none is too large for a task.
+    """
+    return records.repartition("eudract_number")
+
+
+def unique_records(
+    records: DataFrame, key: str = RECORD_KEY, study: str | None = None
+) -> DataFrame:
     """One row per record key, the largest by all other columns if a key is repeated.
 
-    The roll-up counts rows, so a repeated key would change every code of its study.
+    The roll-up counts rows, so a repeated key would change every code of its study.  ``study`` names the
+    column that ``records`` are dealt by, if they are; a key belongs to one study.
     """
-    rest = [c for c in records.columns if c != key]
-    largest = records.groupBy(key).agg(F.max(F.struct(*rest)).alias("largest"))
-    return largest.select(*[F.col(c if c == key else f"largest.{c}") for c in records.columns])
+    keys = [study, key] if study else [key]
+    rest = [c for c in records.columns if c not in keys]
+    largest = records.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("largest"))
+    return largest.select(*[F.col(c if c in keys else f"largest.{c}") for c in records.columns])
 
 
 # Per record: the rows its sponsor list unnests to, and how many have each status.  A
@@ -122,10 +134,16 @@ def flag(condition: str) -> str:
     return f"cast(coalesce({condition}, false) AS int)"
 
 
-def roll_up(cleaned: DataFrame) -> DataFrame:
+# Per record: the names its sponsor list unnests to; a record without sponsors has one blank.
+SPONSOR_NAMES = """CASE WHEN coalesce(size(sponsors), 0) > 0
+    THEN transform(sponsors, s -> s.name_of_sponsor) ELSE array(cast(NULL AS string)) END"""
+
+
+def roll_up(cleaned: DataFrame, names: bool = False) -> DataFrame:
     """Sums and extremes per study over cleaned records that are unique by record key.
 
-    The counts of sponsor statuses ride along, so sponsors need no second pass.
+    The counts of sponsor statuses ride along, and with ``names`` the distinct raw sponsor names
+    (``sponsor_names``, as many as a study has), so sponsors need no second pass.
     """
     end, status = "date_of_the_global_end_of_the_trial", "end_of_trial_status"
     aggregates = {
@@ -147,6 +165,8 @@ def roll_up(cleaned: DataFrame) -> DataFrame:
         }
     if "sponsors" in cleaned.columns:
         aggregates |= {name: f"sum({sql})" for name, sql in SPONSOR_COUNTS.items()}
+    if names:
+        aggregates["sponsor_names"] = f"array_distinct(flatten(collect_list({SPONSOR_NAMES})))"
     return cleaned.groupBy("eudract_number").agg(
         *[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()]
     )
@@ -215,12 +235,7 @@ def unnest_sponsors(records: DataFrame, keep_empty: bool = True) -> DataFrame:
     )
 
 
-def with_sponsor_names(studies: DataFrame, unnested: DataFrame) -> DataFrame:
-    """One row per study and distinct raw sponsor name, in the study table's column order.
-
-    Names are made distinct before the join, so nothing is duplicated only to be dropped.
-    """
-    names = unnested.select(
-        F.col("eudract_number").alias("trial_id"), "name_of_sponsor"
-    ).distinct()
-    return names.join(studies, "trial_id").select(*TRIAL_COLUMNS)
+def one_row_per_name(coded: DataFrame) -> DataFrame:
+    """One row per study and distinct raw sponsor name, in the study table's column order."""
+    rows = coded.withColumn("name_of_sponsor", F.explode("sponsor_names"))
+    return rows.select(*TRIAL_COLUMNS)

@@ -32,8 +32,8 @@ def studies(records: DataFrame, cutoff: Column, results_rule: str = "all") -> Da
 
 def study_table(records: DataFrame, cutoff: Column, results_rule: str = "all") -> DataFrame:
     """Country-level records -> one row per study and raw sponsor name."""
-    coded = rollup.study_codes(rollup.roll_up(clean_records(records)), cutoff, results_rule)
-    return rollup.with_sponsor_names(coded, rollup.unnest_sponsors(records))
+    rolled = rollup.roll_up(clean_records(records), names=True)
+    return rollup.one_row_per_name(rollup.study_codes(rolled, cutoff, results_rule))
 
 
 def build_study_table(warehouse: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,8 @@ def build_study_table(warehouse: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     dates = expiry_cutoff(scrape_dates(warehouse))
     last = dates.select("last_scrape").scalar()
-    live = rollup.unique_records(live_records(scan_records(warehouse)))
+    live = rollup.by_study(live_records(scan_records(warehouse)))
+    live = rollup.unique_records(live, study="eudract_number")
     table = study_table(live, due_date_cutoff(last))
     meta = dates.select(
         due_date_cutoff(F.col("last_scrape")).alias("due_date_cutoff"),

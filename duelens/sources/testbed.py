@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duelens.functions.dates import due_date_cutoff
 from duelens.operators.lookup import lookup_join
-from duelens.operators.rollup import latest_by_key
+from duelens.operators.rollup import by_study, latest_by_key
 from duelens.schema import SPONSOR_KEYS
 
 # Fixed value: host the rendered record pages pretend to come from.
@@ -44,7 +44,10 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items made unique by order and line number (a few numbers occur twice)."""
+    """Line items made unique by order and line number (a few numbers occur twice).
+
+    They are dealt by study first, so that everything counted by study afterwards stays where it is.
+    """
     order = [
         "l_shipdate",
         "l_extendedprice",
@@ -56,7 +59,8 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         "l_returnflag",
         "l_linestatus",
     ]
-    return latest_by_key(raw_lines(spark, folder), ["l_orderkey", "l_linenumber"], order)
+    raw = raw_lines(spark, folder).withColumn("eudract_number", F.col("l_orderkey").cast("string"))
+    return latest_by_key(by_study(raw), ["eudract_number", "l_linenumber"], order)
 
 
 # The columns of a record, from order key o, line number n, quantity q, discount d and
@@ -76,7 +80,7 @@ CASE
 END"""
 
 RECORD_COLUMNS = {
-    "eudract_number": "cast(o AS string)",
+    "eudract_number": "eudract_number",
     "eudract_number_with_country": (
         "concat_ws('-', o, if(n = 7 AND t >= 4, '3rd', cast(n AS string)))"
     ),
@@ -150,6 +154,7 @@ def protocol_records(
     month of the order as time of the last scrape (a join with orders).
     """
     rows = lines(spark, folder).selectExpr(
+        "eudract_number",
         "l_orderkey AS o",
         "l_linenumber AS n",
         "cast(l_quantity AS int) AS q",

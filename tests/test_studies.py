@@ -13,6 +13,7 @@ from duelens.operators import expiry, rollup
 from duelens.operators.classify import with_overall_status
 from duelens.operators.cleaning import clean_records
 from duelens.plans import pipelines
+from duelens.plans.catalogue import QUERIES
 from duelens.sources import scans, upsert
 
 NO_VALUES = dict.fromkeys(schema.STUDY_SCAN_COLUMNS)
@@ -213,3 +214,23 @@ def test_latest_by_key_with_one_very_common_key(spark):
     for r in rows.collect():
         expected[r.k] = max(expected.get(r.k, (-1, -1)), (r.v, r.w))
     assert best == expected
+
+
+def test_the_study_table_needs_one_scan_and_one_exchange(spark):
+    """Key reduction, roll-up, sponsor statuses and names all stay where the records have been dealt."""
+    table = QUERIES["study_table"](spark, "/root/testdata/sf0.001")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("FileScan parquet [l_orderkey") == 1
+    assert plan.count("Exchange hashpartitioning(") == 1
+    assert "Exchange hashpartitioning(eudract_number" in plan
+
+
+def test_records_dealt_by_study_are_reduced_alike(spark):
+    rows = spark.createDataFrame(
+        [("1", "1-DE", 5), ("1", "1-DE", 7), ("1", "1-FR", 2), ("2", "2-DE", None), ("2", "2-DE", 1)],
+        "eudract_number string, eudract_number_with_country string, v int",
+    )
+    dealt = rollup.unique_records(rollup.by_study(rows), study="eudract_number")
+    assert dealt.columns == rows.columns
+    assert {tuple(r) for r in dealt.collect()} == {tuple(r) for r in rollup.unique_records(rows).collect()}
+    assert {tuple(r) for r in dealt.collect()} == {("1", "1-DE", 7), ("1", "1-FR", 2), ("2", "2-DE", 1)}
