@@ -39,10 +39,15 @@ def search_words(query: str) -> list[str]:
     return [w.replace('"', "", 1) for w in words]
 
 
+def search_line(columns: list[str]) -> Column:
+    """The columns of a row as one text in lower case."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.lower(F.translate(F.concat_ws("  ", *texts), "\n", " "))
+
+
 def search_condition(query: str, columns: list[str]) -> Column:
     """Every word is found, in any order and case, in the columns taken together."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    line = F.lower(F.translate(F.concat_ws("  ", *texts), "\n", " "))
+    line = search_line(columns)
     condition = F.lit(True)
     for word in search_words(query):
         condition = condition & line.contains(word.lower())
@@ -53,13 +58,18 @@ def search(rows: DataFrame, query: str, columns: list[str] | None = None) -> Dat
     return rows.where(search_condition(query, columns or rows.columns))
 
 
-def sort_rows(rows: DataFrame, order: list[tuple[str, str]], tie: list[str]) -> DataFrame:
-    """Sort with missing values lowest in either direction."""
+def sort_keys(order: list[tuple[str, str]], tie: list[str]) -> list[Column]:
+    """Sort columns with missing values lowest in either direction."""
     keys = [
         F.col(c).desc_nulls_last() if direction == "desc" else F.col(c).asc_nulls_first()
         for c, direction in order
     ]
-    return rows.orderBy(*keys, *tie)
+    return [*keys, *(F.col(c).asc_nulls_first() for c in tie)]
+
+
+def sort_rows(rows: DataFrame, order: list[tuple[str, str]], tie: list[str]) -> DataFrame:
+    """Sort with missing values lowest in either direction."""
+    return rows.orderBy(*sort_keys(order, tie))
 
 
 def page(rows: DataFrame, number: int, length: int | None = DEFAULT_PAGE_LENGTH) -> DataFrame:

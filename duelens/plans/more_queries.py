@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelens.functions.numbers import default_if_invalid
-from duelens.operators import browse, cohort, paper, quality, quantile, rollup, sponsors
+from duelens.operators import (
+    browse,
+    cohort,
+    paging,
+    paper,
+    quality,
+    quantile,
+    rollup,
+    sponsors,
+    text_index,
+)
 from duelens.operators.staging import new_path, staged
 from duelens.plans import catalogue
 from duelens.plans.catalogue import LAST_DAY, query, with_text_days
@@ -186,6 +196,48 @@ def values_or_default(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "deep_page_of_trials",
+    """SELECT trial_id, overall_status, max_end_date::VARCHAR AS max_end_date FROM classified
+    ORDER BY max_end_date DESC NULLS LAST, trial_id OFFSET 1010 LIMIT 101""",
+)
+def deep_page_of_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """A late page of a sorted table: the ranges before it are not opened."""
+    path, order, tie = new_path(spark, "sorted"), [("max_end_date", "desc")], ["trial_id"]
+    rows = catalogue.coded(spark, folder).select("trial_id", "overall_status", "max_end_date")
+    paging.write_sorted(rows, order, tie, path)
+    return with_text_days(paging.read_page(spark, path, order, tie, 10, 101), "max_end_date")
+
+
+#: Words, a phrase, short words beside a long one and alone, other case, and words no text has.
+SEARCHES = ["the src1", '"of the"', "in SRC", "a", "THE", "qqq src1", '"the a"']
+
+
+@query(
+    "indexed_search_counts",
+    " UNION ALL ".join(
+        f"SELECT '{q}' AS query, count(*) FILTER ("
+        + " AND ".join(f"contains(line, '{w.lower()}')" for w in browse.search_words(q))
+        + ") AS matches FROM line"
+        for q in SEARCHES
+    ),
+    {
+        "line": """SELECT lower(replace(coalesce(text, '') || '  ' || coalesce(source, ''), chr(10), ' ')) AS line
+        FROM documents"""
+    },
+)
+def indexed_search_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path, columns = new_path(spark, "index"), ["text", "source"]
+    documents = testbed.table(spark, folder, "documents")
+    text_index.build_index(documents, "doc_id", columns, path, buckets=16)
+    found = None
+    for words in SEARCHES:
+        rows = text_index.search(spark, path, documents, "doc_id", columns, words)
+        one = rows.agg(F.lit(words).alias("query"), F.count(F.lit(1)).alias("matches"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 # --- guards --------------------------------------------------------------------------------
 
 _BREAKS = {

@@ -10,6 +10,7 @@ root. Two tables are compared from the root down: only children of nodes that di
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +38,19 @@ def in_buckets(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     return rows.withColumn(BUCKET, bucket_of(F.col(key), buckets))
 
 
+def bucket_number(value: str, buckets: int) -> int:
+    """``bucket_of`` a text key that is known beforehand."""
+    return int(hashlib.md5(value.encode()).hexdigest()[:8], 16) % buckets
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows dealt by bucket: small ones share a task, a large one is split over several."""
+    return rows.hint("rebalance", F.col(BUCKET))
+
+
 def _write(rows: DataFrame, path: str) -> None:
-    """Replace the buckets that ``rows`` has, one file each; the others keep their files."""
-    rows.repartition(BUCKET).write.mode("overwrite").option(
+    """Replace the buckets that ``rows`` has; the others keep their files."""
+    _by_bucket(rows).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(BUCKET).parquet(path)
 
@@ -47,7 +58,7 @@ def _write(rows: DataFrame, path: str) -> None:
 def create_table(rows: DataFrame, path: str, buckets: int, key: str = RECORD_KEY) -> None:
     """The first version of a table; the folder must not hold one yet."""
     table = in_buckets(rows, key, buckets)
-    table.repartition(BUCKET).write.mode("error").partitionBy(BUCKET).parquet(path)
+    _by_bucket(table).write.mode("error").partitionBy(BUCKET).parquet(path)
     # Beside the buckets, so that a table without records has columns, too.
     described = rows.sparkSession.createDataFrame([(table.schema.json(),)], "value string")
     described.coalesce(1).write.text(f"{path}/{_SCHEMA}")
@@ -60,6 +71,12 @@ def read_table(spark: SparkSession, path: str, only: list[int] | None = None) ->
     return rows if only is None else rows.where(F.col(BUCKET).isin(only))
 
 
+def lookup(spark: SparkSession, path: str, value: str, buckets: int, key: str) -> DataFrame:
+    """The rows with one value of the key; only its bucket is opened."""
+    only = read_table(spark, path, [bucket_number(value, buckets)])
+    return only.where(F.col(key) == value).drop(BUCKET)
+
+
 def upsert_into(
     spark: SparkSession,
     path: str,
