@@ -6,9 +6,9 @@ than that, some segments hold the same shingles in both. A tile is a size band,
 sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit parity bitmaps
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
-Equal sets are one node. Rounds join the components of neighbours: in every tile that still holds several
+Equal sets are one node. Rounds join the components of neighbours: in every crowded tile that still holds several
 components, its nodes are put in an order that differs from round to round, and neighbours of different components are
-candidate pairs. The closest pair of each component is verified, and what holds joins components. As neighbours are a random
+candidate pairs. The closest pair of each node is verified, and what holds joins components. As neighbours are a random
 sample of the pairs in a tile, they tell how many pairs pass the bitmaps. When these are in proportion to the
 rows, or a round finds no link, all nodes of different components of a tile are compared, crowded tiles in
 blocks; so no link between components is lost, and the pairs inside a large group of near copies are not listed.
@@ -44,8 +44,10 @@ from duelens.operators.staging import discard, staged
 BITMAP_WORDS, MAPS = 8, 2
 #: Tiles with more nodes are cut into blocks of about as many.
 BLOCK = 1000
+#: Tiles with more nodes take part in the rounds.
+CROWD = 8
 #: Neighbours on one side that a node of a tile is compared with in a round.
-REACH = 2
+REACH = 3
 #: Bits of the filter for texts that take part in a round (1 MB).
 FILTER_BITS = 1 << 23
 _SET_TYPES = (
@@ -263,7 +265,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     Texts are not shuffled: tasks make the arrays of the texts that pass a small filter, and
     only these arrays are.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     bits = _filter_bits(ends.join(nodes.select("id", "source"), "id"))
     arrays = staged(
         docs.select(_filter_bit(), "text")
@@ -277,7 +279,6 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
         .join(first, "a")
         .select("a", "b", "left", "right", "x", "y")
         .mapInArrow(_exact(percent), "a long, b long, left long, right long")
-        .distinct()
     )
     discard(arrays)
     return links
@@ -349,11 +350,11 @@ def _neighbours(rows: DataFrame, known: DataFrame, percent: int, turn: int) -> D
 
 
 def _closest(near: DataFrame) -> DataFrame:
-    """(a, b, left, right): for each component its closest pair."""
+    """(a, b, left, right): for each node its closest pair."""
     pair = F.struct("bits", "a", "b", "left", "right")
     return (
-        near.select(F.explode(F.array("left", "right")).alias("component"), pair.alias("pair"))
-        .groupBy("component")
+        near.select(F.explode(F.array("a", "b")).alias("id"), pair.alias("pair"))
+        .groupBy("id")
         .agg(F.min("pair").alias("pair"))
         .select("pair.a", "pair.b", "pair.left", "pair.right")
         .distinct()
@@ -425,11 +426,14 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = staged(
         _shared_tiles(docs, sets, nodes, width, percent).withColumn("component", F.col("id"))
     )
+    # All pairs of a small tile are no more than CROWD / 2 for each of its rows, so rounds leave it out.
     found: list[DataFrame] = []
+    crowded = staged(rows.where(F.col("crowd") > CROWD))
+    bound = 2 * rows.count()
     while True:
-        near = staged(_neighbours(rows, known, percent, len(found)))
+        near = staged(_neighbours(crowded, known, percent, len(found)))
         expected = near.agg(F.sum("stands_for")).first()[0] or 0
-        if expected <= 2 * rows.count():
+        if expected <= bound:
             discard(near)
             break
         pairs = staged(_closest(near))
@@ -437,16 +441,19 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         discard(near, pairs)
         if found[-1].isEmpty():
             break
-        old, rows = rows, staged(_open(_renamed(rows, _hooked(found[-1]))))
+        old, crowded = crowded, staged(_renamed(crowded, _hooked(found[-1])))
         discard(old)
     placed = components(_all(spark, found))
+    placed = staged(placed)
     apart = staged(_open(_with_component(rows.drop("component"), placed)))
     pairs = staged(_across(apart, known, percent))
     found.append(_verified(docs, nodes, pairs, width, percent))
     if not found[-1].isEmpty():
-        placed = components(_all(spark, found))
+        # The stars so far and the links between them.
+        ends = placed.where("id <> component").toDF("a", "b").union(found[-1].select("a", "b"))
+        placed = components(ends)
     named = staged(_with_component(nodes.select("set_key", "id"), placed)).drop("id")
-    discard(rows, apart, pairs, *found)
+    discard(rows, crowded, apart, pairs, *found)
     return staged(sets.drop("bitmap").join(named, "set_key", "left"))
 
 

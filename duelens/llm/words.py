@@ -110,36 +110,37 @@ def components(edges: DataFrame) -> DataFrame:
     which shrinks to stars, and is written to the shared folder. Nodes without an edge have no row.
     """
     links = staged(edges.select("a", "b").where("a <> b").distinct())
-    seen = _signature(links)
-    while True:
+    while not _stars(links):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
             both.join(least, "a")
             .where("b > a AND b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
         )
-        down = large.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        ).distinct()
-        floor = down.groupBy("a").agg(F.min("b").alias("m"))
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            down.join(floor, "a")
+            large.join(floor, "a")
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
         )
-        new = staged(small)
-        before, seen = seen, _signature(new)
-        discard(links)
-        if seen == before:
-            return new.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-        links = new
-
-
-def _signature(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(mark)).first())
+        old, links = links, staged(small)
+        discard(old)
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
+        links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which is the centre of its star, or none."""
+    out = edges.select("a", (F.col("b") >= F.col("a")).cast("int").alias("up"), F.lit(1), F.lit(0))
+    into = edges.select(F.col("b"), F.lit(0), F.lit(0), F.lit(1))
+    wrong = (
+        out.union(into)
+        .toDF("a", "up", "n", "n_in")
+        .groupBy("a")
+        .agg(*(F.sum(c).alias(c) for c in ("up", "n", "n_in")))
+        .where("up > 0 OR n > 1 OR (n > 0 AND n_in > 0)")
+    )
+    return wrong.isEmpty()
