@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A document is the first layer of a worklist. Each layer is scanned; then it is unwrapped: all URL
-escapes at once, all Unicode escapes at once, each base64 run by itself, and bytes that begin
+escapes at once, all Unicode and octal escapes and character references at once, each base64 run by itself (UTF-8 or UTF-16), and bytes that begin
 like gzip, zlib, bzip2 or zstd data are decompressed. What comes out is a new layer that remembers for
 each character where in the document it came from, and joins the worklist unless the
 same text has been there before. A base64 run may be wrapped: lines of one width, the last one shorter and the
@@ -18,7 +18,8 @@ columns.
 Compressed data are read in pieces, all members one after another, and directly nested ones until nothing
 unpacks. Their text is scanned in parts that end at characters that no secret and no encoding can
 have, so nothing lies across two parts. At most ``HELD_BYTES`` of a level are kept; what is larger is unpacked
-again where it is needed. In URL escapes, larger texts are layers of their own instead of a part of the line.
+again where it is needed. Larger texts in URL escapes are layers of their own, in such parts, the first and the last with the
+text around the escapes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from html.entities import html5
 from itertools import chain
 
 import pyarrow as pa
@@ -57,7 +59,10 @@ URL_RUN = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
     r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
     r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+    r"|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})|\\([0-3][0-7]{2})|(&[A-Za-z][A-Za-z0-9]{1,31};)"
 )
+#: Number base of the digits of each group; the last one is a named character reference.
+BASES = (16, 16, 16, 16, 10, 16, 16, 8, 0)
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 LINE_BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|(?:\\++r)?\\++n)[ \t]*+")
 BASE64_LINES = re.compile(
@@ -185,6 +190,23 @@ def clean(data: bytes) -> str | None:
     return next(texts(partial(iter, [data]), whole=True), None)
 
 
+def wide(data: bytes) -> str | None:
+    """UTF-16 bytes as text, if they are clean: with a mark, or every other byte is zero."""
+    if len(data) < 8 or len(data) % 2:
+        return None
+    order = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(bytes(data[:2]))
+    if order is None:
+        zeros = [data[i::2].count(0) for i in (0, 1)]
+        if max(zeros) * 4 < len(data) or min(zeros) * 8 > len(data):
+            return None
+        order = "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
+    try:
+        text = data.decode(order)
+    except UnicodeDecodeError:
+        return None
+    return text if _odd(text) * 10 <= len(text) else None
+
+
 def _odd(text: str) -> int:
     text = text.translate({9: None, 10: None, 13: None})
     return 0 if text.isprintable() else sum(not c.isprintable() for c in text)
@@ -231,16 +253,39 @@ def _is_held(read: Reader) -> bool:
 
 
 def _large_url(layer: Layer) -> Iterator[Layer]:
-    """Texts that are too large to be put in the place of their URL escapes."""
+    """Texts that are too large to be put in the place of their URL escapes, part by part: the first and the last
+    part go with the text around the escapes, up to characters that no secret has."""
     for match in URL_RUN.finditer(layer.text):
         read = opened(_url_data(match))
-        if read is not None and not _is_held(read):
-            for text in texts(read):
-                yield _covering(layer, text, range(*match.span()))
+        if read is None or _is_held(read):
+            continue
+        start, end = match.span()
+        apart = APART.search(layer.text[:start][::-1])
+        held = _part(layer, start - apart.start() if apart else 0, start)
+        last = False
+        for text in texts(read):
+            if last:
+                yield held
+                held = Layer("", [], [])
+            held, last = _joined(held, _covering(layer, text, range(start, end))), True
+        apart = APART.search(layer.text, end)
+        yield _joined(held, _part(layer, end, apart.start() if apart else len(layer.text)))
+
+
+def _part(layer: Layer, start: int, end: int) -> Layer:
+    return Layer(layer.text[start:end], layer.starts[start:end], layer.ends[start:end])
+
+
+def _joined(left: Layer, right: Layer) -> Layer:
+    return Layer(
+        left.text + right.text, [*left.starts, *right.starts], [*left.ends, *right.ends]
+    )
 
 
 def _escaped(match: re.Match) -> str | None:
-    digits, base = next((g, 10 if i == 5 else 16) for i, g in enumerate(match.groups(), 1) if g)
+    digits, base = next((g, b) for g, b in zip(match.groups(), BASES, strict=True) if g)
+    if not base:
+        return html5.get(digits[1:])
     value = int(digits, base)
     return chr(value) if 0 < value < 0x110000 and not 0xD800 <= value < 0xE000 else None
 
@@ -281,11 +326,16 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _placed(layer: Layer, text: str, places: list[int] | range, at: int) -> Layer:
-    """ASCII ``text``, decoded from byte ``at`` on of a run whose characters stand at ``places``."""
-    firsts = [i * 4 // 3 for i in range(at, at + len(text))]
-    starts = [layer.starts[places[p]] for p in firsts]
-    ends = [max(layer.ends[q] for q in places[p : p + 2]) for p in firsts]
+def _placed(
+    layer: Layer, text: str, places: list[int] | range, at: int, width: int = 1
+) -> Layer:
+    """``text`` of ``width`` bytes a character, decoded from byte ``at`` on of a run whose characters
+    stand at ``places``."""
+    here = range(at, at + len(text) * width, width)
+    starts = [layer.starts[places[i * 4 // 3]] for i in here]
+    ends = [
+        max(layer.ends[q] for q in places[i * 4 // 3 : (8 * (i + width) - 1) // 6 + 1]) for i in here
+    ]
     return Layer(text, starts, ends)
 
 
@@ -304,6 +354,11 @@ def _whole(
         return None
     read = opened(data)
     if read is None:
+        text = wide(data)
+        if text is not None:
+            plain = all(ord(c) < 0x10000 for c in text)
+            held = _placed(layer, text, places, 0, 2) if plain else _covering(layer, text, places)
+            return plain, iter([held])
         text = clean(data)
         if text is None:
             return None
@@ -394,7 +449,7 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         if below := _replaced(layer, URL_RUN, _url):
             yield below
         yield from _large_url(layer)
-    if ("\\" in layer.text or "&#" in layer.text) and (
+    if ("\\" in layer.text or "&" in layer.text or "%u" in layer.text) and (
         below := _replaced(layer, ESCAPE, _escaped)
     ):
         yield below

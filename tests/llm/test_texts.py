@@ -137,6 +137,15 @@ KEY = "password=hunter2hunter2"
         lambda s: "".join(f"%25{b:02X}" for b in s.encode()),
         lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
         lambda s: "".join(f"&#x{ord(c):x};" for c in s),
+        lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+        lambda s: "".join(f"%u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"\\{ord(c):03o}" for c in s),
+        lambda s: s.replace("=", "&equals;"),
+        lambda s: s.replace("=", "&quot;&colon; &quot;"),
+        lambda s: base64.b64encode(s.encode("utf-16-le")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16-be")).decode().rstrip("="),
+        lambda s: base64.b64encode(gzip.compress(base64.b64encode(s.encode("utf-16-le")))).decode(),
     ],
 )
 def test_nested_layers(wrap):
@@ -220,6 +229,28 @@ def test_large_layers_are_read(pack, monkeypatch):
     assert any(k == 0 for _, k, _ in secret_scan.all_spans(f"a {hidden} b")[1])
 
 
+@pytest.mark.parametrize("cut", range(2, 20, 3))
+def test_secrets_across_the_edges_of_large_url_layers(cut, monkeypatch):
+    monkeypatch.setattr(secret_scan, "HELD_BYTES", 60)
+    filler = "word, " * 30
+    for plain, text in (
+        (KEY[cut:] + " " + filler, "see " + KEY[:cut] + "{} end"),
+        (filler + KEY[:cut], "see {}" + KEY[cut:] + ", end"),
+    ):
+        hidden = "".join(f"%{b:02x}" for b in zlib.compress(plain.encode()))
+        whole = text.format(hidden)
+        assert any(k == 0 for _, k, _ in secret_scan.all_spans(whole)[1])
+        assert KEY[:cut] not in secret_scan.masked(whole) or cut < 9 or not text.startswith("see p")
+
+
+def test_places_in_wide_base64():
+    plain = "some words before " + KEY + " and after"
+    run = base64.b64encode(plain.encode("utf-16-le")).decode()
+    (span,) = [s for s in secret_scan.all_spans("a " + run + " b")[1] if s[1] == 0]
+    first, last = plain.index(KEY) * 2, (plain.index(KEY) + len(KEY)) * 2 - 1
+    assert span == (2 + first * 8 // 6, 0, 2 + (last * 8 + 7) // 6 + 1)
+
+
 def test_deeply_packed_data_is_read():
     data = KEY.encode()
     for _ in range(100):
