@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -154,21 +155,30 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[by
     yield block
 
 
-def _scan(block, window: int, first: bool):
+#: The automaton of the last block that this Python process has read; its tasks share it.
+_BUILT: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+def automaton_of(name: str, block, window: int) -> SuffixAutomaton:
+    """The automaton of a block with a name of its own, built once in a process."""
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = SuffixAutomaton(block.value, window)
+    return _BUILT[name, window]
+
+
+def _scan(name: str, block, window: int, first: bool):
     """Add a block's hits to batches of (row, found so far)."""
-    shared = block
-    built: list[SuffixAutomaton] = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(SuffixAutomaton(shared.value, window))
+        automaton = automaton_of(name, block, window)
         for batch in batches:
             rows = batch.column(0)
             texts = rows.field(rows.type.get_field_index("text"))
             counts, spans, items = [], [], []
             for i in range(batch.num_rows):
                 words = letter_words(texts[i].as_py())
-                hit, names = built[0].matches(words)
+                hit, names = automaton.matches(words)
                 if not first:
                     before = [[s["start"], s["end"]] for s in batch.column(2)[i].as_py()]
                     hit, names = _union(before, hit), names | set(batch.column(3)[i].as_py())
@@ -200,7 +210,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
     )
     for number, block in enumerate(item_blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = found.mapInArrow(_scan(shared, window, number == 0), schema)
+        found = found.mapInArrow(_scan(uuid4().hex, shared, window, number == 0), schema)
     return found
 
 

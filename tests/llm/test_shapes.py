@@ -79,9 +79,8 @@ ODD_TEXTS = [
 
 def test_ids_are_those_of_the_tokenizer(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()] + ODD_TEXTS
-    own = packing.Encoder(VOCABULARY)
+    own = packing.Encoder(VOCABULARY, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     for _ in range(2):
         for text, coded in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(own.encode(text), "<u4").tolist() == coded.ids
@@ -130,7 +129,6 @@ def test_whole_table_is_packed(spark):
     bins = check_packing(rows, 2048)
     assert bins <= 1.02 * sum(r.length for r in rows) / 2048 + 1
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
