@@ -171,3 +171,14 @@ def test_a_model_without_rows_is_not_estimable(spark):
     assert [(r.used, r.dropped) for r in empty] == [(0.0, 0.0)]
     with pytest.raises(ValueError, match="no level 9"):
         logistic.odds_ratios(spark, rows, [logistic.Factor("g", 9)])
+
+
+def test_t_points_are_those_of_the_printed_table(spark):
+    for freedom, printed in enumerate(cohort.T_TABLE, 1):
+        assert cohort.t_point(freedom) == pytest.approx(printed, abs=6e-7)
+    rows = spark.range(0, 40).select("id", cohort.t_95(F.col("id").cast("double")).alias("t")).collect()
+    points = {r.id: r.t for r in rows}
+    assert points[0] is None
+    assert points[1] == pytest.approx(12.706205, abs=1e-6)
+    assert points[31] == pytest.approx(cohort.t_point(31), abs=1e-7)
+    assert points[39] == pytest.approx(2.022691, abs=1e-6)
