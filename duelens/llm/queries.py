@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelens.llm import (
@@ -253,6 +253,51 @@ LEFT JOIN thread t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
 
 
+#: Every third message quotes the one before it, and the next one quotes that with its quote.
+_REPLIED_SQL = r"""WITH RECURSIVE first AS (
+  SELECT b.conv_id, b.turn, b.role, CASE WHEN b.turn % 3 = 1 AND q.text IS NOT NULL
+    THEN '> ' || replace(q.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) ELSE '' END
+    || coalesce(b.text, '') AS text
+  FROM conversations b LEFT JOIN conversations q ON q.conv_id = b.conv_id AND q.turn = b.turn - 1),
+replied AS (
+  SELECT b.conv_id, b.turn, b.role, CASE WHEN b.turn % 3 = 2 AND q.text IS NOT NULL
+    THEN b.text || chr(10) || '> ' || replace(q.text, chr(10), chr(10) || '> ') ELSE b.text END AS text
+  FROM first b LEFT JOIN first q ON q.conv_id = b.conv_id AND q.turn = b.turn - 1),
+message AS ("""
+
+
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit("> "), F.replace(text, F.lit("\n"), F.lit("\n> ")))
+
+
+@query
+def quoting_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations with quotes put into some of their messages, nested ones too, and taken apart again."""
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+
+    def with_before(rows: DataFrame) -> DataFrame:
+        before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+        return rows.join(before, ["conv_id", "turn"], "left")
+
+    own = F.coalesce("text", F.lit(""))
+    quotes = (F.col("turn") % 3 == 1) & F.col("before").isNotNull()
+    first = with_before(said).withColumn(
+        "text",
+        F.when(quotes, F.concat(_quoted(F.col("before")), F.lit("\n\n"), own)).otherwise(own),
+    )
+    further = (F.col("turn") % 3 == 2) & F.col("before").isNotNull()
+    replied = with_before(first.drop("before")).withColumn(
+        "text",
+        F.when(further, F.concat("text", F.lit("\n"), _quoted(F.col("before")))).otherwise(F.col("text")),
+    )
+    return quote_links.conversations(replied.drop("before"))
+
+
+ORACLE["quoting_replies"] = ORACLE["op8_quote_links"].replace(
+    "WITH RECURSIVE message AS (", _REPLIED_SQL, 1
+).replace("FROM conversations),", "FROM replied),", 1)
+
+
 ORACLE["op3_substring_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),

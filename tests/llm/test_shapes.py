@@ -328,3 +328,14 @@ def test_stages_keep_the_columns(spark):
     none = awkward.frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_quoting_replies_are_linked(spark):
+    rows = queries.QUERIES["quoting_replies"](spark, FOLDER).collect()
+    said = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()}
+    assert len(rows) == len(said)
+    linked = [r for r in rows if r.n_linked]
+    assert len(linked) > len(rows) / 3
+    assert all(r.parent_turn < r.turn for r in linked)
+    # Without the quotes every message has its own text again.
+    assert all(r.text == (said[r.conv_id, r.turn].text or "").strip(" \t\n\x0b\f\r") for r in rows)
