@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelens import schema
 from duelens.functions.numbers import default_if_invalid
 from duelens.operators import (
     browse,
@@ -119,6 +120,35 @@ def paper_extract_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "record_dump_and_import",
+    """SELECT r.record_key AS eudract_number_with_country, full_title AS full_title_of_the_trial,
+      sb AS trial_single_blind, end_date::VARCHAR AS date_of_the_global_end_of_the_trial,
+      s.name AS name_of_sponsor, s.status AS status_of_the_sponsor
+    FROM records r JOIN sponsor_rows_outer s ON s.record_key = r.record_key""",
+)
+def record_dump_and_import(spark: SparkSession, folder: str) -> DataFrame:
+    """The record table at its full width, with nested sponsors, dumped as CSV and read back."""
+    rows = catalogue.records(spark, folder)
+    wide = rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.record_schema()
+        ]
+    )
+    path = sinks.dump_table(wide, new_path(spark, "dump"), "records.csv", one_line=True)
+    back = scans.read_record_csv(spark, path, one_line=True)
+    sponsor = F.explode_outer("sponsors").alias("s")
+    found = back.select(
+        "eudract_number_with_country",
+        "full_title_of_the_trial",
+        "trial_single_blind",
+        "date_of_the_global_end_of_the_trial",
+        sponsor,
+    ).select("*", "s.name_of_sponsor", "s.status_of_the_sponsor")
+    return with_text_days(found.drop("s"), "date_of_the_global_end_of_the_trial")
+
+
 @query(
     "meta_if_changed",
     """SELECT 'same table' AS change, false AS written, 0::BIGINT AS meta_rows

@@ -61,19 +61,30 @@ def read_trial_csv(spark: SparkSession, path: str) -> DataFrame:
     return blanks_for_nulls(rows.select(*columns))
 
 
-def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A full dump of the record table: one header row, line breaks inside quotes.
+def with_breaks(text: Column) -> Column:
+    """What ``sinks.without_breaks`` has escaped; a null character stands for a backslash meanwhile."""
+    for escaped, plain in (("\\\\", "\0"), ("\\n", "\n"), ("\\r", "\r"), ("\0", "\\")):
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return text
 
-    The three list columns come as JSON text and are parsed.
+
+def read_record_csv(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """A full dump of the record table with a header row; the three list columns come as JSON text and are parsed.
+
+    Line breaks stand inside quotes, so a file is read by one task; with ``one_line`` they are
+    escaped as ``sinks.dump_table`` does it, and a file is read in parts.
     """
     rows = (
         spark.read.schema(schema.record_csv_schema())
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", not one_line)
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
     )
+    if one_line:
+        texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
+        rows = rows.withColumns({c: with_breaks(F.col(c)) for c in texts})
     lists = {
         f.name: F.from_json(f.name, f.dataType)
         for f in schema.record_schema()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +50,31 @@ def stamped_name(name: str, now: datetime | None = None) -> str:
     return f"{stem}-{now:%Y-%m-%d-%H%M%S}.{extension}"
 
 
-def dump_table(rows: DataFrame, folder: str, name: str, now: datetime | None = None) -> str:
-    """The whole table as CSV under a name with the time; nested columns become JSON text."""
+def without_breaks(text: Column) -> Column:
+    """Line breaks as ``\\n`` and ``\\r``, backslashes doubled: a row is one line of the file."""
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def dump_table(
+    rows: DataFrame, folder: str, name: str, now: datetime | None = None, one_line: bool = False
+) -> str:
+    """The whole table as CSV under a name with the time; nested columns become JSON text.
+
+    With ``one_line`` line breaks are escaped, so that the files can be read in parts.
+    """
     path = f"{folder.rstrip('/')}/{stamped_name(name, now)}"
-    flat = [
-        F.to_json(f.name).alias(f.name)
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-        else F.col(f.name)
-        for f in rows.schema
-    ]
+    flat = []
+    for field in rows.schema:
+        value = F.col(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)
+        if one_line and isinstance(
+            field.dataType, (T.ArrayType, T.MapType, T.StructType, T.StringType)
+        ):
+            value = without_breaks(value)
+        flat.append(value.alias(field.name))
     _csv_writer(rows.select(*flat), "error").csv(path)
     return path
 

@@ -41,6 +41,13 @@ def test_record_dump_and_import(spark, tmp_path):
     path = sinks.dump_table(rows, str(tmp_path), "dump.csv", datetime(2024, 1, 31, 23, 59, 59))
     assert path.endswith("/dump-2024-01-31-235959.csv")
     assert scans.read_record_csv(spark, path).first() == rows.first()
+    odd = 'a\\n b\n c\\\\ "d"\r\n, \\'
+    more = rows.withColumn("full_title_of_the_trial", F.lit(odd)).unionByName(rows)
+    path = sinks.dump_table(more, str(tmp_path), "lines.csv", datetime(2024, 1, 31), one_line=True)
+    back = scans.read_record_csv(spark, path, one_line=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, more.collect()))
+    lines = [x for p in tmp_path.glob("lines*/part-*.csv") for x in p.read_bytes().splitlines()]
+    assert len({x for x in lines if not x.startswith(b"eudract")}) == 2
 
 
 def test_sheet_and_json(spark, tmp_path):
