@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelens import schema
@@ -10,6 +10,7 @@ from duelens.functions.numbers import default_if_invalid
 from duelens.operators import (
     browse,
     cohort,
+    extract,
     paging,
     paper,
     quality,
@@ -175,6 +176,43 @@ def meta_if_changed(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+# --- pages ---------------------------------------------------------------------------------
+
+
+@query(
+    "extracted_details",
+    """SELECT record_key AS eudract_number_with_country, (o % 100)::INT AS subject_adults,
+      (o % 7)::INT AS subject_elderly, CASE WHEN o % 4 < 3 THEN 'Authorised' END AS competent_authority_decision,
+      (DATE '2004-01-01' + (o % 300)::INT)::VARCHAR AS date_of_competent_authority_decision,
+      (o % 3)::INT AS n_imps,
+      CASE o % 3 WHEN 0 THEN '' WHEN 1 THEN 'Test' ELSE 'Test,Comparator' END AS imp_roles,
+      CASE WHEN o % 3 > 0 THEN 'Drug & Co ' || o::VARCHAR END AS trade_name,
+      (o % 2 = 0)::INT AS n_placebos, CASE WHEN o % 2 = 0 THEN 'Tablet' END AS placebo_form
+    FROM records""",
+)
+def extracted_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Products, placebos, the authority's decision and the age groups that are known by their code."""
+    found = extract.extract_records(testbed.record_pages(spark, folder))
+
+    def first(entries: str, key: str) -> Column:
+        return F.element_at(F.get(entries, F.lit(0)), F.lit(key))
+
+    roles = F.transform("imps", lambda m: F.element_at(m, F.lit("imp_role")))
+    rows = found.select(
+        "eudract_number_with_country",
+        "subject_adults",
+        "subject_elderly",
+        "competent_authority_decision",
+        "date_of_competent_authority_decision",
+        F.size("imps").alias("n_imps"),
+        F.array_join(roles, ",").alias("imp_roles"),
+        first("imps", "trade_name").alias("trade_name"),
+        F.size("placebos").alias("n_placebos"),
+        first("placebos", "pharmaceutical_form_of_the_placebo").alias("placebo_form"),
+    )
+    return with_text_days(rows, "date_of_competent_authority_decision")
+
+
 # --- orders and searches -------------------------------------------------------------------
 
 

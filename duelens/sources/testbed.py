@@ -247,6 +247,24 @@ def _cells(key: str, value: Column, code: str = "") -> Column:
     )
 
 
+def _coded(code: str, value: Column) -> Column:
+    """A row that is known by its code only."""
+    start = F.lit(f"<tr><td>{code}</td><td>Number of subjects</td><td>")
+    return F.concat(start, value.cast("string"), F.lit("</td></tr>\n"))
+
+
+def _products(many: Column) -> Column:
+    """As many products as asked for (none to two); the first is the tested one and has a trade name."""
+    tested = F.concat(
+        _cells("IMP Role", F.lit("Test"), "D.1.2"),
+        _cells("Trade name", F.concat(F.lit("Drug & Co "), "eudract_number"), "D.2.1.1.1"),
+    )
+    compared = _cells("IMP Role", F.lit("Comparator"), "D.1.2")
+    return F.concat(
+        F.when(many > 0, tested).otherwise(F.lit("")), F.when(many > 1, compared).otherwise(F.lit(""))
+    )
+
+
 def _yes_no(value: Column) -> Column:
     return F.when(value, "Yes").when(~value, "No")
 
@@ -254,6 +272,7 @@ def _yes_no(value: Column) -> Column:
 def record_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every country-level record as a register page (url, html)."""
     r = F.col
+    number = r("eudract_number").cast("long")
     header = [
         ("EudraCT Number:", r("eudract_number")),
         ("Trial Status:", r("trial_status")),
@@ -349,11 +368,33 @@ def record_pages(spark: SparkSession, folder: str) -> DataFrame:
             _cells("Other", F.lit("No")),
             _cells("Not in the form", F.lit("x")),
         ),
+        section("section-d", _products(number % 3)),
+        section(
+            "section-d8",
+            F.when(
+                number % 2 == 0,
+                F.concat(
+                    _cells("Is a Placebo used in this Trial?", F.lit("Yes"), "D.8.1"),
+                    _cells("Pharmaceutical form of the placebo", F.lit("Tablet"), "D.8.3"),
+                ),
+            ).otherwise(F.lit("")),
+        ),
         section(
             "section-f",
             F.concat(F.lit(coded), F.length("eudract_number").cast("string"), F.lit("</td></tr>")),
+            _coded("F.1.2.1", number % 100),
+            _coded("F.1.3.1", number % 7),
             _cells("Healthy volunteers", _yes_no(r("subject_healthy_volunteers"))),
         ),
+        section(
+            "section-n",
+            _cells("Competent Authority Decision", F.when(number % 4 < 3, "Authorised"), "N."),
+            _cells(
+                "Date of Competent Authority Decision",
+                F.date_add(F.lit("2004-01-01").cast("date"), (number % 300).cast("int")).cast("string"),
+                "N.",
+            ),
+        ),
         section(
             "section-p",
             _cells("End of Trial Status", r("end_of_trial_status")),
