@@ -443,17 +443,12 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
         old, crowded = crowded, staged(_renamed(crowded, _hooked(found[-1])))
         discard(old)
-    placed = components(_all(spark, found))
-    placed = staged(placed)
-    apart = staged(_open(_with_component(rows.drop("component"), placed)))
+    apart = rows.where(F.col("crowd") <= CROWD).unionByName(_open(crowded))
     pairs = staged(_across(apart, known, percent))
     found.append(_verified(docs, nodes, pairs, width, percent))
-    if not found[-1].isEmpty():
-        # The stars so far and the links between them.
-        ends = placed.where("id <> component").toDF("a", "b").union(found[-1].select("a", "b"))
-        placed = components(ends)
+    placed = components(_all(spark, found))
     named = staged(_with_component(nodes.select("set_key", "id"), placed)).drop("id")
-    discard(rows, crowded, apart, pairs, *found)
+    discard(rows, crowded, pairs, *found)
     return staged(sets.drop("bitmap").join(named, "set_key", "left"))
 
 
