@@ -3,15 +3,15 @@
 Documents become sets of hashed word shingles. Sets that can reach the threshold differ in at most
 ``(x + y) * (1 - t) / (1 + t)`` shingles, so when the range of hashes is cut into more segments
 than that, some segments hold the same shingles in both. A tile is a size band, a segment and the
-sum of the segment's mixed hashes. Within a tile, the difference of two 512-bit parity bitmaps
+sum of the segment's mixed hashes. Within a tile, the difference of two 2048-bit parity bitmaps
 bounds the overlap from above; what passes is intersected exactly as sorted arrays.
 
 Equal sets are one node. Rounds join the components of neighbours: in every crowded tile that still holds several
 components, its nodes are put in an order that differs from round to round, and neighbours of different components are
 candidate pairs. The closest pair of each node is verified, and what holds joins components. As neighbours are a random
 sample of the pairs in a tile, they tell how many pairs pass the bitmaps. When these are in proportion to the
-rows, or a round finds no link, all nodes of different components of a tile are compared, crowded tiles in
-blocks; so no link between components is lost, and the pairs inside a large group of near copies are not listed.
+rows, or few of a round's pairs link, all nodes of a tile are compared, crowded tiles in
+blocks and only nodes of different components; pairs that share enough tiles are verified. So no link between components is lost, and the pairs inside a large group of near copies are not listed.
 
 A null text is an empty text. An empty set is linked with nothing. Null ids name no document:
 such rows take part only through equal sets, and a set without any id has a null component.
@@ -40,8 +40,7 @@ from duelens.llm.words import (
 )
 from duelens.operators.staging import discard, staged
 
-#: Parity maps of 512 bits each; the largest difference of them counts.
-BITMAP_WORDS, MAPS = 8, 2
+BITMAP_WORDS = 32
 #: Tiles with more nodes are cut into blocks of about as many.
 BLOCK = 1000
 #: Tiles with more nodes take part in the rounds.
@@ -83,8 +82,8 @@ def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     """Tile keys of a set, whether it is at home in their band (its own band and the next), and
     how many tiles of the band a partner shares with it at least.
 
-    With ``spare`` segments more than needed, sets that link share ``spare + 1`` of them. So segments with
-    less than two shingles, which many sets share by chance, can be left out if they are no more than that.
+    With ``spare`` segments more than needed, sets that link share ``spare + 1`` of them. So segments without
+    a shingle, which say nothing, are left out if they are no more than that.
     """
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles), dtype=np.uint64)])
     keys, homes, least = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int16)]
@@ -95,8 +94,8 @@ def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         held = sums[cuts[1:]] - sums[cuts[:-1]]
         place = np.arange(segments, dtype=np.uint64) + np.uint64(number << 32)
         found = mixed(mixed(place + np.uint64(1)) ^ held)
-        full = np.diff(cuts) > 1
-        # A partner may leave small segments out even if this set cannot.
+        full = np.diff(cuts) > 0
+        # A partner may leave empty segments out even if this set cannot.
         left_out, needed = segments - np.count_nonzero(full), 1
         if left_out <= spare:
             found, needed = found[full], spare + 1 - left_out
@@ -107,14 +106,11 @@ def tiles_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Maps of 512 bits; a bit says whether an odd number of shingles fall on it."""
+    """2048 bits; a bit says whether an odd number of shingles fall on it."""
     bits = 64 * BITMAP_WORDS
-    maps = []
-    for n in range(MAPS):
-        places = (shingles >> np.uint64(7 + 24 * n)) % np.uint64(bits)
-        odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
-        maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-    return np.concatenate(maps)
+    places = (shingles >> np.uint64(7)) % np.uint64(bits)
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _set_rows(width: int):
@@ -243,10 +239,9 @@ def _exact(percent: int):
 def _differing_bits(left: str, right: str) -> F.Column:
     bits = [
         F.bit_count(F.col(f"{left}.bitmap")[i].bitwiseXOR(F.col(f"{right}.bitmap")[i]))
-        for i in range(BITMAP_WORDS * MAPS)
+        for i in range(BITMAP_WORDS)
     ]
-    maps = [bits[i : i + BITMAP_WORDS] for i in range(0, len(bits), BITMAP_WORDS)]
-    return F.greatest(*(sum(m[1:], m[0]) for m in maps))
+    return sum(bits[1:], bits[0])
 
 
 def _may_link(left: str, right: str, percent: int) -> F.Column:
@@ -285,7 +280,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
 
 
 def _shared_tiles(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int, percent: int):
-    """(tile, id, home, crowd) of the tiles in which several nodes meet, one of them at home; ``crowd`` is
+    """(tile, id, home, needed, crowd) of the tiles in which several nodes meet, one of them at home; ``crowd`` is
     their number. Two visitors of a band meet in their own.
 
     A node that shares fewer tiles of a band than a partner would share with it has no partner there; so
@@ -311,7 +306,9 @@ def _shared_tiles(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int
         .where("many >= needed")
     )
     return (
-        shared.selectExpr("tile", "id", "home", "count(*) OVER (PARTITION BY tile) AS crowd", settled)
+        shared.selectExpr(
+            "tile", "id", "home", "needed", "count(*) OVER (PARTITION BY tile) AS crowd", settled
+        )
         .where("crowd > 1 AND settled")
         .drop("settled")
     )
@@ -361,32 +358,48 @@ def _closest(near: DataFrame) -> DataFrame:
     )
 
 
-def _across(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b, left, right) of different components that meet in a tile and may link; crowded tiles block by block."""
+def _across(small: DataFrame, crowded: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b, left, right): pairs that share as many tiles as either needs; ``left`` and ``right`` are the nodes, too.
+
+    In small tiles all pairs are counted, in crowded ones, block by block, those of different components that
+    may link.
+    """
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(
+        y,
+        (F.col("x.tile") == F.col("y.tile"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.home") | F.col("y.home")),
+    ).selectExpr(*_PAIR)
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    rows = rows.join(known, "id")
+    rows = crowded.join(known, "id")
     x = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
     y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    more = x.join(
+        y,
+        (F.col("x.tile") == F.col("y.tile"))
+        & (F.col("x.block") == F.col("y.block"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.home") | F.col("y.home"))
+        & (F.col("x.component") != F.col("y.component"))
+        & _may_link("x", "y", percent),
+    ).selectExpr(*_PAIR)
     return (
-        x.join(
-            y,
-            (F.col("x.tile") == F.col("y.tile"))
-            & (F.col("x.block") == F.col("y.block"))
-            & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.home") | F.col("y.home"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _may_link("x", "y", percent),
-        )
-        .select(
-            F.col("x.id").alias("a"),
-            F.col("y.id").alias("b"),
-            F.col("x.component").alias("left"),
-            F.col("y.component").alias("right"),
-        )
-        .distinct()
+        met.union(more)
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
+        .where("shared >= needed")
+        .select("a", "b", F.col("a").alias("left"), F.col("b").alias("right"))
     )
 
 
+_PAIR = (
+    "x.id AS a",
+    "y.id AS b",
+    "greatest(x.needed, y.needed) AS needed",
+)
+
+
 def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """``rows`` with the names of the components they now belong to."""
     return (
@@ -438,13 +451,15 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
         pairs = staged(_closest(near))
         found.append(_verified(docs, nodes, pairs, width, percent))
+        tried, linked = pairs.count(), found[-1].count()
         discard(near, pairs)
-        if found[-1].isEmpty():
+        if 20 * linked <= tried:
+            # Nearly all candidates only come close to the threshold; rounds would not make them fewer.
             break
         old, crowded = crowded, staged(_renamed(crowded, _hooked(found[-1])))
         discard(old)
-    apart = rows.where(F.col("crowd") <= CROWD).unionByName(_open(crowded))
-    pairs = staged(_across(apart, known, percent))
+    small = rows.where(F.col("crowd") <= CROWD)
+    pairs = staged(_across(small, _open(crowded), known, percent))
     found.append(_verified(docs, nodes, pairs, width, percent))
     placed = components(_all(spark, found))
     named = staged(_with_component(nodes.select("set_key", "id"), placed)).drop("id")
