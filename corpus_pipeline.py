@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelens.llm import decontamination, ngram_join, packing, quality_rules, secret_scan
-from duelens.operators.staging import staged
+from duelens.operators.staging import discarding, staged
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over ``documents``; what a stage has written for itself is removed when its rows are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        with discarding(spark):
+            docs = staged(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

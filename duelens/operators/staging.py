@@ -35,11 +35,12 @@ def new_path(spark: SparkSession, name: str = "staged") -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
-def staged(rows: DataFrame) -> DataFrame:
+def staged(rows: DataFrame, keep: bool = False) -> DataFrame:
     """Computed once and written as a table to the shared folder; survives lost executors.
 
     What reads it afterwards still reads only the columns and row groups it needs. The shuffle files
-    of the job are removed as soon as the table is there, because nothing reads them again.
+    of the job are removed as soon as the table is there, because nothing reads them again. ``keep`` leaves
+    the table out of the scopes that ``discarding`` opened.
     """
     spark = rows.sparkSession
     path = new_path(spark)
@@ -49,8 +50,9 @@ def staged(rows: DataFrame) -> DataFrame:
         rows.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    for paths in _SCOPES:
-        paths.append(path)
+    if not keep:
+        for paths in _SCOPES:
+            paths.append(path)
     table = spark.read.schema(rows.schema).parquet(path)
     table._staged_at = path
     return table

@@ -16,6 +16,7 @@ from duelens.operators import (
     quality,
     quantile,
     rollup,
+    sketches,
     sponsors,
     text_index,
 )
@@ -176,6 +177,38 @@ def meta_if_changed(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+@query(
+    "merged_trial_counts",
+    """SELECT overall_status, count(*) AS studies, true AS total_close,
+      count(*) FILTER (results_expected = 1) AS due, true AS due_close
+    FROM classified GROUP BY overall_status""",
+)
+def merged_trial_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches by status and phase, merged over the phases, beside the exact counts."""
+    rows = staged(
+        catalogue.coded(spark, folder).select(
+            "trial_id", "overall_status", "phase", "results_expected", "has_results"
+        )
+    )
+    parts = staged(sketches.study_sketches(rows, ["overall_status", "phase"]))
+    guess = sketches.estimates(sketches.merged(parts, ["overall_status"]))
+    exact = rows.groupBy("overall_status").agg(
+        F.count_distinct("trial_id").alias("studies"),
+        F.count_distinct(F.when(F.col("results_expected") == 1, F.col("trial_id"))).alias("due"),
+    )
+
+    def close(estimate: str, number: str) -> Column:
+        return F.abs(F.col(estimate) - F.col(number)) <= F.col(number) * 0.025
+
+    return exact.join(guess, "overall_status").select(
+        "overall_status",
+        "studies",
+        close("total_trials", "studies").alias("total_close"),
+        "due",
+        close("due_trials", "due").alias("due_close"),
+    )
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 
@@ -250,6 +283,23 @@ def trials_of_a_category(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("trial_id", "overall_status")
 
 
+@query(
+    "sponsor_worklist_head",
+    """SELECT raw_slug, max(name_of_sponsor_orig) AS name_of_sponsor,
+      coalesce(max(normalized_name), '') AS normalized_name,
+      coalesce(max(normalized_parent_name), '') AS normalized_parent_name
+    FROM matched LEFT JOIN reviewed USING (raw_slug) GROUP BY raw_slug
+    ORDER BY normalized_parent_name, normalized_name, name_of_sponsor, raw_slug LIMIT 40""",
+    catalogue.INCOMPLETE,
+)
+def sponsor_worklist_head(spark: SparkSession, folder: str) -> DataFrame:
+    """The first names to review: those without a parent, in the order of all four keys."""
+    work = quality.sorted_worklist(quality.worklist(catalogue._incomplete_names(spark, folder)))
+    return work.limit(40).select(
+        "raw_slug", "name_of_sponsor", "normalized_name", "normalized_parent_name"
+    )
+
+
 @query(
     "values_or_default",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'none'

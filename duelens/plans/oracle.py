@@ -61,7 +61,7 @@ SELECT o::VARCHAR AS trial,
        WHEN o % 8 > 5 THEN CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No'
             ELSE 'Information not present in EudraCT' END END AS rare,
   CASE WHEN o % 13 < 2 THEN true WHEN o % 13 < 8 THEN false WHEN o % 13 > 8 THEN t >= 4 END AS sb,
-  CASE WHEN d > 0 THEN 'Study ' || o::VARCHAR || chr(13) || chr(10) || ' of '
+  CASE WHEN o % 23 = 0 THEN 'nan' WHEN d > 0 THEN 'Study ' || o::VARCHAR || chr(13) || chr(10) || ' of '
        || repeat('long-term follow-up ', q // 4) END AS full_title,
   CASE WHEN t > 0 THEN 'S-' || o::VARCHAR || '/' || n::VARCHAR END AS short_title,
   CASE WHEN o % 17 < 6 OR (o % 17 < 12 AND q > 20) THEN 'View results' END AS results,
@@ -151,7 +151,7 @@ SELECT trial_id, number_of_countries, min_end_date, max_end_date, comp_date,
   (completed + terminated = number_of_countries AND comp_date = 0)::INT
     AS all_completed_no_comp_date,
   sponsor_status,
-  CASE WHEN full_title IS NULL THEN coalesce(abbreviated_title, 'No Title')
+  CASE WHEN nullif(full_title, 'nan') IS NULL THEN coalesce(nullif(abbreviated_title, 'nan'), 'No Title')
     WHEN length(replace(replace(full_title, chr(13), ''), chr(10), '')) > 200
     THEN substr(replace(replace(full_title, chr(13), ''), chr(10), ''), 1, 200) || '...'
     ELSE replace(replace(full_title, chr(13), ''), chr(10), '') END AS trial_title,

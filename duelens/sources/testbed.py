@@ -112,7 +112,7 @@ RECORD_COLUMNS = {
         CASE WHEN o % 13 < 2 THEN true WHEN o % 13 < 8 THEN false
              WHEN o % 13 > 8 THEN t >= 4 END""",
     "full_title_of_the_trial": """
-        CASE WHEN d > 0 THEN concat('Study ', o, '\\r\\n of ',
+        CASE WHEN o % 23 = 0 THEN 'nan' WHEN d > 0 THEN concat('Study ', o, '\\r\\n of ',
              repeat('long-term follow-up ', q div 4)) END""",
     "name_or_abbreviated_title_of_the_trial_where_available": (
         "CASE WHEN t > 0 THEN concat('S-', o, '/', n) END"

@@ -7,6 +7,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from duelens.operators.staging import discard, discarding, staged
+
 ROOT = Path(__file__).resolve().parent.parent
 
 SCRIPT = """
@@ -40,3 +44,27 @@ def test_a_stock_session(tmp_path):
         [sys.executable, "-c", SCRIPT], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert done.stdout.strip().endswith("done"), done.stderr[-3000:]
+
+
+def test_tables_are_removed_when_they_are_not_needed(spark):
+    one, two = staged(spark.range(5)), staged(spark.range(6))
+    discard(one)
+    assert not Path(one._staged_at).exists()
+    assert two.count() == 6
+    with discarding(spark):
+        inner, kept = staged(spark.range(7)), staged(spark.range(8), keep=True)
+        with pytest.raises(ValueError, match="lost"), discarding(spark):
+            last = staged(inner.where("id > 2"))
+            raise ValueError("lost")
+        assert not Path(last._staged_at).exists()
+        assert inner.count() == 7
+    assert not Path(inner._staged_at).exists()
+    assert (two.count(), kept.count()) == (6, 8)
+
+
+def test_staging_leaves_the_settings_as_they_were(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    rows = staged(spark.range(100).selectExpr("id % 3 AS k").groupBy("k").count())
+    assert rows.count() == 3
+    assert spark.conf.get(name) == before
