@@ -11,7 +11,8 @@ components, its nodes are put in an order that differs from round to round, and
 candidate pairs. The closest pair of each node is verified, and what holds joins components. As neighbours are a random
 sample of the pairs in a tile, they tell how many pairs pass the bitmaps. When these are in proportion to the
 rows, or few of a round's pairs link, all nodes of a tile are compared, crowded tiles in
-blocks and only nodes of different components; pairs that share enough tiles are verified. So no link between components is lost, and the pairs inside a large group of near copies are not listed.
+blocks and only nodes of different components; pairs that share enough tiles and pass the bitmaps are verified. So no link
+between components is lost, and the pairs inside a large group of near copies are not listed.
 
 A null text is an empty text. An empty set is linked with nothing. Null ids name no document:
 such rows take part only through equal sets, and a set without any id has a null component.
@@ -359,10 +360,11 @@ def _closest(near: DataFrame) -> DataFrame:
 
 
 def _across(small: DataFrame, crowded: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b, left, right): pairs that share as many tiles as either needs; ``left`` and ``right`` are the nodes, too.
+    """(a, b, left, right): pairs that share as many tiles as either needs and may link; ``left`` and ``right`` are
+    the nodes, too.
 
-    In small tiles all pairs are counted, in crowded ones, block by block, those of different components that
-    may link.
+    In small tiles all pairs are counted, in crowded ones, block by block, those of different components whose bitmaps
+    are close enough.
     """
     x, y = small.alias("x"), small.alias("y")
     met = x.join(
@@ -384,11 +386,16 @@ def _across(small: DataFrame, crowded: DataFrame, known: DataFrame, percent: int
         & (F.col("x.component") != F.col("y.component"))
         & _may_link("x", "y", percent),
     ).selectExpr(*_PAIR)
-    return (
+    shared = (
         met.union(more)
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
         .where("shared >= needed")
+    )
+    return (
+        shared.join(known.alias("x"), F.col("a") == F.col("x.id"))
+        .join(known.alias("y"), F.col("b") == F.col("y.id"))
+        .where(_may_link("x", "y", percent))
         .select("a", "b", F.col("a").alias("left"), F.col("b").alias("right"))
     )
 
