@@ -194,6 +194,7 @@ def _measured(
     slots = places[p[starts]]
     nearest = []
     cuts = np.unique(np.searchsorted(starts, np.arange(0, len(p), _PAIRS_AT_ONCE)))
+    cuts = cuts[cuts < len(starts)]  # none begins behind the first pair of the last leaf
     for first, end in zip(cuts, [*cuts[1:], len(starts)], strict=True):
         begin, stop = starts[first], starts[end] if end < len(starts) else len(p)
         many = np.diff(starts[first:end], append=stop)

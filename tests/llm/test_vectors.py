@@ -168,3 +168,15 @@ def test_two_trees_against_all_pairs(many, n_entries):
     wanted = np.zeros_like(entries)
     np.add.at(wanted, best, parts)
     assert sums.tolist() == wanted.tolist()
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 100])
+def test_a_last_leaf_with_more_pairs_than_are_measured_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(vector_codes, "_PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(at_once)
+    parts, entries = rng.integers(-50, 50, (300, 4)), rng.integers(-50, 50, (64, 4))
+    found, counts, sums = vector_codes.assigned(parts, entries, vector_codes.entry_tree(entries))
+    nearest = ((parts[:, None] - entries) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.array_equal(found, nearest)
+    assert np.array_equal(counts, np.bincount(nearest, minlength=64))
+    assert np.array_equal(sums, np.stack([parts[nearest == i].sum(axis=0) for i in range(64)]))
