@@ -182,3 +182,43 @@ def test_t_points_are_those_of_the_printed_table(spark):
     assert points[1] == pytest.approx(12.706205, abs=1e-6)
     assert points[31] == pytest.approx(cohort.t_point(31), abs=1e-7)
     assert points[39] == pytest.approx(2.022691, abs=1e-6)
+
+
+def test_cohorts_read_the_records_once(spark, monkeypatch):
+    """All models share one cohort, and a cohort makes one pass over the line items."""
+    from duelens.plans import catalogue
+    from duelens.sources import testbed
+
+    read = []
+    lines = testbed.raw_lines
+    monkeypatch.setattr(testbed, "raw_lines", lambda *a: read.append(1) or lines(*a))
+    folder = "/root/testdata/sf0.001"
+    assert catalogue.QUERIES["model_fits"](spark, folder).count() == len(catalogue.MODELS)
+    assert len(read) == 1
+
+
+def test_names_are_matched_once_for_each_distinct_name(spark):
+    from duelens.operators import sponsors
+
+    names = spark.createDataFrame(
+        [("1", "Aé"), ("1", None), ("2", ""), (None, "Aé"), ("2", "b"), ("1", "Aé")],
+        "trial_id string, name_of_sponsor string",
+    )
+    sheet = sponsors.with_slugs(
+        spark.createDataFrame(
+            [("aé", "A", "P", "", "", ""), ("", "None given", "P", "", "", "")],
+            ", ".join(f"{c} string" for c in sponsors.SHEET_COLUMNS),
+        )
+    )
+    columns = ["trial_id", "name_of_sponsor_orig", "raw_slug", "normalized_name", "slug"]
+    wanted = sponsors.match_sponsors(names, sheet).select(columns)
+    found = sponsors.match_names(names, sheet).select(columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_another_order_of_rows_is_not_dealt_into_a_fixed_number_of_tasks(spark):
+    from duelens.plans import catalogue
+
+    plan = catalogue.QUERIES["content_changes"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in text and "REPARTITION_BY_COL" in text
