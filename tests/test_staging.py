@@ -68,3 +68,23 @@ def test_staging_leaves_the_settings_as_they_were(spark):
     rows = staged(spark.range(100).selectExpr("id % 3 AS k").groupBy("k").count())
     assert rows.count() == 3
     assert spark.conf.get(name) == before
+
+
+def test_wide_jobs_are_compiled_and_the_setting_is_put_back(spark):
+    from duelens.operators import staging
+
+    seen = []
+
+    class Watched:
+        sparkSession = spark
+        schema = spark.range(3).schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(staging._METHOD_LIMIT))
+            return spark.range(3).write
+
+    before = spark.conf.get(staging._METHOD_LIMIT)
+    assert staging.staged(Watched(), wide=True).count() == 3
+    assert staging.staged(Watched()).count() == 3
+    assert seen == ["8000", before] and spark.conf.get(staging._METHOD_LIMIT) == before
