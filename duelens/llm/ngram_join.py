@@ -8,7 +8,7 @@ bounds the overlap from above; what passes is intersected exactly as sorted arra
 
 Equal sets are one node. Rounds join the components of neighbours: in every crowded tile that still holds several
 components, its nodes are put in an order that differs from round to round, and neighbours of different components are
-candidate pairs. The closest pair of each node is verified, and what holds joins components. As neighbours are a random
+candidate pairs. The closest pairs of each node are verified, and what holds joins components. As neighbours are a random
 sample of the pairs in a tile, they tell how many pairs pass the bitmaps. When these are in proportion to the
 rows, or few of a round's pairs link, all nodes of a tile are compared, crowded tiles in
 blocks and only nodes of different components; pairs that share enough tiles and pass the bitmaps are verified. So no link
@@ -237,21 +237,22 @@ def _exact(percent: int):
     return run
 
 
-def _differing_bits(left: str, right: str) -> F.Column:
-    bits = [
-        F.bit_count(F.col(f"{left}.bitmap")[i].bitwiseXOR(F.col(f"{right}.bitmap")[i]))
-        for i in range(BITMAP_WORDS)
-    ]
+def _of(node: str | F.Column, name: str) -> F.Column:
+    """A column of a node: of an aliased table, or of a struct."""
+    return F.col(f"{node}.{name}") if isinstance(node, str) else node[name]
+
+
+def _differing_bits(left: str | F.Column, right: str | F.Column) -> F.Column:
+    x, y = _of(left, "bitmap"), _of(right, "bitmap")
+    bits = [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(BITMAP_WORDS)]
     return sum(bits[1:], bits[0])
 
 
-def _may_link(left: str, right: str, percent: int) -> F.Column:
+def _may_link(left: str | F.Column, right: str | F.Column, percent: int) -> F.Column:
     """Bound on the overlap: bits that differ stand for at least as many shingles that differ."""
-    sizes = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
-    smaller = F.least(f"{left}.n_shingles", f"{right}.n_shingles")
-    larger = F.greatest(f"{left}.n_shingles", f"{right}.n_shingles")
-    return (_differing_bits(left, right) * (100 + percent) <= sizes * (100 - percent)) & (
-        smaller * 100 >= larger * percent
+    x, y = _of(left, "n_shingles"), _of(right, "n_shingles")
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (
+        _differing_bits(left, right) * (100 + percent) <= (x + y) * (100 - percent)
     )
 
 
@@ -315,45 +316,46 @@ def _shared_tiles(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int
     )
 
 
-def _neighbours(rows: DataFrame, known: DataFrame, percent: int, turn: int) -> DataFrame:
+def _neighbours(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """(a, b, bits, left, right, stands_for): pairs of neighbours in a tile that may link, and their components.
 
     The nodes of a tile lie in a random order, another one at each ``turn``; a crowded tile is dealt into
-    parts. Each pair stands for as many pairs of its tiles as were not looked at for it.
+    parts. Neighbours are compared where they lie, and only those that may link become rows. Each pair stands for as
+    many pairs of its tiles as were not looked at for it.
     """
     part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("crowd") / BLOCK))
     by = Window.partitionBy("tile", part).orderBy(F.xxhash64(F.lit(turn), "id"), "id")
-    node = F.struct("id", "component")
-    met = (
+    x = F.struct("id", "component", "n_shingles", "bitmap")
+    near = F.filter(
+        F.col("others"),
+        lambda y: (F.col("x")["component"] != y["component"]) & _may_link(F.col("x"), y, percent),
+    )
+    return (
         rows.select(
-            node.alias("x"),
-            F.array(*(F.lag(node, n).over(by) for n in range(1, REACH + 1))).alias("others"),
+            x.alias("x"),
+            F.array(*(F.lag(x, n).over(by) for n in range(1, REACH + 1))).alias("others"),
             (F.col("crowd") / (2 * REACH)).alias("stands_for"),
         )
-        .select("x", F.explode("others").alias("y"), "stands_for")
-        .where("x.component <> y.component")
+        .select("x", F.explode(near).alias("y"), "stands_for")
+        .withColumn("bits", _differing_bits("x", "y"))
         .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .agg(
+            F.any_value("bits").alias("bits"),
             F.any_value("x.component").alias("left"),
             F.any_value("y.component").alias("right"),
             F.sum("stands_for").alias("stands_for"),
         )
     )
-    return (
-        met.join(known.alias("x"), F.col("a") == F.col("x.id"))
-        .join(known.alias("y"), F.col("b") == F.col("y.id"))
-        .where(_may_link("x", "y", percent))
-        .select("a", "b", _differing_bits("x", "y").alias("bits"), "left", "right", "stands_for")
-    )
 
 
 def _closest(near: DataFrame) -> DataFrame:
-    """(a, b, left, right): for each node its closest pair."""
+    """(a, b, left, right): for each node its ``REACH`` closest pairs."""
     pair = F.struct("bits", "a", "b", "left", "right")
     return (
         near.select(F.explode(F.array("a", "b")).alias("id"), pair.alias("pair"))
         .groupBy("id")
-        .agg(F.min("pair").alias("pair"))
+        .agg(F.slice(F.sort_array(F.collect_list("pair")), 1, REACH).alias("pairs"))
+        .select(F.explode("pairs").alias("pair"))
         .select("pair.a", "pair.b", "pair.left", "pair.right")
         .distinct()
     )
@@ -374,9 +376,8 @@ def _across(small: DataFrame, crowded: DataFrame, known: DataFrame, percent: int
         & (F.col("x.home") | F.col("y.home")),
     ).selectExpr(*_PAIR)
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    rows = crowded.join(known, "id")
-    x = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
-    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    x = crowded.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
+    y = crowded.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     more = x.join(
         y,
         (F.col("x.tile") == F.col("y.tile"))
@@ -448,10 +449,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
     # All pairs of a small tile are no more than CROWD / 2 for each of its rows, so rounds leave it out.
     found: list[DataFrame] = []
-    crowded = staged(rows.where(F.col("crowd") > CROWD))
+    crowded = staged(rows.where(F.col("crowd") > CROWD).join(known, "id"))
     bound = 2 * rows.count()
     while True:
-        near = staged(_neighbours(crowded, known, percent, len(found)))
+        near = staged(_neighbours(crowded, percent, len(found)))
         expected = near.agg(F.sum("stands_for")).first()[0] or 0
         if expected <= bound:
             discard(near)
@@ -463,7 +464,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if 20 * linked <= tried:
             # Nearly all candidates only come close to the threshold; rounds would not make them fewer.
             break
-        old, crowded = crowded, staged(_renamed(crowded, _hooked(found[-1])))
+        joined = components(found[-1].select(F.col("left").alias("a"), F.col("right").alias("b")))
+        old, crowded = crowded, staged(_renamed(crowded, joined.toDF("component", "smallest")))
         discard(old)
     small = rows.where(F.col("crowd") <= CROWD)
     pairs = staged(_across(small, _open(crowded), known, percent))
@@ -491,18 +493,6 @@ def _with_component(rows: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def _hooked(links: DataFrame) -> DataFrame:
-    """(component, smallest): each linked component's way to a smaller one, followed twice.
-
-    Not yet all of a chain has one name then, but the names left are few; all links count in the end.
-    """
-    both = links.select("left", "right").union(links.select("right", "left")).toDF("component", "to")
-    hooks = both.groupBy("component").agg(F.min("to").alias("to"))
-    hooks = hooks.select("component", F.least("component", "to").alias("smallest"))
-    further = hooks.toDF("smallest", "further")
-    return hooks.join(further, "smallest").select("component", F.col("further").alias("smallest"))
-
-
 def _with_source(docs: DataFrame) -> DataFrame:
     """``docs`` with what a row's text is found by: its id, or the hash of the text where it has none."""
     doc_id = F.col("doc_id").cast("long")
