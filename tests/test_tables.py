@@ -222,3 +222,23 @@ def test_another_order_of_rows_is_not_dealt_into_a_fixed_number_of_tasks(spark):
     plan = catalogue.QUERIES["content_changes"](spark, "/root/testdata/sf0.001")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" not in text and "REPARTITION_BY_COL" in text
+
+
+def test_one_row_per_study_takes_names_as_numbers_in_their_order(spark):
+    names = {"1": ["b", "é", "B"], "2": ["b", "b"], "3": ["Z"], None: ["b", "Z"], "5": ["b"]}
+    pairs = spark.createDataFrame(
+        [(k, n) for k, found in names.items() for n in found], "trial_id string, normalized_name string"
+    )
+    studies = spark.createDataFrame([("1", 7), ("2", 8), ("3", None), ("4", 9), (None, 1)], "trial_id string, v int")
+    numbers = cohort.numbered_names(pairs)
+    ordered = [r.normalized_name for r in numbers.orderBy("name_number").collect()]
+    assert ordered == sorted({n for found in names.values() for n in found}, key=str.encode)
+    numbered = pairs.join(numbers, "normalized_name").drop("normalized_name")
+    for found in (
+        cohort.one_row_per_study(studies, pairs),
+        cohort.one_row_per_study(studies, numbered, numbers),
+    ):
+        assert found.columns == ["normalized_name", "trial_id", "v", "multiple_sponsors", "sponsor_trial_count"]
+        assert sorted(tuple(r) for r in found.collect()) == [
+            ("Z", "3", None, 0, 2), ("b", "2", 8, 0, 4), ("é", "1", 7, 1, 1),
+        ]
