@@ -88,3 +88,25 @@ def test_wide_jobs_are_compiled_and_the_setting_is_put_back(spark):
     assert staging.staged(Watched(), wide=True).count() == 3
     assert staging.staged(Watched()).count() == 3
     assert seen == ["8000", before] and spark.conf.get(staging._METHOD_LIMIT) == before
+
+
+def test_joins_with_narrow_sides_are_hashed_and_settings_put_back(spark):
+    from duelens.operators import staging
+
+    seen = []
+    names = [staging._HASH_LIMIT, staging._LISTS_HASHED]
+
+    class Watched:
+        sparkSession = spark
+        schema = spark.range(3).schema
+
+        @property
+        def write(self):
+            seen.append([spark.conf.get(name) for name in names])
+            return spark.range(3).write
+
+    before = [spark.conf.get(name) for name in names]
+    assert staging.staged(Watched(), lookups=True, sort=True).count() == 3
+    assert staging.staged(Watched()).count() == 3
+    assert seen == [["64m", "false"], before]
+    assert [spark.conf.get(name) for name in names] == before
