@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duelens.operators.staging import shuffles_removed
+
 
 def write_json(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
     """JSON lines with keys in alphabetical order; ``order`` sorts the rows."""
@@ -58,11 +60,19 @@ def without_breaks(text: Column) -> Column:
 
 
 def dump_table(
-    rows: DataFrame, folder: str, name: str, now: datetime | None = None, one_line: bool = False
+    rows: DataFrame,
+    folder: str,
+    name: str,
+    now: datetime | None = None,
+    one_line: bool = False,
+    compression: str | None = None,
 ) -> str:
     """The whole table as CSV under a name with the time; nested columns become JSON text.
 
-    With ``one_line`` line breaks are escaped, so that the files can be read in parts.
+    With ``one_line`` line breaks are escaped, so that the files can be read in parts. ``compression`` (such as
+    "gzip") makes the files of a wide table a small part of their size, because most of its fields are missing; the readers
+    see it by the files' names, and a file is then read by one task. The shuffle files of the job are removed as
+    soon as the dump is there.
     """
     path = f"{folder.rstrip('/')}/{stamped_name(name, now)}"
     flat = []
@@ -75,7 +85,8 @@ def dump_table(
         ):
             value = without_breaks(value)
         flat.append(value.alias(field.name))
-    _csv_writer(rows.select(*flat), "error").csv(path)
+    with shuffles_removed(rows.sparkSession):
+        _csv_writer(rows.select(*flat), "error").csv(path, compression=compression)
     return path
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from duelens import schema
 from duelens.operators.staging import shared_folder, staged
+from duelens.plans import more_queries
 from duelens.sources import scans, sinks
 from duelens.streaming import record_stream
 
@@ -112,3 +114,24 @@ def test_stream_of_records(spark, tmp_path):
     kept = record_stream.read_current(spark, versions, kind, ["seen"]).select(*kind.names)
     record_stream.compact(kept, base)
     assert current(base) == {"a": ("1", None), "b": ("3", 3), "c": ("5", 5)}
+
+
+def test_the_dump_of_a_wide_table_takes_little_room(spark, tmp_path):
+    """Hundreds of bytes a row were separators of missing fields, and the shuffle stayed beside them."""
+    spark.range(500).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "1L AS l_suppkey", "1 AS l_linenumber", "cast(id % 50 AS double) AS l_quantity",
+        "1D AS l_extendedprice", "0.05D AS l_discount", "0.04D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp_ntz '2020-01-01' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 1L AS s_suppkey, 'S' AS s_name, 1 AS s_nationkey, 1D AS s_acctbal").write.parquet(
+        f"{tmp_path}/supplier.parquet"
+    )
+    before = {*Path(shared_folder(spark)).glob("dump-*")}
+    rows = more_queries.record_dump_and_import(spark, str(tmp_path))
+    (dump,) = {*Path(shared_folder(spark)).glob("dump-*")} - before
+    written = sum(p.stat().st_size for p in dump.glob("records-*/part-*"))
+    assert 0 < written < 100 * 500
+    found = {r.eudract_number_with_country: r for r in rows.collect()}
+    assert len(found) == 500 and rows.count() == 1000
+    assert found["21-1"].full_title_of_the_trial == "Study 21\r\n of " + "long-term follow-up " * 5
+    assert found["21-1"].status_of_the_sponsor in ("Commercial", None)
