@@ -6,8 +6,8 @@ patterns of the documents that pass the fixed rules estimates, for either class,
 the posterior probability of being good then decides, instead of "all rules must pass". A good vote
 never counts against a document and a bad one never for it, so without a bad vote it is kept.
 
-Everything is computed in one row's expressions and one small aggregation; the driver sees the
-counted patterns only.
+Everything is computed in one row's expressions, written once, and one small aggregation; the driver sees
+the counted patterns only.
 
 A null or empty text has no words and fails. Ties of the posterior with the limit are kept. Rows are judged
 each for itself, whatever their ids; other columns pass through, also if they bear a name used here.
@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelens.operators.extract import computed_once
 from duelens.operators.staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -190,19 +191,18 @@ def estimated(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[
     return prior, weights
 
 
-def _fitted(counted: DataFrame) -> Column:
-    """Posterior of being good over the columns of ``COUNTS``, fitted to ``counted``."""
-    votes = rules()
-    rows = (
-        counted.where(~_base_failed())
-        .select(*(v.alias(f"vote_{name}") for name, v in votes.items()))
-        .groupBy(*(f"vote_{name}" for name in votes))
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
+def _votes() -> list[Column]:
+    """The votes over the columns of ``COUNTS``, each named for its rule."""
+    return [vote.cast("byte").alias(f"vote_{name}") for name, vote in rules().items()]
+
+
+def _fitted(voted: DataFrame, votes: list[Column]) -> Column:
+    """Posterior of being good over ``votes``, fitted to the rows of ``voted``, which has ``_votes``."""
+    names = [f"vote_{name}" for name in rules()]
+    rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()
     prior, weights = estimated([(tuple(r[:-1]), r[-1]) for r in rows])
     odds = F.lit(prior)
-    for vote, weight in zip(votes.values(), weights, strict=False):
+    for vote, weight in zip(votes, weights, strict=False):
         odds = odds + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(0.0)
     return F.round(1 / (1 + F.exp(-odds)), 9)
 
@@ -215,7 +215,7 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, posterior) of each row of ``docs`` (doc_id, text)."""
     held = docs.select("doc_id", counts_of(F.col("text")).alias("held"))
     counted = staged(held.select("doc_id", *_flat("held")))
-    posterior = _fitted(counted)
+    posterior = _fitted(counted.where(~_base_failed()).select(*_votes()), [*rules().values()])
     return counted.select(
         "doc_id",
         *BASE,
@@ -226,11 +226,13 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged; texts are not moved between tasks."""
-    held = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        counts_of(F.col("text")).alias("held"),
-    )
-    posterior = _fitted(held.select(*_flat("held")))
-    judged = held.select("row", *_flat("held"))
-    return judged.where(~_base_failed() & (posterior >= least)).select("row.*")
+    """The rows of ``docs`` that are kept, unchanged; texts are not moved between tasks.
+
+    Words are counted once: rows that pass the fixed rules are written with their votes, which are then fitted and judged.
+    """
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = computed_once(whole, {"held": counts_of(F.col("row.text"))})
+    counted = held.select("row", *_flat("held")).where(~_base_failed())
+    voted = staged(counted.select("row", *_votes()))
+    posterior = _fitted(voted, [F.col(f"vote_{name}") for name in rules()])
+    return voted.where(posterior >= least).select("row.*")

@@ -376,3 +376,15 @@ def test_estimates_by_plain_maximisation():
     for (j, v), weight in table.items():
         assert weights[j][v] == pytest.approx(weight, abs=1e-5)
     assert quality_rules.estimated([]) == (0.0, [])
+
+
+def test_words_are_counted_once_for_the_good_documents(spark):
+    """Rows were read and counted again to be judged."""
+    words = [f"word{i}" for i in range(120)]
+    texts = [" ".join(words) + ".", " ".join(words[:10]), "a b c d " * 50, None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    kept = quality_rules.good_documents(docs.union(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "vote_" in plan
+    judged = quality_rules.quality(docs.union(docs)).where("kept")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judged.collect()) == [0, 0]
