@@ -468,7 +468,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         old, crowded = crowded, staged(_renamed(crowded, joined.toDF("component", "smallest")))
         discard(old)
     small = rows.where(F.col("crowd") <= CROWD)
-    pairs = staged(_across(small, _open(crowded), known, percent))
+    pairs = staged(_across(small, _open(crowded), known, percent), wide=True)
     found.append(_verified(docs, nodes, pairs, width, percent))
     placed = components(_all(spark, found))
     named = staged(_with_component(nodes.select("set_key", "id"), placed)).drop("id")

@@ -214,3 +214,19 @@ def test_repeats_in_small_parts(spark, monkeypatch, rows):
     docs = families(8)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert _found_repeats(frame) == _plain_repeats(docs)
+
+
+def test_long_join_conditions_are_compiled_by_operator(spark, monkeypatch):
+    """One method with the whole comparison of two bitmaps was too large to be compiled."""
+    compiled, plain = [], ngram_join.staged
+
+    def noted(rows, **how):
+        if "Join" in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and "bit_count" in plan:
+            compiled.append(how.get("wide", False))
+        return plain(rows, **how)
+
+    monkeypatch.setattr(ngram_join, "staged", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} x{i}") for i in range(12)], "doc_id long, text string")
+    assert ngram_join.one_of_each_group(docs, 5, 80).count() == 1
+    assert compiled and all(compiled)
